@@ -6,10 +6,13 @@ import importlib
 
 NAMES = {
     "op1_host_quality_rules": "quality_rules",
+    "op2_embedding_dedup": "embedding_dedup",
     "op3_hilbert_packing": "curve_packing",
     "op4_prefix_token_counts": "token_counts",
     "op5_sstable_shards": "sstable",
+    "op6_ngram_jaccard_join": "ngram_join",
     "op7_url_filter": "url_filter",
+    "op10_sentencepiece_codec": "sentencepiece_codec",
 }
 
 
