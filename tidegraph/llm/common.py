@@ -58,3 +58,27 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def ascii_lower(column):
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+#: Bits of a sieve: a fixed size whatever it is built from, so that what is broadcast never exceeds SIEVE_BITS / 64 rows.  An overfull sieve lets more rows through and loses none.
+SIEVE_BITS = 1 << 23
+
+
+def _place(key):
+    h = F.xxhash64(key, F.lit(11))
+    return F.shiftrightunsigned(h, 6).bitwiseAND(SIEVE_BITS // 64 - 1).cast("int"), h.bitwiseAND(63).cast("int")
+
+
+def sieve(keys: DataFrame, column: str) -> DataFrame:
+    """A one-hash Bloom filter of a column as rows (_word, _bits), written once."""
+    word, bit = _place(F.col(column))
+    return table(keys.select(word.alias("_word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), bit).alias("_bit")).groupBy("_word").agg(F.expr("bit_or(_bit)").alias("_bits")), "sieve")
+
+
+def sift(df: DataFrame, column: str, by: DataFrame, inside: bool = True) -> DataFrame:
+    """The rows of df whose column may be among the sieve's keys: all that are, and few others; or, if not inside, all other rows.  Spares a shuffle the rows that would find no partner."""
+    names = df.columns
+    word, bit = _place(F.col(column))
+    held = df.withColumns({"_at": word, "_bit": bit}).join(F.broadcast(by), F.col("_at") == F.col("_word"), "inner" if inside else "left")
+    there = F.call_function("shiftright", F.coalesce("_bits", F.lit(0).cast("bigint")), F.col("_bit")).bitwiseAND(F.lit(1).cast("bigint")) == 1
+    return held.filter(there if inside else ~there).select(*names)
