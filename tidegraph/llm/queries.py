@@ -12,6 +12,7 @@ NAMES = {
     "op5_sstable_shards": "sstable",
     "op6_ngram_jaccard_join": "ngram_join",
     "op7_url_filter": "url_filter",
+    "op8_quality_classifier": "quality_classifier",
     "op9_line_dedup": "line_dedup",
     "op10_sentencepiece_codec": "sentencepiece_codec",
 }
