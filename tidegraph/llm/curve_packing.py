@@ -32,30 +32,29 @@ def signs(ids: np.ndarray, dimensions: int = DIMENSIONS) -> np.ndarray:
     return ((x >> np.uint64(40)) & np.uint64(1)).astype(np.float32) * 2 - 1
 
 
-def cell(total: np.ndarray, n: int, bits: int = BITS) -> list[int]:
-    """Coordinates of a sum of signs: their standard score's place in the normal distribution, in 2**bits steps."""
-    return [min((1 << bits) - 1, int((0.5 + 0.5 * erf(float(t) / (2 * n) ** 0.5)) * (1 << bits))) for t in total]
+def cells(totals: np.ndarray, counts: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Coordinates of sums of signs (a row each): the standard score's place in the normal distribution, in 2**bits steps."""
+    places = np.array([0.5 + 0.5 * erf(z) for z in (totals / np.sqrt(2 * np.maximum(counts, 1))[:, None]).ravel()])
+    return np.minimum((places * (1 << bits)).astype(np.int64), (1 << bits) - 1).reshape(totals.shape)
 
 
-def hilbert(point: list[int], bits: int = BITS) -> int:
-    """The point's index on the Hilbert curve of len(point) dimensions: undo the curve's turns and flips from the top bit down, Gray-decode, then interleave."""
-    x, dims = list(point), len(point)
+def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Each row's index on the Hilbert curve of as many dimensions: undo the curve's turns and flips from the top bit down, Gray-decode, then interleave."""
+    x = [points[:, i].copy() for i in range(points.shape[1])]
     for level in range(bits - 1, 0, -1):
-        bit, below = 1 << level, (1 << level) - 1
-        for i in range(dims):
-            if x[i] & bit:
-                x[0] ^= below
-            else:
-                swap = (x[0] ^ x[i]) & below
-                x[0] ^= swap
+        below = (1 << level) - 1
+        for i in range(len(x)):
+            turned = (x[i] >> level & 1).astype(bool)
+            swap = np.where(turned, 0, (x[0] ^ x[i]) & below)
+            x[0] = np.where(turned, x[0] ^ below, x[0] ^ swap)
+            if i:
                 x[i] ^= swap
-    for i in range(1, dims):
+    for i in range(1, len(x)):
         x[i] ^= x[i - 1]
-    flip = 0
+    flip = np.zeros(len(points), np.int64)
     for level in range(bits - 1, 0, -1):
-        if x[-1] >> level & 1:
-            flip ^= (1 << level) - 1
-    index = 0
+        flip ^= np.where(x[-1] >> level & 1, (1 << level) - 1, 0)
+    index = np.zeros(len(points), np.int64)
     for level in range(bits - 1, -1, -1):
         for v in x:
             index = index << 1 | (v ^ flip) >> level & 1
@@ -68,15 +67,18 @@ def encoded(docs: DataFrame, path: str, end_id: int, kind: str) -> DataFrame:
     def encode(batches):
         own = encoder(path, kind)
         wide = own.tokenizer.get_vocab_size() > 1 << 16
-        table_of = signs(np.arange(max(own.tokenizer.get_vocab_size(), end_id + 1)))
+        columns = signs(np.arange(max(own.tokenizer.get_vocab_size(), end_id + 1))).T.copy()
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            keys, out = [], []
-            for ids in own.encode([x or "" for x in batch.column(1).to_pylist()]):
-                a = np.frombuffer(ids + end, "<u4")
-                n = np.bincount(a, minlength=len(table_of)).astype(np.float32) if len(a) > 20_000 else None
-                keys.append(hilbert(cell(table_of[a].sum(0) if n is None else n @ table_of, len(a))))
-                out.append((a if wide else a.astype("<u2")).tobytes())
+            out = [x + end for x in own.encode([x or "" for x in batch.column(1).to_pylist()])]
+            if not out:
+                continue
+            counts, flat = np.array([len(x) // 4 for x in out]), np.frombuffer(b"".join(out), "<u4")
+            at = np.concatenate([[0], np.cumsum(counts)[:-1]])
+            totals = np.stack([np.add.reduceat(column[flat], at) for column in columns], 1)
+            keys = hilbert(cells(totals, counts))
+            if not wide:
+                out = [x.tobytes() for x in np.split(flat.astype("<u2"), at[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "curve_key", "ids"])
 
     small_batches(docs.sparkSession)

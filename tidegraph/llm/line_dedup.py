@@ -3,7 +3,7 @@
 A line within ``edits`` edits of another keeps one of that line's ``edits + 1`` segments, near its place.  So each line is
 indexed by (length, segment number, segment) and probes, for each length up to ``edits`` shorter, the substrings at the
 places the segment can have moved to.  Keys that two lines share chain those lines; the texts of each chained group are
-compared in blocks of bounded size by a banded bit-parallel edit distance, and linked lines form classes of which the first
+compared in blocks of bounded size by banded edit distance, and linked lines form classes of which the first
 occurrence stays.
 """
 
@@ -20,28 +20,35 @@ EDITS, MIN_CHARS = 2, 40
 BLOCK = 64
 
 
-def segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
-    """(start, length) of each segment of a line of so many characters, starts from 1: the last ones are longer by one."""
+def segments(base: Column, extra: Column, edits: int) -> list[tuple[Column, Column]]:
+    """(start, length) of each of edits + 1 segments, starts from 1: base characters each, the last ``extra`` ones longer by one."""
     parts = edits + 1
-    base, extra = F.floor(length / parts).cast("int"), F.pmod(length, F.lit(parts)).cast("int")
     return [(base * i + F.greatest(extra - (parts - i), F.lit(0)) + 1, base + F.when(extra >= parts - i, 1).otherwise(0)) for i in range(parts)]
 
 
-def keys(line: Column, length: Column, edits: int) -> Column:
-    """The line's own index keys and its probes: two lines within so many edits share one."""
+def keyed(lines: DataFrame, edits: int) -> DataFrame:
+    """lines (line and others) with size, its characters, and keys: its own index keys and its probes.  Two lines within so many edits share one.
+
+    Sizes are columns of a step of their own, so that each is computed once and not in every expression that needs it.
+    """
+    parts = edits + 1
+    sized = lines.withColumn("size", F.char_length("line"))
+    sized = sized.withColumns({f"base{d}": F.expr(f"int((size - {d}) div {parts})") for d in range(parts)} | {f"extra{d}": F.pmod(F.col("size") - d, F.lit(parts)) for d in range(parts)})
     out = []
-    for shorter in range(edits + 1):
-        indexed = length - shorter
-        for i, (start, size) in enumerate(segments(indexed, edits)):
+    for shorter in range(parts):
+        for i, (start, size) in enumerate(segments(F.col(f"base{shorter}"), F.col(f"extra{shorter}"), edits)):
             right = edits - i  # segments after this one
             for shift in range(max(-i, shorter - right), min(i, shorter + right) + 1):
-                out.append(F.xxhash64(indexed, F.lit(i), F.substring(line, start + shift, size)))
-    return F.array(*out)
+                out.append(F.xxhash64(F.col("size") - shorter, F.lit(i), F.substring("line", start + shift, size)))
+    return sized.withColumn("keys", F.array(*out)).select(*lines.columns, "size", "keys")
 
 
 def within(a: Column, b: Column, edits: int) -> Column:
     """Whether two arrays of characters are within so many edits, bit-parallel along a band around the diagonal.
 
+    The join verifies by levenshtein() with a threshold instead, which is banded too and compiled: as SQL lambdas are
+    interpreted, this form takes a hundred times as long (README).  Both give the same answers.
+
     Bit d of a vector stands for row j + edits - (width - 1 - d) of column j.  vp and vn say where the distance rises or
     falls down a column; it is followed down the band's lowest diagonal and then along the last row.  Sizes must differ by
     at most ``edits``.
@@ -85,11 +92,11 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def _pairs(edits: int) -> Column:
-    """From an array of lines (id, block, size, keys, chars), sorted, and blocks i and j: links (a, b) that span the links between the blocks' lines (within one block if i = j).
+    """From an array of lines (id, block, size, keys, line), sorted, and blocks i and j: links (a, b) that span the links between the blocks' lines (within one block if i = j).
 
     A link to a line that itself links to a smaller partner is left to that line.
     """
-    near = lambda x, y: (F.abs(x["size"] - y["size"]) <= edits) & F.arrays_overlap(x["keys"], y["keys"]) & within(x["chars"], y["chars"], edits)
+    near = lambda x, y: (F.abs(x["size"] - y["size"]) <= edits) & F.arrays_overlap(x["keys"], y["keys"]) & (F.levenshtein(x["line"], y["line"], edits) >= 0)
     met = F.transform("lines", lambda x, n: F.filter(F.transform("lines", lambda y, m: F.when((m < n) & ((F.col("i") == F.col("j")) | (x["block"] != y["block"])) & (x["id"] != y["id"]), F.when(near(x, y), m))), lambda m: m.isNotNull()))
     return met
 
@@ -114,9 +121,9 @@ def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
     distinct = table(marked.groupBy("digest").agg(F.min(F.struct("doc_id", "line_no", "id")).alias("first"), F.count("*").alias("n")).select("digest", F.col("first.id").alias("id"), F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"), "n"), "lines")
 
     # candidates: ids chained by shared keys.  An id is a 64-bit hash; two lines that share one are compared all the same
-    keyed = lines.select(F.xxhash64("line").alias("id"), F.explode(keys(F.col("line"), F.char_length("line"), edits)).alias("key"))
-    shared = table(keyed.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("tail")).filter("head != tail").select(F.col("key").alias("bucket"), "head"), "buckets")
-    few = sift(keyed, "key", sieve(shared, "bucket"))
+    pairs = keyed(lines.select(F.xxhash64("line").alias("id"), "line"), edits).select("id", F.explode("keys").alias("key"))
+    shared = table(pairs.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("tail")).filter("head != tail").select(F.col("key").alias("bucket"), "head"), "buckets")
+    few = sift(pairs, "key", sieve(shared, "bucket"))
     chained = few.join(shared.hint("merge"), F.col("key") == F.col("bucket")).filter("id != head").select(F.col("id").alias("a"), F.col("head").alias("b"))
     found = table(components(chained), "candidates")
     members = table(found.select(F.col("id").alias("member"), "component").unionByName(found.select(F.col("component").alias("member"), "component").distinct()), "members")
@@ -126,11 +133,11 @@ def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
     # the text of each distinct candidate line once: where it first occurs
     firsts = table(distinct.join(placed.hint("merge"), distinct.id == placed.member).select(F.col("doc_id").alias("d"), F.col("line_no").alias("l"), "component", "blocks", "block", "id"), "firsts")
     texts = sift(lines.withColumn("at", F.xxhash64("doc_id", "line_no")), "at", sieve(firsts.select(F.xxhash64("d", "l").alias("at")), "at"))
-    texts = texts.join(firsts.hint("merge"), (F.col("doc_id") == F.col("d")) & (F.col("line_no") == F.col("l")) & (F.xxhash64("line") == F.col("id")))
-    member = F.struct("id", "block", F.char_length("line").alias("size"), F.col("line"))
-    spread = texts.select("component", "block", member.alias("member"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    grouped = spread.groupBy("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.array_sort(F.collect_list("member")).alias("members"))
-    held = grouped.filter(F.size("members") > 1).select("i", "j", F.transform("members", lambda m: F.struct(m["id"].alias("id"), m["block"].alias("block"), m["size"].alias("size"), keys(m["line"], m["size"], edits).alias("keys"), F.split(m["line"], "").alias("chars"))).alias("lines"))
+    texts = texts.join(firsts.hint("merge"), (F.col("doc_id") == F.col("d")) & (F.col("line_no") == F.col("l")) & (F.xxhash64("line") == F.col("id"))).select("component", "blocks", "block", "id", "line")
+    member = F.struct("id", "block", "size", "keys", "line")
+    spread = keyed(texts, edits).select("component", "block", member.alias("member"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    grouped = spread.groupBy("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.array_sort(F.collect_list("member")).alias("lines"))
+    held = grouped.filter(F.size("lines") > 1)
     compared = table(held.select(_pairs(edits).alias("met"), F.transform("lines", lambda x: x["id"]).alias("ids")), "compared")
     joined = table(components(spanning(compared)), "classes")
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegraph.llm.blocks import batch_of, groups, links_of
-from tidegraph.llm.common import bounded, partitions, read, small_batches, table
+from tidegraph.llm.common import bounded, partitions, read, sieve, sift, small_batches, table
 from tidegraph.llm.components import components
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.9999
@@ -184,16 +184,18 @@ def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, reca
 
     banded = classes.select("rep", F.explode("bands").alias("band"))
     buckets = table(banded.groupBy("band").agg(F.min("rep").alias("head"), F.count("*").alias("size")).filter("size > 1").select(F.col("band").alias("bucket"), "head"), "buckets")
-    chained = banded.join(buckets, banded.band == buckets.bucket).filter("rep != head").select(F.col("rep").alias("a"), F.col("head").alias("b"))
+    banded = sift(banded, "band", sieve(buckets, "bucket"))
+    chained = banded.join(buckets.hint("merge"), banded.band == buckets.bucket).filter("rep != head").select(F.col("rep").alias("a"), F.col("head").alias("b"))
     found = table(components(chained), "candidates")
     members = found.select(F.col("id").alias("member"), "component").unionByName(found.select(F.col("component").alias("member"), "component").distinct())
-    weighed = table(members.join(classes, members.member == classes.rep).select("rep", "component", "n", "digest", F.col("grams").alias("n_grams")), "members")
+    weighed = table(members.join(classes.hint("merge"), members.member == classes.rep).select("rep", "component", "n", "digest", F.col("grams").alias("n_grams")), "members")
     sizes = table(weighed.groupBy(F.col("component").alias("of")).agg(F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n_grams") / BLOCK_GRAMS)).cast("int").alias("blocks")), "sizes")
     placed = weighed.join(bounded(sizes.filter("blocks > 1")), F.col("component") == F.col("of"), "left").select("rep", "component", "n", "digest", F.coalesce("blocks", F.lit(1)).alias("blocks"))
     placed = table(placed.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), "placed")
 
     # rows that repeat a representative's doc_id with another text are told by their digest
-    own = texts.join(placed, texts.doc_id == placed.rep).select("component", "blocks", "block", "rep", "n", "digest", "text")
+    texts = sift(texts, "doc_id", sieve(placed, "rep"))
+    own = texts.join(placed.hint("merge"), texts.doc_id == placed.rep).select("component", "blocks", "block", "rep", "n", "digest", "text")
     sets = own.mapInArrow(_sets(n), "component bigint, blocks int, block int, rep bigint, n bigint, grams binary")
     paired = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     paired = paired.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "n", "grams")
@@ -202,9 +204,9 @@ def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, reca
 
     joined = components(links.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "node")
     counts = links.groupBy("rep").agg(F.sum("links").alias("links"))
-    labelled = classes.select("digest", "rep", "n").join(counts, "rep", "left").join(joined, F.col("rep") == F.col("node"), "left")
+    labelled = classes.select("digest", "rep", "n").join(counts.hint("merge"), "rep", "left").join(joined.hint("merge"), F.col("rep") == F.col("node"), "left")
     labelled = table(labelled.select(F.col("digest").alias("of"), F.coalesce("component", "rep").alias("class_id"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "labelled")
-    linked = usable.select("doc_id", "digest").join(labelled, F.col("digest") == F.col("of")).select("doc_id", "n_links", "class_id")
+    linked = usable.select("doc_id", "digest").join(labelled.hint("merge"), F.col("digest") == F.col("of")).select("doc_id", "n_links", "class_id")
     alone = marked.filter("digest is null or doc_id is null").select("doc_id", F.lit(0).cast("bigint").alias("n_links"), F.col("doc_id").alias("class_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 

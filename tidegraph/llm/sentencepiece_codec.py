@@ -24,7 +24,7 @@ from tidegraph.llm.prefix_bpe import PrefixBpe
 
 MARK = "▁"
 #: Remembered words; beyond it, the last batch's stay.
-MEMORY = 300_000
+MEMORY = 800_000
 UNIGRAM, BPE = 1, 2
 
 

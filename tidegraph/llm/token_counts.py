@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import json
 import re
-import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -19,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tidegraph.llm.common import read, small_batches
 from tidegraph.llm.prefix_bpe import PrefixBpe
+from tidegraph.llm.tokens import word_pieces
 
 #: Remembered chunks and pieces; beyond it, the last batch's stay.
 MEMORY = 300_000
@@ -34,9 +34,6 @@ class PrefixCounter:
     """count(text), prefixes(text), truncate(text, budget) for a tokenizers file with lower-casing word BPE."""
 
     gap = re.compile(r"[\x09-\x0d\x20]+")
-    #: Chunks whose pieces, and whose prefixes' pieces, this class can tell; the library counts the others.
-    plain = re.compile(r"[!-&(-;=-~À-įĲ-ɏ]+")
-    pieces = re.compile(r"[^\W\d_]+|\d|[^\w]+|_+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -57,24 +54,13 @@ class PrefixCounter:
     def _cut(self, text: str) -> list[str]:
         return [x for x in self.gap.split(text) if x]
 
-    def _words(self, chunk: str) -> list[str] | None:
-        if not self.plain.fullmatch(chunk) or not unicodedata.is_normalized("NFC", chunk):
-            return None
-        out: list[str] = []
-        for x in self.pieces.findall(chunk.lower()):
-            if out and not x[-1].isalnum() and not out[-1][-1].isalnum():
-                out[-1] += x  # an underscore is no letter either
-            else:
-                out.append(x)
-        return out
-
     def _bytes(self, word: str) -> str:
         return "".join(map(self.symbols.__getitem__, word.encode().decode("latin-1")))
 
     def _learn(self, chunks: set[str]) -> None:
         """Counts of chunks not known yet: their new words in one trie walk."""
         new = chunks.difference(self.chunks)
-        split = {c: self._words(c) for c in new}
+        split = {c: word_pieces(c) for c in new}
         fresh = {w for ws in split.values() if ws for w in ws}.difference(self.words)
         by_bytes = {self._bytes(w): w for w in fresh}
         for symbols, last, counts in self.bpe.passes(by_bytes):
@@ -98,7 +84,7 @@ class PrefixCounter:
 
     def _chunk_prefixes(self, chunk: str) -> list[int]:
         """Tokens of chunk[:1], chunk[:2], ..."""
-        words = self._words(chunk)
+        words = word_pieces(chunk)
         if words is None or len("".join(words)) != len(chunk):
             return [self._library(chunk[:i]) for i in range(1, len(chunk) + 1)]
         out, before = [], 0

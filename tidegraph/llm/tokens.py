@@ -9,17 +9,17 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
-import regex
 
 #: Pieces that a worker remembers; beyond it, those of the last batch stay.
-MEMORY = 400_000
+MEMORY = 800_000
 
 
 class PieceEncoder:
-    """ids(text) as little-endian unsigned 32-bit bytes."""
+    """encode(texts): each text's ids as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
@@ -33,16 +33,18 @@ class PieceEncoder:
     def cut(self, text: str) -> list[str]:
         return [text]
 
-    def _library(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
+    def library(self, pieces: list[str]) -> dict[str, bytes]:
+        return dict(zip(pieces, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)), strict=True))
+
+    def learn(self, pieces: list[str]) -> dict[str, bytes]:
+        return self.library(pieces)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cuts = [self.cut(x) for x in texts]
         pieces = set().union(*cuts)
         missing = list(pieces.difference(self.known))
-        for i in range(0, len(missing), 4096):
-            part = missing[i : i + 4096]
-            self.known.update(zip(part, self._library(part), strict=True))
+        for i in range(0, len(missing), 8192):
+            self.known.update(self.learn(missing[i : i + 8192]))
         out = [b"".join(map(self.known.__getitem__, cut)) for cut in cuts]
         for x in missing:
             if len(x) > 64:
@@ -52,23 +54,71 @@ class PieceEncoder:
         return out
 
 
+#: Chunks between white space whose pieces word_pieces can tell: Latin, without apostrophes or the start of an added token.
+PLAIN = re.compile(r"[!-&(-;=-~À-įĲ-ɏ]+")
+_PIECE = re.compile(r"[^\W\d_]+|\d|(?:[^\w]|_)+")
+
+
+def word_pieces(chunk: str) -> list[str] | None:
+    """A chunk's pieces as the lower-casing word tokenizer splits it (letters, single digits, runs of others), or None if only the library can tell."""
+    if not PLAIN.fullmatch(chunk) or not unicodedata.is_normalized("NFC", chunk):
+        return None
+    return _PIECE.findall(chunk.lower())
+
+
 class WordEncoder(PieceEncoder):
-    """For tokenizers that drop white space: cut at ASCII white space."""
+    """For the lower-casing BPE with word ends, which drops white space: cut at ASCII white space, then into pieces."""
 
-    gap, other = re.compile(r"[\x09-\x0d\x20]+"), re.compile(r"[\x09\x0b-\x0d]")
+    gap = re.compile(r"[\x09-\x0d\x20]+")
+    #: What texts need for lower-casing and setting stops apart to be harmless: Latin letters, no added token, no run of marks with a stop or comma inside.
+    odd, run = re.compile(r"[^\n\t\r\x20-\x7e\xa1-įĲ-ɏ]"), re.compile(r"[!-/:-@\[-`{-¿×÷][.,]")
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        end = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(end.values()) + 1, bool)
+        self.ends[[i for t, i in end.items() if t.endswith("</w>")]] = True
+        self.pieces: dict[str, bytes] = {}
 
     def cut(self, text: str) -> list[str]:
-        return [x for x in self.gap.split(text) if x] if self.other.search(text) else list(filter(None, text.replace("\n", " ").split(" ")))
+        """A stop or comma after a letter starts a piece anyway, and letter case is dropped anyway; both made equal before the cut, fewer chunks are distinct."""
+        if "<|" in text or self.run.search(text) or self.odd.search(text):
+            return [x for x in self.gap.split(text) if x]
+        return text.lower().replace(".", " .").replace(",", " ,").split()
+
+    def learn(self, pieces: list[str]) -> dict[str, bytes]:
+        split = {c: word_pieces(c) for c in pieces}
+        out = self.library([c for c, ws in split.items() if ws is None])
+        fresh = list({w for ws in split.values() if ws for w in ws}.difference(self.pieces))
+        if fresh:  # one text of all new pieces; a token with a word end ends each
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(fresh)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(fresh):
+                raw, at = ids.tobytes(), 0
+                for w, e in zip(fresh, (4 * ends).tolist(), strict=True):
+                    self.pieces[w] = raw[at:e]
+                    at = e
+            else:
+                self.pieces |= self.library(fresh)
+        known = self.pieces
+        for c, ws in split.items():
+            if ws is not None:
+                out[c] = known[ws[0]] if len(ws) == 1 else b"".join(map(known.__getitem__, ws))
+        if len(known) > MEMORY:
+            self.pieces = {w: x for w, x in known.items() if len(w) <= 6}
+        return out
 
 
 class ByteLevelEncoder(PieceEncoder):
-    """For byte-level BPE with the usual splitting pattern: cut by that pattern.  Added tokens are cut out first; texts with characters beyond Latin, or control characters, go to the library whole."""
+    """For byte-level BPE with the usual splitting pattern: cut by that pattern.  Texts with an added token, control characters, characters beyond Latin or numerals other than digits go to the library whole."""
 
-    pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-    odd = re.compile(r"[^\n\t\r\x20-\x7e\xa1-ɏ]")
+    pattern = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
+    odd = re.compile(r"[^\n\t\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]")
+    word = re.compile(r" ?[^\W\d_]+")
 
     def __init__(self, path: str):
         super().__init__(path)
+        (self.line_end,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
 
@@ -77,6 +127,19 @@ class ByteLevelEncoder(PieceEncoder):
             return [text]
         return self.pattern.findall(text)
 
+    def learn(self, pieces: list[str]) -> dict[str, bytes]:
+        words = [x for x in pieces if self.word.fullmatch(x) and not self.odd.search(x)]
+        if len(words) > 1:  # one text of all of them, a line each: each is a piece of its own there, and so is each line's end
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(words)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == self.line_end), len(ids))
+            if len(ends) == len(words):
+                raw, out, at = ids.tobytes(), {}, 0
+                for w, e in zip(words, (4 * ends).tolist(), strict=True):
+                    out[w] = raw[at:e]
+                    at = e + 4
+                return out | self.library([x for x in pieces if x not in out])
+        return self.library(pieces)
+
 
 @lru_cache(maxsize=4)
 def encoder(path: str, kind: str) -> PieceEncoder:
