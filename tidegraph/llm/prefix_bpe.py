@@ -8,7 +8,7 @@ of every prefix.  Words that begin alike share that pass.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Container, Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 #: Remembered answers on pairs of tokens, at most.
 PAIRS = 150_000
@@ -17,9 +17,10 @@ PAIRS = 150_000
 class PrefixBpe:
     """rank(a, b): the merge's priority (lower first) or None.  vocabulary: the strings that can be tokens; longest: the symbols of the longest."""
 
-    def __init__(self, rank: Callable[[str, str], float | None], vocabulary: Container[str], longest: int, end: str = ""):
-        self.rank, self.vocabulary, self.longest, self.end = rank, vocabulary, longest, end
-        self._whole: dict[str, bool] = {}
+    def __init__(self, rank: Callable[[str, str], float | None], vocabulary: Iterable[str], longest: int, end: str = ""):
+        self.rank, self.longest, self.end = rank, longest, end
+        #: For each vocabulary string whether it encodes to itself; None: not known yet.
+        self._whole: dict[str, bool | None] = dict.fromkeys(vocabulary)
         self._pairs: dict[tuple[str, str], bool] = {}
 
     def merge(self, symbols: Sequence[str]) -> list[str]:
@@ -59,9 +60,22 @@ class PrefixBpe:
 
     def _step(self, word: str, i: int, last: list[str], mark: str = "") -> str:
         """The last token of the encoding of word[:i], whose shorter prefixes' last tokens are known."""
+        whole, pairs = self._whole, self._pairs
         for n in range(min(i, self.longest), 0, -1):
             token = word[i - n : i] + mark
-            if (n == 1 or token in self.vocabulary and self.whole(token)) and (n == i or self.fits(last[i - n], token)):
+            if n > 1:
+                own = whole.get(token, False)
+                if own is None:
+                    own = self.whole(token)
+                if not own:
+                    continue
+            if n == i:
+                return token
+            before = last[i - n]
+            fits = pairs.get((before, token))
+            if fits is None:
+                fits = self.fits(before, token)
+            if fits:
                 return token
         raise ValueError(f"no encoding ends at {i} of {word!r}")
 

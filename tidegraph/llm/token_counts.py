@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tidegraph.llm.common import read, small_batches
 from tidegraph.llm.prefix_bpe import PrefixBpe
-from tidegraph.llm.tokens import word_pieces
+from tidegraph.llm.tokens import word_chunks, word_pieces
 
 #: Remembered chunks and pieces; beyond it, the last batch's stay.
 MEMORY = 300_000
@@ -33,8 +33,6 @@ def byte_symbols() -> dict[int, str]:
 class PrefixCounter:
     """count(text), prefixes(text), truncate(text, budget) for a tokenizers file with lower-casing word BPE."""
 
-    gap = re.compile(r"[\x09-\x0d\x20]+")
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -47,15 +45,12 @@ class PrefixCounter:
         self.end = model["end_of_word_suffix"] or ""
         longest = max(len(t.removesuffix(self.end)) for t in model["vocab"])
         self.bpe = PrefixBpe(lambda a, b: ranks.get((a, b)), model["vocab"].keys(), longest, self.end)
-        self.symbols = {chr(b): s for b, s in byte_symbols().items()}
+        self.symbols = byte_symbols()
         self.chunks: dict[str, int] = {}
         self.words: dict[str, int] = {}
 
-    def _cut(self, text: str) -> list[str]:
-        return [x for x in self.gap.split(text) if x]
-
     def _bytes(self, word: str) -> str:
-        return "".join(map(self.symbols.__getitem__, word.encode().decode("latin-1")))
+        return word if word.isascii() else word.encode().decode("latin-1").translate(self.symbols)
 
     def _learn(self, chunks: set[str]) -> None:
         """Counts of chunks not known yet: their new words in one trie walk."""
@@ -72,7 +67,7 @@ class PrefixCounter:
         return len(self.library.encode(text, add_special_tokens=False).ids)
 
     def count_all(self, texts: list[str]) -> list[int]:
-        cuts = [self._cut(x) for x in texts]
+        cuts = [word_chunks(x) for x in texts]
         used = set().union(*cuts)
         self._learn(used)
         out = [sum(map(self.chunks.__getitem__, cut)) for cut in cuts]

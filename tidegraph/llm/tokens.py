@@ -66,13 +66,24 @@ def word_pieces(chunk: str) -> list[str] | None:
     return _PIECE.findall(chunk.lower())
 
 
+_GAP = re.compile(r"[\x09-\x0d\x20]+")
+#: What texts need for lower-casing and setting stops apart to be harmless: Latin letters, no added token, no run of marks with a stop or comma inside.
+_ODD, _RUN = re.compile(r"[^\n\t\r\x20-\x7e\xa1-įĲ-ɏ]"), re.compile(r"[!-/:-@\[-`{-¿×÷][.,]")
+
+
+def word_chunks(text: str) -> list[str]:
+    """A text cut where the lower-casing word tokenizer always cuts.
+
+    A stop or comma after a letter starts a piece anyway, and letter case is dropped anyway; both made equal before the cut, fewer chunks are distinct.
+    """
+    if "<|" in text or _RUN.search(text) or _ODD.search(text):
+        return [x for x in _GAP.split(text) if x]
+    return text.lower().replace(".", " .").replace(",", " ,").split()
+
+
 class WordEncoder(PieceEncoder):
     """For the lower-casing BPE with word ends, which drops white space: cut at ASCII white space, then into pieces."""
 
-    gap = re.compile(r"[\x09-\x0d\x20]+")
-    #: What texts need for lower-casing and setting stops apart to be harmless: Latin letters, no added token, no run of marks with a stop or comma inside.
-    odd, run = re.compile(r"[^\n\t\r\x20-\x7e\xa1-įĲ-ɏ]"), re.compile(r"[!-/:-@\[-`{-¿×÷][.,]")
-
     def __init__(self, path: str):
         super().__init__(path)
         end = self.tokenizer.get_vocab()
@@ -81,10 +92,7 @@ class WordEncoder(PieceEncoder):
         self.pieces: dict[str, bytes] = {}
 
     def cut(self, text: str) -> list[str]:
-        """A stop or comma after a letter starts a piece anyway, and letter case is dropped anyway; both made equal before the cut, fewer chunks are distinct."""
-        if "<|" in text or self.run.search(text) or self.odd.search(text):
-            return [x for x in self.gap.split(text) if x]
-        return text.lower().replace(".", " .").replace(",", " ,").split()
+        return word_chunks(text)
 
     def learn(self, pieces: list[str]) -> dict[str, bytes]:
         split = {c: word_pieces(c) for c in pieces}
