@@ -88,3 +88,32 @@ def test_distance_is_levenshtein(spark):
         df = spark.createDataFrame([x for x in pairs if abs(len(x[0]) - len(x[1])) <= e], "a string, b string").select("a", "b", F.split("a", "").alias("x"), F.split("b", "").alias("y")).cache()
         bad = df.filter(line_dedup.within(F.col("x"), F.col("y"), e) != (F.levenshtein("a", "b") <= e))
         assert bad.count() == 0
+
+
+def test_short_repeats_go(spark):
+    rows = [(1, "Les.\n\n\t\nAnd ornd.\nOf.\n\t"), (2, "By.\nAnd ornd.\n\nLes.  \nOn."), (3, "a line of thirty-nine characters, as it\nAnd ornb."), (4, "a line of forty characters, as it is, ok\na line of thirty-nine characters, az it\na line of forty characters, as it is, oku")]
+    df = spark.createDataFrame([(i, t, 0, "k", "x") for i, t in rows], DOCS)
+    assert {r.doc_id: r.removed_lines for r in line_dedup.dedup_report(df).collect()} == {1: [], 2: [1, 3], 3: [], 4: [1, 2]}
+
+
+def test_limits_are_brute_force(spark):
+    r = random.Random(6)
+    base = ["".join(r.choice("abcdefé ") for _ in range(n)) for n in (3, 9, 18, 19, 20, 21, 38, 39, 40, 41, 42, 60)]
+    rows = [(i, "\n".join(edited(r, r.choice(base), r.randrange(0, 3)) for _ in range(4))) for i in range(50)]
+    df = spark.createDataFrame([(i, t, 0, "k", "x") for i, t in rows], DOCS)
+    near = lambda a, b: (lambda n: n and abs(len(a) - len(b)) <= n and distance(a, b) <= n)(max([e for k, e in line_dedup.LIMITS if min(len(a), len(b)) >= k], default=0))
+    kinds = sorted({x.strip(" ") for _, t in rows for x in t.split("\n")} - {""})
+    root = {x: {x} for x in kinds}
+    for i, a in enumerate(kinds):
+        for b in kinds[i + 1 :]:
+            if root[a] is not root[b] and near(a, b):
+                root[a] |= root[b]
+                root |= dict.fromkeys(root[b], root[a])
+    seen, gone = set(), {}
+    for i, t in rows:
+        for n, x in enumerate(x.strip(" ") for x in t.split("\n")):
+            if x and id(root[x]) in seen:
+                gone.setdefault(i, []).append(n)
+            if x:
+                seen.add(id(root[x]))
+    assert {x.doc_id: x.removed_lines for x in line_dedup.dedup_report(df).collect() if x.n_removed} == gone

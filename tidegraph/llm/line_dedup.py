@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from tidegraph.llm.common import read, sieve, sift, table
 from tidegraph.llm.components import components
 
-EDITS, MIN_CHARS = 2, 40
+#: (characters, edits): lines from so many characters on are joined by so many edits, a twentieth of the length at least.  Shorter ones go as exact repeats only.
+LIMITS = ((20, 1), (40, 2))
 #: Lines to a block.
 BLOCK = 64
 
@@ -43,6 +44,30 @@ def keyed(lines: DataFrame, edits: int) -> DataFrame:
     return sized.withColumn("keys", F.array(*out)).select(*lines.columns, "size", "keys")
 
 
+def _limits(edits: int | None, min_chars: int) -> tuple[tuple[int, int], ...]:
+    """LIMITS, or the one limit asked for."""
+    if edits is None:
+        return LIMITS
+    if min_chars <= edits:
+        raise ValueError("lines must be longer than the edits allowed")
+    return ((min_chars, edits),)
+
+
+def classed(lines: DataFrame, limits: tuple[tuple[int, int], ...]) -> DataFrame:
+    """keyed() by each limit for the lines that it can link: those of its class, and longer ones that its edits reach."""
+    names = [*lines.columns, "size"]
+    made, parts = lines, []
+    tagged = lambda edits: lambda key: F.xxhash64(key, F.lit(edits))
+    for n, (least, edits) in enumerate(limits):
+        most = limits[n + 1][0] + edits - 1 if n + 1 < len(limits) else None
+        made = keyed(made.drop("size"), edits)
+        fits = F.col("size") >= least if most is None else F.col("size").between(least, most)
+        own = F.when(fits, F.transform("keys", tagged(edits))).otherwise(F.array().cast("array<bigint>"))
+        parts.append(f"keys{edits}")
+        made = made.withColumn(parts[-1], own).drop("keys")
+    return made.withColumn("keys", F.concat(*parts)).select(*names, "keys")
+
+
 def within(a: Column, b: Column, edits: int) -> Column:
     """Whether two arrays of characters are within so many edits, bit-parallel along a band around the diagonal.
 
@@ -91,12 +116,18 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select("doc_id", "line_no", F.trim("line").alias("line"))
 
 
-def _pairs(edits: int) -> Column:
+def _pairs(limits: tuple[tuple[int, int], ...]) -> Column:
     """From an array of lines (id, block, size, keys, line), sorted, and blocks i and j: links (a, b) that span the links between the blocks' lines (within one block if i = j).
 
     A link to a line that itself links to a smaller partner is left to that line.
     """
-    near = lambda x, y: (F.abs(x["size"] - y["size"]) <= edits) & F.arrays_overlap(x["keys"], y["keys"]) & (F.levenshtein(x["line"], y["line"], edits) >= 0)
+    def near(x: Column, y: Column) -> Column:
+        out = F.lit(False)
+        for least, edits in limits:
+            close = (F.abs(x["size"] - y["size"]) <= edits) & F.arrays_overlap(x["keys"], y["keys"]) & (F.levenshtein(x["line"], y["line"], edits) >= 0)
+            out = F.when(F.least(x["size"], y["size"]) >= least, close).otherwise(out)
+        return out
+
     met = F.transform("lines", lambda x, n: F.filter(F.transform("lines", lambda y, m: F.when((m < n) & ((F.col("i") == F.col("j")) | (x["block"] != y["block"])) & (x["id"] != y["id"]), F.when(near(x, y), m))), lambda m: m.isNotNull()))
     return met
 
@@ -108,20 +139,20 @@ def spanning(found: DataFrame) -> DataFrame:
     return found.select("ids", "met").select(F.explode(links).alias("l")).select("l.a", "l.b")
 
 
-def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, line_no of every line that repeats an earlier one: an occurrence, other than the first, of a class of lines linked by equality or at most ``edits`` edits.
+def line_classes(docs: DataFrame, edits: int | None = None, min_chars: int = 1) -> DataFrame:
+    """doc_id, line_no of every line that repeats an earlier one: an occurrence, other than the first, of a class of lines linked by equality or few edits.
 
-    Order is (doc_id, line_no).  Lines under ``min_chars`` characters, blanks around them not counted, are left alone, as
-    are null texts and null doc_ids.
+    Edits are at most ``edits``, or if that is not given the shorter line's limit in LIMITS.  Order is (doc_id, line_no).
+    Blank lines and lines under ``min_chars`` characters, blanks around them not counted, are left alone, as are null texts
+    and null doc_ids.
     """
-    if min_chars <= edits:
-        raise ValueError("lines must be longer than the edits allowed")
-    lines = lines_of(docs.filter("doc_id is not null")).filter(F.char_length("line") >= min_chars)
+    limits = _limits(edits, min_chars)
+    lines = lines_of(docs.filter("doc_id is not null")).filter((F.char_length("line") >= min_chars) & (F.btrim("line", F.lit(" \t\r")) != ""))
     marked = lines.select("doc_id", "line_no", F.unhex(F.md5("line")).alias("digest"), F.xxhash64("line").alias("id"))
     distinct = table(marked.groupBy("digest").agg(F.min(F.struct("doc_id", "line_no", "id")).alias("first"), F.count("*").alias("n")).select("digest", F.col("first.id").alias("id"), F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"), "n"), "lines")
 
     # candidates: ids chained by shared keys.  An id is a 64-bit hash; two lines that share one are compared all the same
-    pairs = keyed(lines.select(F.xxhash64("line").alias("id"), "line"), edits).select("id", F.explode("keys").alias("key"))
+    pairs = classed(lines.filter(F.char_length("line") >= limits[0][0]).select(F.xxhash64("line").alias("id"), "line"), limits).select("id", F.explode("keys").alias("key"))
     shared = table(pairs.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("tail")).filter("head != tail").select(F.col("key").alias("bucket"), "head"), "buckets")
     few = sift(pairs, "key", sieve(shared, "bucket"))
     chained = few.join(shared.hint("merge"), F.col("key") == F.col("bucket")).filter("id != head").select(F.col("id").alias("a"), F.col("head").alias("b"))
@@ -135,10 +166,10 @@ def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
     texts = sift(lines.withColumn("at", F.xxhash64("doc_id", "line_no")), "at", sieve(firsts.select(F.xxhash64("d", "l").alias("at")), "at"))
     texts = texts.join(firsts.hint("merge"), (F.col("doc_id") == F.col("d")) & (F.col("line_no") == F.col("l")) & (F.xxhash64("line") == F.col("id"))).select("component", "blocks", "block", "id", "line")
     member = F.struct("id", "block", "size", "keys", "line")
-    spread = keyed(texts, edits).select("component", "block", member.alias("member"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    spread = classed(texts, limits).select("component", "block", member.alias("member"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     grouped = spread.groupBy("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.array_sort(F.collect_list("member")).alias("lines"))
     held = grouped.filter(F.size("lines") > 1)
-    compared = table(held.select(_pairs(edits).alias("met"), F.transform("lines", lambda x: x["id"]).alias("ids")), "compared")
+    compared = table(held.select(_pairs(limits).alias("met"), F.transform("lines", lambda x: x["id"]).alias("ids")), "compared")
     joined = table(components(spanning(compared)), "classes")
 
     # first occurrence of each class, then every other occurrence
@@ -154,12 +185,12 @@ def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
     return hits.filter("doc_id != best_doc or line_no != best_line").select("doc_id", "line_no").distinct()
 
 
-def removed_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def removed_lines(docs: DataFrame, edits: int | None = None, min_chars: int = 1) -> DataFrame:
     """_doc, removed (sorted line numbers) of the documents that lose lines."""
     return table(line_classes(docs, edits, min_chars).groupBy(F.col("doc_id").alias("_doc")).agg(F.array_sort(F.collect_list("line_no")).alias("removed")), "removed")
 
 
-def dedup_report(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_report(docs: DataFrame, edits: int | None = None, min_chars: int = 1) -> DataFrame:
     """doc_id, n_lines, n_removed, removed_lines of each row (doc_id, text); a null text has no lines.  Rows that repeat a doc_id lose the same lines.  Other columns are not looked at."""
     removed = removed_lines(docs, edits, min_chars)
     counted = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("size"), F.col("text").isNull().alias("none"))
@@ -168,7 +199,7 @@ def dedup_report(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
     return joined.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("bigint").alias("n_removed"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed_lines"))
 
 
-def drop_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def drop_lines(docs: DataFrame, edits: int | None = None, min_chars: int = 1) -> DataFrame:
     """The rows of docs, with all their columns, texts without the lines that repeat earlier ones.
 
     A document that loses lines and has nothing but blanks left goes; one that had none to lose stays as it is.  Only
