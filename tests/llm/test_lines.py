@@ -106,7 +106,7 @@ def test_limits_are_brute_force(spark):
     root = {x: {x} for x in kinds}
     for i, a in enumerate(kinds):
         for b in kinds[i + 1 :]:
-            if root[a] is not root[b] and near(a, b):
+            if root[a] is not root[b] and (near(a, b) or distance(a.split(" "), b.split(" ")) <= min(a.count(" ") + 1, b.count(" ") + 1) // 10):
                 root[a] |= root[b]
                 root |= dict.fromkeys(root[b], root[a])
     seen, gone = set(), {}
@@ -117,3 +117,33 @@ def test_limits_are_brute_force(spark):
             if x:
                 seen.add(id(root[x]))
     assert {x.doc_id: x.removed_lines for x in line_dedup.dedup_report(df).collect() if x.n_removed} == gone
+
+
+def test_changed_words_are_brute_force(spark):
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefé") for _ in range(r.randrange(3, 9)))
+    base = [[word() for _ in range(n)] for n in (9, 10, 19, 20, 37, 39, 40, 42, 90)]
+    rows = []
+    for i in range(70):
+        words = list(base[i % len(base)])
+        for _ in range(r.randrange(0, len(words) // 10 + 2)):
+            k = r.randrange(len(words))
+            words[k : k + r.randrange(2)] = r.choice([[], [word()]])
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame([(i, t, 0, "k", "x") for i, t in rows], DOCS)
+    near = lambda a, b: abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2 or distance(a.split(" "), b.split(" ")) <= min(a.count(" ") + 1, b.count(" ") + 1) // 10
+    group = {i: {i} for i, _ in rows}
+    for i, a in rows:
+        for j, b in rows[:i]:
+            if group[i] is not group[j] and near(a, b):
+                group[i] |= group[j]
+                group |= dict.fromkeys(group[j], group[i])
+    gone = {i for i in group if min(group[i]) < i}
+    assert {x.doc_id for x in line_dedup.dedup_report(df).collect() if x.n_removed} == gone and 10 < len(gone) < 61
+
+
+def test_long_line_with_a_changed_word_goes(spark):
+    a = " ".join(f"word{i}" for i in range(30))
+    rows = [(1, a), (2, a.replace("word14", "something-else")), (3, a.replace("word3 ", "x ").replace("word8 ", "y ").replace("word15 ", "z ").replace("word22 ", "v "))]
+    df = spark.createDataFrame([(i, t, 0, "k", "x") for i, t in rows], DOCS)
+    assert {r.doc_id: r.n_removed for r in line_dedup.dedup_report(df).collect()} == {1: 0, 2: 1, 3: 0}

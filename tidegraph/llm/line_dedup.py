@@ -5,10 +5,15 @@ indexed by (length, segment number, segment) and probes, for each length up to `
 places the segment can have moved to.  Keys that two lines share chain those lines; the texts of each chained group are
 compared in blocks of bounded size by banded edit distance, and linked lines form classes of which the first
 occurrence stays.
+
+Long lines are also compared word by word: a limit in words grows with the line, and a line within it keeps a run of whole
+words of the other, by whose grams the two are found.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +22,10 @@ from tidegraph.llm.components import components
 
 #: (characters, edits): lines from so many characters on are joined by so many edits, a twentieth of the length at least.  Shorter ones go as exact repeats only.
 LIMITS = ((20, 1), (40, 2))
+#: Lines of so many words or more are also linked if one word in so many of the shorter one's was changed, put in or left out.
+WORDS = 10
+#: Words to a gram, and (words of a line, grams to a window) by which grams are chosen as keys.
+GRAM, WINDOWS = 5, ((20, 2), (40, 4))
 #: Lines to a block.
 BLOCK = 64
 
@@ -68,6 +77,32 @@ def classed(lines: DataFrame, limits: tuple[tuple[int, int], ...]) -> DataFrame:
     return made.withColumn("keys", F.concat(*parts)).select(*names, "keys")
 
 
+def words_of(lines: DataFrame) -> DataFrame:
+    """lines with words (split at each blank) and n_words."""
+    return lines.withColumn("words", F.split("line", " ")).withColumn("n_words", F.size("words"))
+
+
+def word_keys(lines: DataFrame) -> DataFrame:
+    """lines (with words, n_words) with grams: hashes of GRAM words in a row, the least of each window of 1, 2 or 4.  Two lines linked by words share one.
+
+    d changes leave (n - d) / (d + 1) words of the shorter line's n in a row, and d is at most n / 10: 5 words from n = 10
+    on, 6 from 20 on, 8 from 36 on.  So long a run has a whole window of 1, 2 or 4 grams (4 only where both lines
+    have 36 words or more); the least of a window is the least of some window of fewer.
+    """
+    halved = lambda g, half: F.zip_with(F.slice(g, 1, F.size(g) - half), F.slice(g, half + 1, F.size(g) - half), lambda a, b: F.least(a, b))
+    grams = _let(F.split("line", " "), lambda words: F.transform(F.sequence(F.lit(1), F.size(words) - GRAM + 1), lambda i: F.xxhash64(F.slice(words, i, GRAM))))
+    chosen = lambda words, half: lambda g: F.when(F.col("n_words") >= words, halved(g, half)).otherwise(g)
+    least = grams
+    for words, width in WINDOWS:
+        least = _let(least, chosen(words, width // 2))
+    return lines.withColumn("grams", F.when(F.col("n_words") >= WORDS, F.array_distinct(least)).otherwise(F.array().cast("array<bigint>")))
+
+
+def coded(seed: int) -> Column:
+    """Words as a text of one character each, by 20 bits of a hash, so that levenshtein() counts words."""
+    return F.decode(F.unhex(F.array_join(F.transform("words", lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w, F.lit(seed)), F.lit(1 << 20)) + 0x10000), 8, "0")), "")), "UTF-32")
+
+
 def within(a: Column, b: Column, edits: int) -> Column:
     """Whether two arrays of characters are within so many edits, bit-parallel along a band around the diagonal.
 
@@ -116,8 +151,8 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select("doc_id", "line_no", F.trim("line").alias("line"))
 
 
-def _pairs(limits: tuple[tuple[int, int], ...]) -> Column:
-    """From an array of lines (id, block, size, keys, line), sorted, and blocks i and j: links (a, b) that span the links between the blocks' lines (within one block if i = j).
+def _pairs(limits: tuple[tuple[int, int], ...], by_words: bool) -> Column:
+    """From an array of lines (id, block, size, keys, n_words, codes, line), sorted, and blocks i and j: links (a, b) that span the links between the blocks' lines (within one block if i = j).
 
     A link to a line that itself links to a smaller partner is left to that line.
     """
@@ -126,6 +161,10 @@ def _pairs(limits: tuple[tuple[int, int], ...]) -> Column:
         for least, edits in limits:
             close = (F.abs(x["size"] - y["size"]) <= edits) & F.arrays_overlap(x["keys"], y["keys"]) & (F.levenshtein(x["line"], y["line"], edits) >= 0)
             out = F.when(F.least(x["size"], y["size"]) >= least, close).otherwise(out)
+        if by_words:
+            changes = F.floor(F.least(x["n_words"], y["n_words"]) / WORDS).cast("int")
+            alike = [F.call_function("levenshtein", x[c], y[c], changes) >= 0 for c in ("code1", "code2")]
+            out = out | ((changes > 0) & (F.abs(x["n_words"] - y["n_words"]) <= changes) & alike[0] & alike[1])
         return out
 
     met = F.transform("lines", lambda x, n: F.filter(F.transform("lines", lambda y, m: F.when((m < n) & ((F.col("i") == F.col("j")) | (x["block"] != y["block"])) & (x["id"] != y["id"]), F.when(near(x, y), m))), lambda m: m.isNotNull()))
@@ -142,34 +181,44 @@ def spanning(found: DataFrame) -> DataFrame:
 def line_classes(docs: DataFrame, edits: int | None = None, min_chars: int = 1) -> DataFrame:
     """doc_id, line_no of every line that repeats an earlier one: an occurrence, other than the first, of a class of lines linked by equality or few edits.
 
-    Edits are at most ``edits``, or if that is not given the shorter line's limit in LIMITS.  Order is (doc_id, line_no).
+    Edits are at most ``edits``, or if that is not given the shorter line's limit in LIMITS, or one word changed in WORDS of
+    the shorter line's.  Order is (doc_id, line_no).
     Blank lines and lines under ``min_chars`` characters, blanks around them not counted, are left alone, as are null texts
     and null doc_ids.
     """
     limits = _limits(edits, min_chars)
     lines = lines_of(docs.filter("doc_id is not null")).filter((F.char_length("line") >= min_chars) & (F.btrim("line", F.lit(" \t\r")) != ""))
-    marked = lines.select("doc_id", "line_no", F.unhex(F.md5("line")).alias("digest"), F.xxhash64("line").alias("id"))
-    distinct = table(marked.groupBy("digest").agg(F.min(F.struct("doc_id", "line_no", "id")).alias("first"), F.count("*").alias("n")).select("digest", F.col("first.id").alias("id"), F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"), "n"), "lines")
+    by_words = edits is None
+    marked = lines.select("doc_id", "line_no", F.unhex(F.md5("line")).alias("digest"), F.xxhash64("line").alias("id"), (F.char_length("line") - F.char_length(F.replace("line", F.lit(" "))) + 1).alias("n_words"))
+    distinct = table(marked.groupBy("digest").agg(F.min(F.struct("doc_id", "line_no", "id", "n_words")).alias("first"), F.count("*").alias("n")).select("digest", F.col("first.id").alias("id"), F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"), F.col("first.n_words").alias("n_words"), "n"), "lines")
 
     # candidates: ids chained by shared keys.  An id is a 64-bit hash; two lines that share one are compared all the same
-    pairs = classed(lines.filter(F.char_length("line") >= limits[0][0]).select(F.xxhash64("line").alias("id"), "line"), limits).select("id", F.explode("keys").alias("key"))
+    named = classed(lines.filter(F.char_length("line") >= limits[0][0]).select(F.xxhash64("line").alias("id"), "line"), limits)
+    if by_words:
+        named = word_keys(words_of(named)).select("id", F.concat("keys", "grams").alias("keys"))
+    pairs = named.select("id", F.explode("keys").alias("key"))
     shared = table(pairs.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("tail")).filter("head != tail").select(F.col("key").alias("bucket"), "head"), "buckets")
     few = sift(pairs, "key", sieve(shared, "bucket"))
     chained = few.join(shared.hint("merge"), F.col("key") == F.col("bucket")).filter("id != head").select(F.col("id").alias("a"), F.col("head").alias("b"))
     found = table(components(chained), "candidates")
     members = table(found.select(F.col("id").alias("member"), "component").unionByName(found.select(F.col("component").alias("member"), "component").distinct()), "members")
-    sizes = table(members.groupBy(F.col("component").alias("of")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "sizes")
-    placed = table(members.join(sizes.hint("merge"), F.col("component") == F.col("of")).select("member", "component", "blocks", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int").alias("block")), "placed")
-
-    # the text of each distinct candidate line once: where it first occurs
-    firsts = table(distinct.join(placed.hint("merge"), distinct.id == placed.member).select(F.col("doc_id").alias("d"), F.col("line_no").alias("l"), "component", "blocks", "block", "id"), "firsts")
+    # a line meets those of its component in two bands of word counts: counts of linked lines are a band apart at most
+    slack = max([3, *(e for _, e in limits)])
+    band = F.floor(F.log(F.col("n_words") + 20) / math.log1p(slack / 21)).cast("int")
+    banded = distinct.join(members.hint("merge"), distinct.id == members.member).select("doc_id", "line_no", "id", F.explode(F.array(band, band + 1)).alias("band"), "component")
+    banded = table(banded.select("doc_id", "line_no", "id", F.xxhash64("component", "band").alias("component")), "banded")
+    sizes = table(banded.groupBy(F.col("component").alias("of")).agg(F.count("*").alias("many")).filter("many > 1").select("of", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks")), "sizes")
+
+    # the text of each distinct candidate line: where it first occurs
+    firsts = table(banded.join(sizes.hint("merge"), F.col("component") == F.col("of")).select(F.col("doc_id").alias("d"), F.col("line_no").alias("l"), "component", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "id"), "firsts")
     texts = sift(lines.withColumn("at", F.xxhash64("doc_id", "line_no")), "at", sieve(firsts.select(F.xxhash64("d", "l").alias("at")), "at"))
     texts = texts.join(firsts.hint("merge"), (F.col("doc_id") == F.col("d")) & (F.col("line_no") == F.col("l")) & (F.xxhash64("line") == F.col("id"))).select("component", "blocks", "block", "id", "line")
-    member = F.struct("id", "block", "size", "keys", "line")
-    spread = classed(texts, limits).select("component", "block", member.alias("member"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    told = words_of(classed(texts, limits)).withColumns({f"code{seed}": F.when(F.lit(by_words) & (F.col("n_words") >= WORDS), coded(seed)) for seed in (1, 2)})
+    member = F.struct("id", "block", "size", "keys", "n_words", "code1", "code2", "line")
+    spread = told.select("component", "block", member.alias("member"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     grouped = spread.groupBy("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.array_sort(F.collect_list("member")).alias("lines"))
     held = grouped.filter(F.size("lines") > 1)
-    compared = table(held.select(_pairs(limits).alias("met"), F.transform("lines", lambda x: x["id"]).alias("ids")), "compared")
+    compared = table(held.select(_pairs(limits, by_words).alias("met"), F.transform("lines", lambda x: x["id"]).alias("ids")), "compared")
     joined = table(components(spanning(compared)), "classes")
 
     # first occurrence of each class, then every other occurrence
