@@ -1,7 +1,9 @@
-"""Written tables that end a lineage: what a fixpoint or a streaming batch hands on survives the loss of an executor."""
+"""Written tables that end a lineage: what a fixpoint, an operator or a streaming batch hands on survives the loss of an executor."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,14 +13,18 @@ _own: dict[str, str] = {}
 
 
 def root(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The shared folder named in spark.checkpoint.dir.  Only where that is unset and all tasks run in this process, a temporary one, removed at exit."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="tidegraph-core-")
-    return _own[app]
+    context = spark.sparkContext
+    if context.master != "local" and not context.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _own:
+        folder = tempfile.mkdtemp(prefix="tidegraph-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _own[context.applicationId] = "file://" + folder
+    return _own[context.applicationId]
 
 
 def fresh(spark: SparkSession, name: str) -> str:
@@ -26,9 +32,23 @@ def fresh(spark: SparkSession, name: str) -> str:
 
 
 def put(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
+    """df, written to a folder of its own and read back."""
     return put(df, fresh(df.sparkSession, name))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove the folders of tables that cut() or put() returned, when nothing will read them again."""
+    for df in tables:
+        delete(df.sparkSession, df._written_at)
