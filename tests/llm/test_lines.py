@@ -78,16 +78,50 @@ def test_lines_dropped(spark):
     assert line_dedup.drop_lines(spark.createDataFrame([], DOCS)).count() == 0
 
 
-def test_distance_is_levenshtein(spark):
+def test_bit_vectors_are_levenshtein(spark):
     r = random.Random(5)
     pairs = []
-    for _ in range(800):
-        a = "".join(r.choice("abc") for _ in range(r.randrange(8, 25)))
-        pairs.append((a, edited(r, a, r.randrange(0, 6))))
-    for e in (1, 2, 4):
-        df = spark.createDataFrame([x for x in pairs if abs(len(x[0]) - len(x[1])) <= e], "a string, b string").select("a", "b", F.split("a", "").alias("x"), F.split("b", "").alias("y")).cache()
-        bad = df.filter(line_dedup.within(F.col("x"), F.col("y"), e) != (F.levenshtein("a", "b") <= e))
-        assert bad.count() == 0
+    for n in (0, 1, 2, 8, 20, 57, 58, 59, 60, 61, 62, 118, 119, 120, 121, 122, 180, 300) * 40:
+        a = "".join(r.choice("abcé日🙂 ") for _ in range(n))
+        pairs.append(sorted((a, edited(r, a, r.randrange(0, 4)) if n > 3 else a + r.choice(["", "a", "é", "ab"])), key=len))
+    for e in (1, 2):
+        df = spark.createDataFrame([tuple(x) for x in pairs if len(x[1]) - len(x[0]) <= e], "a string, b string").select("a", "b", line_dedup.planes(F.col("a")).alias("x"), line_dedup.planes(F.col("b")).alias("y")).cache()
+        rows, longer, close = F.char_length("a"), F.char_length("b") - F.char_length("a"), F.levenshtein("a", "b") <= e
+        found = line_dedup.within(F.col("x"), F.col("y"), rows, longer, e)
+        assert df.filter(close & ~found).count() == 0 and df.filter(close).count() > 100
+        line = lambda c, v: F.struct(F.col(c).alias("line"), F.col(v).alias("planes"), F.char_length(c).alias("size"))  # noqa: B023, E731
+        for x, y in ((line("a", "x"), line("b", "y")), (line("b", "y"), line("a", "x"))):
+            assert df.select("a", "b", x.alias("p"), y.alias("q")).filter(line_dedup.near(F.col("p"), F.col("q"), e) != close).count() == 0
+
+
+def test_rows_that_share_a_doc_id(spark):
+    a, b = "a line that is long enough to be looked at, here", "an unrelated unique line of another document, kept"
+    rows = [(1, a), (2, a), (2, b), (2, a), (3, f"{b}\n{a}x\nown words"), (None, a), (None, b)]
+    df = spark.createDataFrame([(i, t, 0, "k", "x") for i, t in rows], DOCS).repartition(3)
+    out = sorted(((r.doc_id, r.text) for r in line_dedup.drop_lines(df).collect()), key=str)
+    assert out == sorted([(1, a), (2, b), (3, "own words"), (None, a), (None, b)], key=str)
+    report = [(r.doc_id, r.n_lines, r.removed_lines) for r in line_dedup.dedup_report(df).collect()]
+    assert sorted(map(str, report)) == sorted(map(str, [(1, 1, []), (2, 1, [0]), (2, 1, []), (2, 1, [0]), (3, 3, [0, 1]), (None, 1, []), (None, 1, [])]))
+    same = spark.createDataFrame([(1, a, 0, "k", "x")] * 2 + [(4, a, 0, "k", "x")], DOCS)
+    assert [(r.doc_id, r.text) for r in line_dedup.drop_lines(same).collect()] == [(1, a)] * 2
+
+
+def test_columns_that_clash(spark):
+    a = "a line that is long enough to be looked at, here"
+    names = ("_doc", "_removed", "_key", "row", "id", "sum", "key", "doc", "of", "left", "_at", "_bit", "_word", "_bits", "line", "digest", "gone")
+    df = spark.createDataFrame([(1, a), (2, f"{a}\nown")], "doc_id bigint, text string").withColumns({n: F.lit(n) for n in names})
+    out = line_dedup.drop_lines(df)
+    assert out.columns == df.columns and {r.doc_id: (r.text, r["left"], r["_bits"]) for r in out.collect()} == {1: (a, "left", "_bits"), 2: ("own", "left", "_bits")}
+    assert {r.doc_id: r.n_removed for r in line_dedup.dedup_report(df).collect()} == {1: 0, 2: 1}
+
+
+def test_long_lines_in_bounded_blocks(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BLOCK_CHARS", 4000)
+    r = random.Random(8)
+    base = "".join(r.choice("abcdef ") for _ in range(3000))
+    rows = [(i, edited(r, base, i % 3)) for i in range(12)] + [(99, base * 70)]
+    df = spark.createDataFrame([(i, t, 0, "k", "x") for i, t in rows], DOCS)
+    assert {x.doc_id for x in line_dedup.dedup_report(df).collect() if not x.n_removed} == {0, 99}
 
 
 def test_short_repeats_go(spark):

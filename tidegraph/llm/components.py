@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import table
+from tidegraph.llm.common import drop, table
 
 
 def _state(edges: DataFrame):
@@ -26,9 +26,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             break
         least = table(now.select(F.col("small").alias("node"), "small").unionByName(now.select(F.col("big").alias("node"), "small")).groupBy("node").agg(F.min("small").alias("least")), "least")
         large = table(now.join(least.hint("merge"), now.small == least.node).select("big", F.col("least").alias("small")).distinct(), "edges")
+        drop(least)
         least = table(large.groupBy(F.col("big").alias("node")).agg(F.min("small").alias("least")), "least")
         moved = large.join(least.hint("merge"), large.big == least.node).filter("small != least").select(F.col("small").alias("big"), F.col("least").alias("small"))
         after = table(moved.unionByName(least.select(F.col("node").alias("big"), F.col("least").alias("small"))).distinct(), "edges")
+        drop(now, large, least)
         last, state, now = state, _state(after), after
         if state == last:
             break

@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import read, sieve, sift, table
+from tidegraph.llm.common import drop, read, sieve, sift, table, unwrapped, wrapped
 from tidegraph.llm.components import components
 
 #: (characters, edits): lines from so many characters on are joined by so many edits, a twentieth of the length at least.  Shorter ones go as exact repeats only.
@@ -26,8 +26,12 @@ LIMITS = ((20, 1), (40, 2))
 WORDS = 10
 #: Words to a gram, and (words of a line, grams to a window) by which grams are chosen as keys.
 GRAM, WINDOWS = 5, ((20, 2), (40, 4))
-#: Lines to a block.
-BLOCK = 64
+#: Lines to a block, and characters.
+BLOCK, BLOCK_CHARS = 64, 1 << 16
+#: Rows of the edit matrix that one word of a bit vector stands for; of its 64 bits two on either side reach into the neighbours.
+ROWS = 60
+#: Bits of a character that the vectors compare: all of an ASCII one's.
+PLANES = 7
 
 
 def segments(base: Column, extra: Column, edits: int) -> list[tuple[Column, Column]]:
@@ -49,7 +53,7 @@ def keyed(lines: DataFrame, edits: int) -> DataFrame:
         for i, (start, size) in enumerate(segments(F.col(f"base{shorter}"), F.col(f"extra{shorter}"), edits)):
             right = edits - i  # segments after this one
             for shift in range(max(-i, shorter - right), min(i, shorter + right) + 1):
-                out.append(F.xxhash64(F.col("size") - shorter, F.lit(i), F.substring("line", start + shift, size)))
+                out.append(F.xxhash64(F.col("size") - shorter, F.lit(i), F.lit(edits), F.substring("line", start + shift, size)))
     return sized.withColumn("keys", F.array(*out)).select(*lines.columns, "size", "keys")
 
 
@@ -66,12 +70,11 @@ def classed(lines: DataFrame, limits: tuple[tuple[int, int], ...]) -> DataFrame:
     """keyed() by each limit for the lines that it can link: those of its class, and longer ones that its edits reach."""
     names = [*lines.columns, "size"]
     made, parts = lines, []
-    tagged = lambda edits: lambda key: F.xxhash64(key, F.lit(edits))
     for n, (least, edits) in enumerate(limits):
         most = limits[n + 1][0] + edits - 1 if n + 1 < len(limits) else None
         made = keyed(made.drop("size"), edits)
         fits = F.col("size") >= least if most is None else F.col("size").between(least, most)
-        own = F.when(fits, F.transform("keys", tagged(edits))).otherwise(F.array().cast("array<bigint>"))
+        own = F.when(fits, F.col("keys")).otherwise(F.array().cast("array<bigint>"))
         parts.append(f"keys{edits}")
         made = made.withColumn(parts[-1], own).drop("keys")
     return made.withColumn("keys", F.concat(*parts)).select(*names, "keys")
@@ -103,63 +106,97 @@ def coded(seed: int) -> Column:
     return F.decode(F.unhex(F.array_join(F.transform("words", lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w, F.lit(seed)), F.lit(1 << 20)) + 0x10000), 8, "0")), "")), "UTF-32")
 
 
-def within(a: Column, b: Column, edits: int) -> Column:
-    """Whether two arrays of characters are within so many edits, bit-parallel along a band around the diagonal.
+def planes(line: Column) -> Column:
+    """A line as bit vectors: for each ROWS characters PLANES + 1 longs, bit t of the j-th being bit j of the low bits of the character at ROWS * word + t - 2, and of the last whether there is such a character.
 
-    The join verifies by levenshtein() with a threshold instead, which is banded too and compiled: as SQL lambdas are
-    interpreted, this form takes a hundred times as long (README).  Both give the same answers.
-
-    Bit d of a vector stands for row j + edits - (width - 1 - d) of column j.  vp and vn say where the distance rises or
-    falls down a column; it is followed down the band's lowest diagonal and then along the last row.  Sizes must differ by
-    at most ``edits``.
+    The bits are cut out of the hexadecimal form of the characters' codes, so no expression looks at single characters.
+    """
+    codes = F.hex(F.encode(line, "UTF-32"))
+    high, low = F.regexp_replace(codes, "......(.).", "$1"), F.regexp_replace(codes, ".......(.)", "$1")
+    bit = lambda digits, j: F.translate(digits, "0123456789ABCDEF", "".join(str(x >> j & 1) for x in range(16)))
+    size = F.char_length(line)
+    rows = [bit(low, j) if j < 4 else bit(high, j - 4) for j in range(PLANES)] + [F.repeat(F.lit("1"), size)]
+    padded = F.array(*(F.concat(F.lit("00"), r, F.repeat(F.lit("0"), F.lit(ROWS + 4))) for r in rows))
+    word = lambda own, x: F.conv(F.reverse(F.substring(F.get(own, F.pmod(x, F.lit(PLANES + 1))), F.floor(x / (PLANES + 1)).cast("int") * ROWS + 1, F.lit(64))), 2, -10).cast("bigint")
+    words = (F.floor(size / ROWS).cast("int") + 1) * (PLANES + 1)
+    return _let(padded, lambda own: F.transform(F.sequence(F.lit(0), words - 1), lambda x: word(own, x)))
+
+
+def within(a: Column, b: Column, rows: Column, longer: Column, edits: int) -> Column:
+    """Whether two lines, given by planes(), are within 1 or 2 edits by the bits compared: of two lines within them always true.
+
+    a is the shorter, of ``rows`` characters, b is ``longer`` characters longer, at most ``edits``.  The edit matrix is walked
+    along the diagonals of the band that edits can reach, ROWS rows at a time.  Bit t of a vector r[e][d] stands for row
+    ROWS * word + t - 2 and says whether that row's cell on diagonal d can be reached with e edits: from a cell with one
+    edit less on this diagonal or a neighbouring one, and then along equal characters, which an addition carries through a
+    whole run of them at once.  Bit ROWS + 2 is carried to the next word.
     """
-    width = 2 * edits + 2
-    full, top = (1 << width) - 1, width - 1
-    rows = F.size(a)
-    bit = lambda v, n: F.call_function("shiftright", v, n).bitwiseAND(1)
-
-    def step(s: Column, j: Column) -> Column:
-        match = F.lit(0)
-        char = F.get(b, j - 1)
-        for d in range(width):
-            match = match + F.when(F.get(a, j + (edits - top + d - 1)) == char, 1 << d).otherwise(0)
-        masked = F.struct(match.alias("x"), s["vp"].alias("vp"), s["vn"].alias("vn"), s["dist"].alias("dist"))
-        return _let(masked, lambda v: _let(
-            F.struct(((v["x"].bitwiseAND(v["vp"]) + v["vp"]).bitwiseXOR(v["vp"])).bitwiseOR(v["x"]).bitwiseOR(v["vn"]).bitwiseAND(full).alias("d0"), v["vp"].alias("vp"), v["vn"].alias("vn"), v["dist"].alias("dist")),
-            lambda w: _let(
-                F.struct(w["vn"].bitwiseOR(F.bitwise_not(w["d0"].bitwiseOR(w["vp"]))).bitwiseAND(full).alias("hp"), w["d0"].bitwiseAND(w["vp"]).alias("hn"), w["d0"].alias("d0"), w["dist"].alias("dist")),
-                lambda h: F.struct(
-                    h["hn"].bitwiseOR(F.bitwise_not(F.call_function("shiftright", h["d0"], F.lit(1)).bitwiseOR(h["hp"]))).bitwiseAND(full).alias("vp"),
-                    F.call_function("shiftright", h["d0"], F.lit(1)).bitwiseAND(h["hp"]).alias("vn"),
-                    (h["dist"] + F.when(j + edits <= rows, 1 - bit(h["d0"], F.lit(top))).otherwise(bit(h["hp"], rows - j - edits + top) - bit(h["hn"], rows - j - edits + top))).alias("dist"),
-                ),
-            ),
-        ))
-
-    start = F.struct(F.lit(((1 << (edits + 1)) - 1) << (top - edits)).alias("vp"), F.lit(0).alias("vn"), F.lit(edits).alias("dist"))
-    columns = F.when(F.size(b) > 0, F.sequence(F.lit(1), F.size(b))).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(columns, start, step, lambda s: s["dist"] <= edits)
+    if edits not in (1, 2):
+        raise ValueError("1 or 2 edits")
+    long = lambda x: F.lit(x).cast("bigint")
+    payload, kept, wide = long(((1 << ROWS) - 1) << 2), long(((1 << ROWS + 1) - 1) << 2), PLANES + 1
+    up = lambda x: F.call_function("shiftleft", x, F.lit(1))
+    onward = lambda x: F.shiftrightunsigned(x, ROWS).bitwiseAND(4)  # noqa: E731  the bit carried over, at row 0 of this word
+    either = lambda x, *more: either(x.bitwiseOR(more[0]), *more[1:]) if more else x
+
+    def runs(w: Column, d: int) -> Column:
+        """The rows whose characters on diagonal d are equal."""
+        other = lambda j: (lambda x: x if d == 0 else up(x) if d < 0 else F.shiftrightunsigned(x, d))(F.get(b, w * wide + j))
+        differ = either(*(F.get(a, w * wide + j).bitwiseXOR(other(j)) for j in range(PLANES)))
+        return F.get(a, w * wide + PLANES).bitwiseAND(other(PLANES)).bitwiseAND(F.bitwise_not(differ)).bitwiseAND(payload)
+
+    def along(seeds: Column, equal: Column) -> Column:
+        return _let(seeds.bitwiseAND(kept), lambda s: s.bitwiseOR((s.bitwiseAND(equal) + equal).bitwiseXOR(equal)).bitwiseAND(kept))
+
+    def step(state: Column, w: Column) -> Column:
+        """state: r[0][0], r[1][-1], r[1][0], r[1][1], r[2][longer] of the word before."""
+        before = lambda i: onward(F.get(state, F.lit(i)))
+        start = F.when(w == 0, long(4)).otherwise(before(0))
+
+        def first(m: Column) -> Column:
+            equal = lambda d: F.get(m, F.lit(d + 1))
+            return _let(along(start, equal(0)), lambda r0: _let(F.array(along(up(r0).bitwiseOR(before(1)), equal(-1)), along(either(r0, up(r0), before(2)), equal(0)), along(r0.bitwiseOR(before(3)), equal(1))), lambda r1: second(m, r0, r1)))
+
+        def second(m: Column, r0: Column, r1: Column) -> Column:
+            at = lambda d: F.get(r1, F.lit(d + 1))
+            if edits == 1:
+                last = F.when(longer == 0, at(0)).otherwise(at(1))
+            else:
+                seeds = F.when(longer == 0, either(at(0), up(at(0)), at(-1), up(at(1)))).when(longer == 1, either(at(1), up(at(1)), at(0))).otherwise(at(1))
+                last = along(seeds.bitwiseOR(before(4)), F.get(m, longer + 1))
+            return F.array(r0, at(-1), at(0), at(1), last)
+
+        return _let(F.array(*(runs(w, d) for d in (-1, 0, 1))) if edits == 1 else F.array(*(runs(w, d) for d in (-1, 0, 1)), F.when(longer == 2, runs(w, 2)).otherwise(long(0))), first)
+
+    words = F.sequence(F.lit(0), F.floor(rows / ROWS).cast("int"))
+    reached = F.aggregate(words, F.array(*([long(0)] * 5)), step, lambda s: F.get(s, F.lit(4)))
+    return F.call_function("shiftrightunsigned", reached, F.pmod(rows, F.lit(ROWS)) + 2).bitwiseAND(1) == 1
+
+
+def near(x: Column, y: Column, edits: int) -> Column:
+    """Whether lines (size, planes, line) are within so many edits: by the bit vectors, and what they let pass by the characters in full."""
+    pair = F.when(x["size"] <= y["size"], F.struct(x["planes"].alias("a"), y["planes"].alias("b"), x["size"].alias("rows"))).otherwise(F.struct(y["planes"].alias("a"), x["planes"].alias("b"), y["size"].alias("rows")))
+    return _let(pair, lambda p: within(p["a"], p["b"], p["rows"], F.abs(x["size"] - y["size"]), edits)) & (F.levenshtein(x["line"], y["line"], edits) >= 0)
 
 
 def _let(value: Column, body) -> Column:
-    """body(value) with value computed once."""
+    """body(value) with value computed once, if body is asked for at all."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no (from 0), line (blanks around it dropped) of each line of text."""
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select("doc_id", "line_no", F.trim("line").alias("line"))
+    """doc_id, sum (a hash of text, by which rows of one doc_id are told apart), line_no (from 0), line (blanks around it dropped) of each line of text."""
+    cut = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("sum"), F.split("text", "\n").alias("parts"))
+    return cut.select("doc_id", "sum", F.posexplode("parts").alias("line_no", "line")).select("doc_id", "sum", "line_no", F.trim("line").alias("line"))
 
 
 def _pairs(limits: tuple[tuple[int, int], ...], by_words: bool) -> Column:
-    """From an array of lines (id, block, size, keys, n_words, codes, line), sorted, and blocks i and j: links (a, b) that span the links between the blocks' lines (within one block if i = j).
-
-    A link to a line that itself links to a smaller partner is left to that line.
-    """
-    def near(x: Column, y: Column) -> Column:
+    """From an array of lines (id, block, size, keys, n_words, code1, code2, planes, line), sorted, and blocks i and j: for each line the places of the smaller lines that it links to (only between the blocks, or within one if i = j)."""
+    def linked(x: Column, y: Column) -> Column:
         out = F.lit(False)
         for least, edits in limits:
-            close = (F.abs(x["size"] - y["size"]) <= edits) & F.arrays_overlap(x["keys"], y["keys"]) & (F.levenshtein(x["line"], y["line"], edits) >= 0)
+            close = (F.abs(x["size"] - y["size"]) <= edits) & F.arrays_overlap(x["keys"], y["keys"])
+            close = close & (near(x, y, edits) if edits in (1, 2) else F.levenshtein(x["line"], y["line"], edits) >= 0)
             out = F.when(F.least(x["size"], y["size"]) >= least, close).otherwise(out)
         if by_words:
             changes = F.floor(F.least(x["n_words"], y["n_words"]) / WORDS).cast("int")
@@ -167,8 +204,7 @@ def _pairs(limits: tuple[tuple[int, int], ...], by_words: bool) -> Column:
             out = out | ((changes > 0) & (F.abs(x["n_words"] - y["n_words"]) <= changes) & alike[0] & alike[1])
         return out
 
-    met = F.transform("lines", lambda x, n: F.filter(F.transform("lines", lambda y, m: F.when((m < n) & ((F.col("i") == F.col("j")) | (x["block"] != y["block"])) & (x["id"] != y["id"]), F.when(near(x, y), m))), lambda m: m.isNotNull()))
-    return met
+    return F.transform("lines", lambda x, n: F.filter(F.transform("lines", lambda y, m: F.when((m < n) & ((F.col("i") == F.col("j")) | (x["block"] != y["block"])) & (x["id"] != y["id"]), F.when(linked(x, y), m))), lambda m: m.isNotNull()))
 
 
 def spanning(found: DataFrame) -> DataFrame:
@@ -179,18 +215,19 @@ def spanning(found: DataFrame) -> DataFrame:
 
 
 def line_classes(docs: DataFrame, edits: int | None = None, min_chars: int = 1) -> DataFrame:
-    """doc_id, line_no of every line that repeats an earlier one: an occurrence, other than the first, of a class of lines linked by equality or few edits.
+    """doc_id, sum, line_no of every line that repeats an earlier one: an occurrence, other than the first, of a class of lines linked by equality or few edits.
 
     Edits are at most ``edits``, or if that is not given the shorter line's limit in LIMITS, or one word changed in WORDS of
-    the shorter line's.  Order is (doc_id, line_no).
+    the shorter line's.  Order is (doc_id, sum, line_no), sum being a hash of the document's text: rows that share a doc_id
+    but not the text are documents each, and rows that share both are one.
     Blank lines and lines under ``min_chars`` characters, blanks around them not counted, are left alone, as are null texts
     and null doc_ids.
     """
     limits = _limits(edits, min_chars)
     lines = lines_of(docs.filter("doc_id is not null")).filter((F.char_length("line") >= min_chars) & (F.btrim("line", F.lit(" \t\r")) != ""))
-    by_words = edits is None
-    marked = lines.select("doc_id", "line_no", F.unhex(F.md5("line")).alias("digest"), F.xxhash64("line").alias("id"), (F.char_length("line") - F.char_length(F.replace("line", F.lit(" "))) + 1).alias("n_words"))
-    distinct = table(marked.groupBy("digest").agg(F.min(F.struct("doc_id", "line_no", "id", "n_words")).alias("first"), F.count("*").alias("n")).select("digest", F.col("first.id").alias("id"), F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"), F.col("first.n_words").alias("n_words"), "n"), "lines")
+    by_words, spot = edits is None, ["doc_id", "sum", "line_no"]
+    marked = lines.select(*spot, F.unhex(F.md5("line")).alias("digest"), F.xxhash64("line").alias("id"), F.char_length("line").alias("size"), (F.char_length("line") - F.char_length(F.replace("line", F.lit(" "))) + 1).alias("n_words"))
+    distinct = table(marked.groupBy("digest").agg(F.min(F.struct(*spot, "id", "size", "n_words")).alias("first"), F.count("*").alias("n")).select("digest", "first.id", *(f"first.{c}" for c in spot), "first.size", "first.n_words", "n"), "lines")
 
     # candidates: ids chained by shared keys.  An id is a 64-bit hash; two lines that share one are compared all the same
     named = classed(lines.filter(F.char_length("line") >= limits[0][0]).select(F.xxhash64("line").alias("id"), "line"), limits)
@@ -205,65 +242,70 @@ def line_classes(docs: DataFrame, edits: int | None = None, min_chars: int = 1)
     # a line meets those of its component in two bands of word counts: counts of linked lines are a band apart at most
     slack = max([3, *(e for _, e in limits)])
     band = F.floor(F.log(F.col("n_words") + 20) / math.log1p(slack / 21)).cast("int")
-    banded = distinct.join(members.hint("merge"), distinct.id == members.member).select("doc_id", "line_no", "id", F.explode(F.array(band, band + 1)).alias("band"), "component")
-    banded = table(banded.select("doc_id", "line_no", "id", F.xxhash64("component", "band").alias("component")), "banded")
-    sizes = table(banded.groupBy(F.col("component").alias("of")).agg(F.count("*").alias("many")).filter("many > 1").select("of", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks")), "sizes")
+    banded = distinct.join(members.hint("merge"), distinct.id == members.member).select(*spot, "id", "size", F.explode(F.array(band, band + 1)).alias("band"), "component")
+    banded = table(banded.select(*spot, "id", "size", F.xxhash64("component", "band").alias("component")), "banded")
+    blocks = F.greatest(F.ceil(F.col("many") / BLOCK), F.ceil(F.col("chars") / BLOCK_CHARS)).cast("int")
+    sizes = table(banded.groupBy(F.col("component").alias("of")).agg(F.count("*").alias("many"), F.sum("size").alias("chars")).filter("many > 1").select("of", blocks.alias("blocks")), "sizes")
 
     # the text of each distinct candidate line: where it first occurs
-    firsts = table(banded.join(sizes.hint("merge"), F.col("component") == F.col("of")).select(F.col("doc_id").alias("d"), F.col("line_no").alias("l"), "component", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "id"), "firsts")
-    texts = sift(lines.withColumn("at", F.xxhash64("doc_id", "line_no")), "at", sieve(firsts.select(F.xxhash64("d", "l").alias("at")), "at"))
-    texts = texts.join(firsts.hint("merge"), (F.col("doc_id") == F.col("d")) & (F.col("line_no") == F.col("l")) & (F.xxhash64("line") == F.col("id"))).select("component", "blocks", "block", "id", "line")
-    told = words_of(classed(texts, limits)).withColumns({f"code{seed}": F.when(F.lit(by_words) & (F.col("n_words") >= WORDS), coded(seed)) for seed in (1, 2)})
-    member = F.struct("id", "block", "size", "keys", "n_words", "code1", "code2", "line")
+    firsts = table(banded.join(sizes.hint("merge"), F.col("component") == F.col("of")).select(F.col("doc_id").alias("d"), F.col("sum").alias("s"), F.col("line_no").alias("l"), "component", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "id"), "firsts")
+    texts = sift(lines.withColumn("at", F.xxhash64(*spot)), "at", sieve(firsts.select(F.xxhash64("d", "s", "l").alias("at")), "at"))
+    texts = texts.join(firsts.hint("merge"), (F.col("doc_id") == F.col("d")) & (F.col("sum") == F.col("s")) & (F.col("line_no") == F.col("l")) & (F.xxhash64("line") == F.col("id"))).select("component", "blocks", "block", "id", "line")
+    told = words_of(classed(texts, limits)).withColumns({f"code{seed}": F.when(F.lit(by_words) & (F.col("n_words") >= WORDS), coded(seed)) for seed in (1, 2)}).withColumn("planes", planes(F.col("line")))
+    member = F.struct("id", "block", "size", "keys", "n_words", "code1", "code2", "planes", "line")
     spread = told.select("component", "block", member.alias("member"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     grouped = spread.groupBy("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.array_sort(F.collect_list("member")).alias("lines"))
     held = grouped.filter(F.size("lines") > 1)
     compared = table(held.select(_pairs(limits, by_words).alias("met"), F.transform("lines", lambda x: x["id"]).alias("ids")), "compared")
     joined = table(components(spanning(compared)), "classes")
+    drop(shared, found, members, banded, sizes, firsts, compared)
 
     # first occurrence of each class, then every other occurrence
-    labelled = distinct.join(joined.withColumnRenamed("id", "node").hint("merge"), F.col("id") == F.col("node"), "left").select("digest", "doc_id", "line_no", "n", F.coalesce("component", "id").alias("root"), F.col("component").isNotNull().alias("moved"))
+    labelled = distinct.join(joined.withColumnRenamed("id", "node").hint("merge"), F.col("id") == F.col("node"), "left").select("digest", *spot, "n", F.coalesce("component", "id").alias("root"))
     roots = table(joined.select("component").distinct(), "roots")
     labelled = table(labelled.join(roots.withColumnRenamed("component", "linked").hint("merge"), F.col("root") == F.col("linked"), "left"), "labelled")
-    classes = table(labelled.filter("linked is not null").groupBy("linked").agg(F.min(F.struct("doc_id", "line_no")).alias("best")).select(F.col("linked").alias("class"), F.col("best.doc_id").alias("best_doc"), F.col("best.line_no").alias("best_line")), "first_lines")
-    linked = labelled.filter("linked is not null").join(classes.hint("merge"), F.col("linked") == F.col("class")).select("digest", "best_doc", "best_line")
-    copied = labelled.filter("linked is null and n > 1").select("digest", F.col("doc_id").alias("best_doc"), F.col("line_no").alias("best_line"))
+    classes = table(labelled.filter("linked is not null").groupBy("linked").agg(F.min(F.struct(*spot)).alias("best")).select(F.col("linked").alias("class"), "best"), "first_lines")
+    linked = labelled.filter("linked is not null").join(classes.hint("merge"), F.col("linked") == F.col("class")).select("digest", "best")
+    copied = labelled.filter("linked is null and n > 1").select("digest", F.struct(*spot).alias("best"))
     repeated = table(linked.unionByName(copied).withColumnRenamed("digest", "of"), "repeated")
+    drop(distinct, joined, roots, labelled, classes)
     spots = sift(marked.withColumn("h", F.xxhash64("digest")), "h", sieve(repeated.select(F.xxhash64("of").alias("h")), "h"))
     hits = spots.join(repeated.hint("merge"), F.col("digest") == F.col("of"))
-    return hits.filter("doc_id != best_doc or line_no != best_line").select("doc_id", "line_no").distinct()
+    return hits.filter(F.struct(*spot) != F.col("best")).select(*spot).distinct()
 
 
 def removed_lines(docs: DataFrame, edits: int | None = None, min_chars: int = 1) -> DataFrame:
-    """_doc, removed (sorted line numbers) of the documents that lose lines."""
-    return table(line_classes(docs, edits, min_chars).groupBy(F.col("doc_id").alias("_doc")).agg(F.array_sort(F.collect_list("line_no")).alias("removed")), "removed")
+    """doc, of (the hash of the text), removed (sorted line numbers) of the documents that lose lines."""
+    return table(line_classes(docs, edits, min_chars).groupBy(F.col("doc_id").alias("doc"), F.col("sum").alias("of")).agg(F.array_sort(F.collect_list("line_no")).alias("removed")), "removed")
 
 
 def dedup_report(docs: DataFrame, edits: int | None = None, min_chars: int = 1) -> DataFrame:
-    """doc_id, n_lines, n_removed, removed_lines of each row (doc_id, text); a null text has no lines.  Rows that repeat a doc_id lose the same lines.  Other columns are not looked at."""
+    """doc_id, n_lines, n_removed, removed_lines of each row (doc_id, text); a null text has no lines.  Rows equal in doc_id and text lose the same lines; rows that share only the doc_id are judged apart.  Other columns are not looked at."""
     removed = removed_lines(docs, edits, min_chars)
-    counted = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("size"), F.col("text").isNull().alias("none"))
-    counted = counted.select("doc_id", F.when(F.col("none"), 0).otherwise(F.col("size")).cast("bigint").alias("n_lines"))
-    joined = counted.join(removed.hint("merge"), F.col("doc_id") == F.col("_doc"), "left")
+    counted = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("sum"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("size"), F.col("text").isNull().alias("none"))
+    counted = counted.select("doc_id", "sum", F.when(F.col("none"), 0).otherwise(F.col("size")).cast("bigint").alias("n_lines"))
+    joined = counted.join(removed.hint("merge"), (F.col("doc_id") == F.col("doc")) & (F.col("sum") == F.col("of")), "left")
     return joined.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("bigint").alias("n_removed"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed_lines"))
 
 
 def drop_lines(docs: DataFrame, edits: int | None = None, min_chars: int = 1) -> DataFrame:
     """The rows of docs, with all their columns, texts without the lines that repeat earlier ones.
 
-    A document that loses lines and has nothing but blanks left goes; one that had none to lose stays as it is.  Only
-    documents that lose lines, and the few that the sieve can't tell from them, are shuffled.
+    A document that loses lines and has nothing but blanks left goes; one that had none to lose stays as it is, as do null
+    texts.  Rows equal in doc_id and text are cut alike.  Only documents that lose lines, and the few that the sieve can't
+    tell from them, are shuffled.
     """
-    names, types = docs.columns, dict(docs.dtypes)
-    removed = removed_lines(docs, edits, min_chars).withColumnRenamed("removed", "_removed")
-    rows = docs.withColumn("_key", F.col("doc_id").cast("bigint"))
-    some = sift(rows, "_key", sieve(removed, "_doc"))
-    hit = some.join(removed.hint("merge"), F.col("_key") == F.col("_doc"), "left")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, n: ~F.array_contains("_removed", n)), "\n")
-    cut = hit.withColumn("text", F.when(F.col("_removed").isNull(), F.col("text")).otherwise(left)).filter("_removed is null or trim(text) != ''")
-    if "n_chars" in names:
-        cut = cut.withColumn("n_chars", F.when(F.col("_removed").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(types["n_chars"])))
-    return cut.select(*names).unionByName(sift(rows, "_key", sieve(removed, "_doc"), inside=False).select(*names))
+    types = dict(docs.dtypes)
+    removed = removed_lines(docs, edits, min_chars)
+    among = sieve(removed.select(F.xxhash64("doc", "of").alias("key")), "key")
+    rows = wrapped(docs, id=F.col("doc_id").cast("bigint"), sum=F.xxhash64("text")).withColumn("key", F.xxhash64("id", "sum"))
+    hit = sift(rows, "key", among).join(removed.hint("merge"), (F.col("id") == F.col("doc")) & (F.col("sum") == F.col("of")), "left")
+    text = F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(F.array_join(F.filter(F.split("row.text", "\n"), lambda x, n: ~F.array_contains("removed", n)), "\n"))
+    cut = hit.withColumn("left", text).filter("removed is null or trim(left) != ''")
+    new = F.col("row").withField("text", F.col("left"))
+    if "n_chars" in types:
+        new = new.withField("n_chars", F.when(F.col("removed").isNull(), F.col("row.n_chars")).otherwise(F.char_length("left").cast(types["n_chars"])))
+    return unwrapped(cut.select(new.alias("row")).unionByName(sift(rows, "key", among, inside=False).select("row")))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
