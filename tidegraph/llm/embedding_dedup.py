@@ -15,12 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegraph.llm.blocks import batch_of, groups, links_of
-from tidegraph.llm.common import bounded, partitions, read, small_batches, table
+from tidegraph.llm.common import bounded, drop, partitions, read, small_batches, table
 from tidegraph.llm.components import components
 
 COSINE = 0.98
-#: Vectors of a label to a cell, on average; centroids at most; bytes of the sample they are fitted on, at most.
-CELL, MOST_CELLS, SAMPLE_BYTES = 1024, 4096, 16 << 20
+#: Centroids at most, and bytes of the sample that they are fitted on (or one row for each, if that is more).  There are as many as the root of the largest label's distinct vectors.
+MOST_CELLS, SAMPLE_BYTES = 1024, 16 << 20
 BLOCK = 1024
 
 
@@ -71,7 +71,7 @@ def _placed(centres: dict[int, np.ndarray], cosine: float):
                 near = cells(unit, centres[dim], cosine) if dim in centres else [[0]] * len(own)
                 for i, row, where in zip(own, x, near, strict=True):
                     out += [(labels[i], dim, c, c == where[0], ids[i], counts[i], row.tobytes()) for c in where]
-            yield batch_of(out, ["label", "dim", "cell", "home", "rep", "n", "vector"], [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()])
+            yield batch_of(out, ["label", "dim", "cell", "home", "node", "n", "vector"], [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()])
 
     return run
 
@@ -92,9 +92,9 @@ def _compare(cosine: float):
                 linked &= side[:, None] != side[None, :]
             out += links_of([r[2] for r in rows], np.array([r[3] for r in rows], np.int64), linked)
             if len(out) > 10_000:
-                yield batch_of(out, ["rep", "links", "root"], [pa.int64()] * 3)
+                yield batch_of(out, ["node", "links", "root"], [pa.int64()] * 3)
                 out = []
-        yield batch_of(out, ["rep", "links", "root"], [pa.int64()] * 3)
+        yield batch_of(out, ["node", "links", "root"], [pa.int64()] * 3)
 
     return run
 
@@ -104,8 +104,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
 
     Rows link if their labels are equal and not null and their cosine, in double precision, is at least ``cosine``.  Vectors
     that are null, empty, zero, or hold null or non-finite components link with nothing, nor do vectors of different
-    lengths.  Rows that repeat a vec_id are vectors each to the counts; a null vec_id links with nothing.  Other columns are
-    not looked at.
+    lengths.  Rows that repeat a vec_id are vectors each, linked by what they hold and not by their id; a null vec_id links
+    with nothing.  Other columns are not looked at.
     """
     spark = vectors.sparkSession
     small_batches(spark)
@@ -114,36 +114,41 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     rows = rows.withColumn("usable", F.coalesce(sound, F.lit(False)) & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
     # doubles beside the key would double its size: equal vectors are told by their digest
     rows = rows.withColumn("digest", F.unhex(F.md5(F.to_json(F.struct("label", F.transform("v", lambda x: x + 0.0).alias("v"))))))
-    classes = table(rows.filter("usable").groupBy("digest").agg(F.min(F.struct("vec_id", "label", "v")).alias("m"), F.count("*").alias("n")).select("digest", F.col("m.vec_id").alias("rep"), F.col("m.label").alias("label"), "n", F.col("m.v").alias("v")), "classes")
+    first = rows.filter("usable").groupBy("digest").agg(F.min(F.struct("vec_id", "label", "v")).alias("m"), F.count("*").alias("n"))
+    # a class is known by its place in this table, as two of them can hold vectors of one vec_id
+    classes = table(first.select("digest", F.col("m.vec_id").alias("rep"), F.col("m.label").alias("label"), "n", F.col("m.v").alias("v"), F.monotonically_increasing_id().alias("node")), "classes")
 
     centres: dict[int, np.ndarray] = {}
     for r in classes.groupBy("label", F.size("v").alias("dim")).count().groupBy("dim").agg(F.max("count").alias("most")).collect():
-        k = min(MOST_CELLS, math.ceil(r.most / CELL))
-        if k > 1:
-            size = max(k, min(64 * k, SAMPLE_BYTES // (8 * r.dim)))
-            sample = classes.filter(F.size("v") == r.dim).select("v").orderBy(F.xxhash64("digest"), "digest").limit(size).collect()
-            centres[r.dim] = fit(_unit([x.v for x in sample]), k)
-    placed = table(classes.select("rep", "label", "n", "v").mapInArrow(_placed(centres, cosine), "label bigint, dim int, cell int, home boolean, rep bigint, n bigint, vector binary"), "cells")
+        k = math.ceil(math.sqrt(r.most))
+        size = max(MOST_CELLS, min(64 * k, SAMPLE_BYTES // (8 * r.dim)))
+        sample = classes.filter(F.size("v") == r.dim).select("v").orderBy(F.xxhash64("digest"), "digest").limit(size).collect()
+        centres[r.dim] = fit(_unit([x.v for x in sample]), min(MOST_CELLS, k))
+    placed = table(classes.select("node", "label", "n", "v").mapInArrow(_placed(centres, cosine), "label bigint, dim int, cell int, home boolean, node bigint, n bigint, vector binary"), "cells")
     keys = ["label", "dim", "cell"]
     blocks = lambda c: F.ceil(F.sum(F.when(c, 1).otherwise(0)) / BLOCK).cast("int")
     sizes = table(placed.groupBy(*keys).agg(blocks(F.col("home")).alias("homes"), blocks(~F.col("home")).alias("guests")).filter("homes > 0"), "sizes")
     dealt = placed.join(bounded(sizes), keys)
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), F.when(F.col("home"), F.col("homes")).otherwise(F.col("guests"))).cast("int"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("home"), F.col("homes")).otherwise(F.col("guests"))).cast("int"))
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     pair = lambda guest, i, j: F.struct(guest.alias("guest"), i.alias("i"), j.alias("j"))
     own = F.transform(upto(F.col("homes")), lambda j: pair(F.lit(False), F.least(F.col("block"), j), F.greatest(F.col("block"), j)))
     met = F.transform(upto(F.col("guests")), lambda j: pair(F.lit(True), F.col("block"), j))
     visited = F.transform(upto(F.col("homes")), lambda i: pair(F.lit(True), i, F.col("block")))
     tasks = dealt.withColumn("t", F.explode(F.when(F.col("home"), F.concat(own, met)).otherwise(visited)))
-    tasks = tasks.select(*keys, "t.guest", "t.i", "t.j", "home", "block", "rep", "n", "vector")
+    tasks = tasks.select(*keys, "t.guest", "t.i", "t.j", "home", "block", "node", "n", "vector")
     keys += ["guest", "i", "j"]
     compared = tasks.repartition(partitions(spark), *keys).sortWithinPartitions(*keys)
-    links = table(compared.mapInArrow(_compare(cosine), "rep bigint, links bigint, root bigint"), "links")
-
-    joined = components(links.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "node")
-    counts = links.groupBy("rep").agg(F.sum("links").alias("links"))
-    labelled = classes.select("digest", "rep", "n").join(counts, "rep", "left").join(joined, F.col("rep") == F.col("node"), "left")
-    labelled = table(labelled.select(F.col("digest").alias("of"), F.coalesce("component", "rep").alias("component_id"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "labelled")
+    links = table(compared.mapInArrow(_compare(cosine), "node bigint, links bigint, root bigint"), "links")
+
+    joined = table(components(links.select(F.col("node").alias("a"), F.col("root").alias("b"))).select(F.col("id").alias("member"), F.col("component").alias("into")), "joined")
+    counts = links.groupBy(F.col("node").alias("of")).agg(F.sum("links").alias("links"))
+    grouped = classes.select("digest", "node", "rep", "n").join(counts, F.col("node") == F.col("of"), "left").join(joined, F.col("node") == F.col("member"), "left")
+    grouped = table(grouped.select("digest", "rep", F.coalesce("into", "node").alias("into"), F.col("of").isNotNull().alias("met"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "grouped")
+    heads = table(grouped.filter("met").groupBy(F.col("into").alias("head")).agg(F.min("rep").alias("least")), "heads")
+    labelled = grouped.join(heads, F.col("met") & (F.col("into") == F.col("head")), "left")
+    labelled = table(labelled.select(F.col("digest").alias("of"), F.coalesce("least", "rep").alias("component_id"), "n_links"), "labelled")
+    drop(classes, placed, sizes, links, joined, grouped, heads)
     linked = rows.filter("usable").select("vec_id", "digest").join(labelled, F.col("digest") == F.col("of")).select("vec_id", "n_links", "component_id")
     alone = rows.filter("not usable").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

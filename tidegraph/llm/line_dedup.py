@@ -2,12 +2,9 @@
 
 A line within ``edits`` edits of another keeps one of that line's ``edits + 1`` segments, near its place.  So each line is
 indexed by (length, segment number, segment) and probes, for each length up to ``edits`` shorter, the substrings at the
-places the segment can have moved to.  Keys that two lines share chain those lines; the texts of each chained group are
-compared in blocks of bounded size by banded edit distance, and linked lines form classes of which the first
-occurrence stays.
-
-Long lines are also compared word by word: a limit in words grows with the line, and a line within it keeps a run of whole
-words of the other, by whose grams the two are found.
+places the segment can have moved to.  This is done twice: with characters as the units that are edited, and with words.
+Keys that two lines share chain those lines; the lines of each chained group are compared in blocks of bounded size by
+banded bit-parallel edit distance, and linked lines form classes of which the first occurrence stays.
 """
 
 from __future__ import annotations
@@ -22,39 +19,48 @@ from tidegraph.llm.components import components
 
 #: (characters, edits): lines from so many characters on are joined by so many edits, a twentieth of the length at least.  Shorter ones go as exact repeats only.
 LIMITS = ((20, 1), (40, 2))
-#: Lines of so many words or more are also linked if one word in so many of the shorter one's was changed, put in or left out.
-WORDS = 10
-#: Words to a gram, and (words of a line, grams to a window) by which grams are chosen as keys.
-GRAM, WINDOWS = 5, ((20, 2), (40, 4))
+#: (words, edits): lines from so many words on are also joined by so many words changed, put in or left out.
+WORD_LIMITS = ((10, 1), (20, 2), (100, 3), (200, 4))
+#: Lines of so many words need no segments of characters: two edits change four words at most, and of two lines of which one has fewer words than this and the other not, both have 200 at least.
+SEGMENTED = 206
 #: Lines to a block, and characters.
 BLOCK, BLOCK_CHARS = 64, 1 << 16
-#: Rows of the edit matrix that one word of a bit vector stands for; of its 64 bits two on either side reach into the neighbours.
-ROWS = 60
-#: Bits of a character that the vectors compare: all of an ASCII one's.
+#: Rows of the edit matrix that one word of a bit vector stands for; its other bits reach into the neighbours.
+ROWS = 57
+#: Bits of a unit that the vectors compare: all of an ASCII character's.
 PLANES = 7
 
 
-def segments(base: Column, extra: Column, edits: int) -> list[tuple[Column, Column]]:
-    """(start, length) of each of edits + 1 segments, starts from 1: base characters each, the last ``extra`` ones longer by one."""
-    parts = edits + 1
-    return [(base * i + F.greatest(extra - (parts - i), F.lit(0)) + 1, base + F.when(extra >= parts - i, 1).otherwise(0)) for i in range(parts)]
+def characters(start: Column, size: Column) -> Column:
+    return F.substring("line", start, size)
+
 
+def words(start: Column, size: Column) -> Column:
+    """So many words from the start-th on, split at each blank."""
+    return F.call_function("substring_index", F.call_function("substring_index", F.col("line"), F.lit(" "), start + size - 1), F.lit(" "), -size)
 
-def keyed(lines: DataFrame, edits: int) -> DataFrame:
-    """lines (line and others) with size, its characters, and keys: its own index keys and its probes.  Two lines within so many edits share one.
 
-    Sizes are columns of a step of their own, so that each is computed once and not in every expression that needs it.
+def keys_of(size: Column, edits: int, part=characters) -> Column:
+    """The index keys and probes of column ``line``, of ``size`` units.  Two lines within so many edits share one.
+
+    A line has edits + 1 segments of equal size, the last ones longer by one unit where it doesn't divide.  It probes for the
+    segments of lines up to ``edits`` units shorter, at all places that leave edits enough for what lies before and after.
+    Lists of those places are walked, as an expression for each would make methods too long to be compiled.
     """
-    parts = edits + 1
-    sized = lines.withColumn("size", F.char_length("line"))
-    sized = sized.withColumns({f"base{d}": F.expr(f"int((size - {d}) div {parts})") for d in range(parts)} | {f"extra{d}": F.pmod(F.col("size") - d, F.lit(parts)) for d in range(parts)})
-    out = []
-    for shorter in range(parts):
-        for i, (start, size) in enumerate(segments(F.col(f"base{shorter}"), F.col(f"extra{shorter}"), edits)):
-            right = edits - i  # segments after this one
-            for shift in range(max(-i, shorter - right), min(i, shorter + right) + 1):
-                out.append(F.xxhash64(F.col("size") - shorter, F.lit(i), F.lit(edits), F.substring("line", start + shift, size)))
-    return sized.withColumn("keys", F.array(*out)).select(*lines.columns, "size", "keys")
+    parts, tag = edits + 1, edits if part is characters else -edits
+    places = [[(i, shift + 1) for i in range(parts) for shift in range(max(-i, shorter - edits + i), min(i, shorter + edits - i) + 1)] for shorter in range(parts)]
+
+    def key(left: Column, base: Column, extra: Column, p: Column) -> Column:
+        """extra: by how much the first segments with one unit more come before the last segment."""
+        more = extra + p["i"]
+        return F.xxhash64(left, p["i"], F.lit(tag), F.when(more < 0, part(base * p["i"] + p["at"], base)).otherwise(part(base * p["i"] + more + p["at"], base + 1)))
+
+    def probes(shorter: int) -> Column:
+        told = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(at).alias("at")) for i, at in places[shorter]))
+        left = F.struct((size - shorter).alias("left"), F.floor((size - shorter) / parts).cast("int").alias("base"), (F.pmod(size - shorter, F.lit(parts)) - parts).alias("extra"))
+        return _let(left, lambda v: F.transform(told, lambda p: key(v["left"], v["base"], v["extra"], p)))
+
+    return F.concat(*map(probes, range(parts)))
 
 
 def _limits(edits: int | None, min_chars: int) -> tuple[tuple[int, int], ...]:
@@ -66,44 +72,21 @@ def _limits(edits: int | None, min_chars: int) -> tuple[tuple[int, int], ...]:
     return ((min_chars, edits),)
 
 
-def classed(lines: DataFrame, limits: tuple[tuple[int, int], ...]) -> DataFrame:
-    """keyed() by each limit for the lines that it can link: those of its class, and longer ones that its edits reach."""
-    names = [*lines.columns, "size"]
-    made, parts = lines, []
-    for n, (least, edits) in enumerate(limits):
-        most = limits[n + 1][0] + edits - 1 if n + 1 < len(limits) else None
-        made = keyed(made.drop("size"), edits)
-        fits = F.col("size") >= least if most is None else F.col("size").between(least, most)
-        own = F.when(fits, F.col("keys")).otherwise(F.array().cast("array<bigint>"))
-        parts.append(f"keys{edits}")
-        made = made.withColumn(parts[-1], own).drop("keys")
-    return made.withColumn("keys", F.concat(*parts)).select(*names, "keys")
-
-
-def words_of(lines: DataFrame) -> DataFrame:
-    """lines with words (split at each blank) and n_words."""
-    return lines.withColumn("words", F.split("line", " ")).withColumn("n_words", F.size("words"))
-
-
-def word_keys(lines: DataFrame) -> DataFrame:
-    """lines (with words, n_words) with grams: hashes of GRAM words in a row, the least of each window of 1, 2 or 4.  Two lines linked by words share one.
-
-    d changes leave (n - d) / (d + 1) words of the shorter line's n in a row, and d is at most n / 10: 5 words from n = 10
-    on, 6 from 20 on, 8 from 36 on.  So long a run has a whole window of 1, 2 or 4 grams (4 only where both lines
-    have 36 words or more); the least of a window is the least of some window of fewer.
-    """
-    halved = lambda g, half: F.zip_with(F.slice(g, 1, F.size(g) - half), F.slice(g, half + 1, F.size(g) - half), lambda a, b: F.least(a, b))
-    grams = _let(F.split("line", " "), lambda words: F.transform(F.sequence(F.lit(1), F.size(words) - GRAM + 1), lambda i: F.xxhash64(F.slice(words, i, GRAM))))
-    chosen = lambda words, half: lambda g: F.when(F.col("n_words") >= words, halved(g, half)).otherwise(g)
-    least = grams
-    for words, width in WINDOWS:
-        least = _let(least, chosen(words, width // 2))
-    return lines.withColumn("grams", F.when(F.col("n_words") >= WORDS, F.array_distinct(least)).otherwise(F.array().cast("array<bigint>")))
+def classed(lines: DataFrame, limits: tuple[tuple[int, int], ...], by_words: bool) -> DataFrame:
+    """lines (line, size, n_words and others) with the keys of each limit that can link them: that of their class, and of the class below if its edits reach them."""
+    found = []
+    for unit, part, chosen in (("size", characters, limits), ("n_words", words, WORD_LIMITS if by_words else ())):
+        for n, (least, edits) in enumerate(chosen):
+            fits = F.col(unit) >= least if n + 1 == len(chosen) else F.col(unit).between(least, chosen[n + 1][0] + edits - 1)
+            if by_words and part is characters:
+                fits = fits & (F.col("n_words") < SEGMENTED)
+            found.append(F.when(fits, keys_of(F.col(unit), edits, part)).otherwise(F.array().cast("array<bigint>")))
+    return lines.withColumn("keys", F.concat(*found))
 
 
 def coded(seed: int) -> Column:
-    """Words as a text of one character each, by 20 bits of a hash, so that levenshtein() counts words."""
-    return F.decode(F.unhex(F.array_join(F.transform("words", lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w, F.lit(seed)), F.lit(1 << 20)) + 0x10000), 8, "0")), "")), "UTF-32")
+    """A line's words as a text of one character each, by 20 bits of a hash."""
+    return F.decode(F.unhex(F.array_join(F.transform(F.split("line", " "), lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w, F.lit(seed)), F.lit(1 << 20)) + 0x10000), 8, "0")), "")), "UTF-32")
 
 
 def planes(line: Column) -> Column:
@@ -111,72 +94,78 @@ def planes(line: Column) -> Column:
 
     The bits are cut out of the hexadecimal form of the characters' codes, so no expression looks at single characters.
     """
-    codes = F.hex(F.encode(line, "UTF-32"))
-    high, low = F.regexp_replace(codes, "......(.).", "$1"), F.regexp_replace(codes, ".......(.)", "$1")
+    digit = lambda place: lambda codes: F.regexp_replace(codes, "......(.)." if place else ".......(.)", "$1")
     bit = lambda digits, j: F.translate(digits, "0123456789ABCDEF", "".join(str(x >> j & 1) for x in range(16)))
     size = F.char_length(line)
-    rows = [bit(low, j) if j < 4 else bit(high, j - 4) for j in range(PLANES)] + [F.repeat(F.lit("1"), size)]
-    padded = F.array(*(F.concat(F.lit("00"), r, F.repeat(F.lit("0"), F.lit(ROWS + 4))) for r in rows))
     word = lambda own, x: F.conv(F.reverse(F.substring(F.get(own, F.pmod(x, F.lit(PLANES + 1))), F.floor(x / (PLANES + 1)).cast("int") * ROWS + 1, F.lit(64))), 2, -10).cast("bigint")
-    words = (F.floor(size / ROWS).cast("int") + 1) * (PLANES + 1)
-    return _let(padded, lambda own: F.transform(F.sequence(F.lit(0), words - 1), lambda x: word(own, x)))
+    count = (F.floor(size / ROWS).cast("int") + 1) * (PLANES + 1)
+    padded = lambda row: F.concat(F.lit("00"), row, F.repeat(F.lit("0"), F.lit(64)))
+    rows = lambda digits: F.array(*(padded(bit(F.get(digits, F.lit(j // 4)), j % 4)) for j in range(PLANES)), padded(F.repeat(F.lit("1"), size)))
+    digits = _let(F.hex(F.encode(line, "UTF-32")), lambda codes: F.array(digit(0)(codes), digit(1)(codes)))
+    return _let(digits, lambda two: _let(rows(two), lambda own: F.transform(F.sequence(F.lit(0), count - 1), lambda x: word(own, x))))
 
 
 def within(a: Column, b: Column, rows: Column, longer: Column, edits: int) -> Column:
-    """Whether two lines, given by planes(), are within 1 or 2 edits by the bits compared: of two lines within them always true.
+    """Whether two lines, given by planes(), are within so many edits by the bits compared: of two lines within them always true.
 
-    a is the shorter, of ``rows`` characters, b is ``longer`` characters longer, at most ``edits``.  The edit matrix is walked
-    along the diagonals of the band that edits can reach, ROWS rows at a time.  Bit t of a vector r[e][d] stands for row
-    ROWS * word + t - 2 and says whether that row's cell on diagonal d can be reached with e edits: from a cell with one
-    edit less on this diagonal or a neighbouring one, and then along equal characters, which an addition carries through a
+    a is the shorter, of ``rows`` units, b is ``longer`` units longer, at most ``edits``, which is 4 at most.  The edit matrix
+    is walked along the diagonals of the band that edits can reach, ROWS rows at a time.  Bit t of a vector r[e][d] stands
+    for row ROWS * word + t - 2 and says whether that row's cell on diagonal d can be reached with e edits: from a cell with
+    one edit less on this diagonal or a neighbouring one, and then along equal units, which an addition carries through a
     whole run of them at once.  Bit ROWS + 2 is carried to the next word.
     """
-    if edits not in (1, 2):
-        raise ValueError("1 or 2 edits")
+    if not 1 <= edits <= 4:
+        raise ValueError("1 to 4 edits")
     long = lambda x: F.lit(x).cast("bigint")
     payload, kept, wide = long(((1 << ROWS) - 1) << 2), long(((1 << ROWS + 1) - 1) << 2), PLANES + 1
     up = lambda x: F.call_function("shiftleft", x, F.lit(1))
-    onward = lambda x: F.shiftrightunsigned(x, ROWS).bitwiseAND(4)  # noqa: E731  the bit carried over, at row 0 of this word
-    either = lambda x, *more: either(x.bitwiseOR(more[0]), *more[1:]) if more else x
-
-    def runs(w: Column, d: int) -> Column:
-        """The rows whose characters on diagonal d are equal."""
-        other = lambda j: (lambda x: x if d == 0 else up(x) if d < 0 else F.shiftrightunsigned(x, d))(F.get(b, w * wide + j))
-        differ = either(*(F.get(a, w * wide + j).bitwiseXOR(other(j)) for j in range(PLANES)))
+    least = -F.floor((F.lit(edits) - longer) / 2).cast("int")
+    diagonals = F.sequence(least, longer - least)
+    at = lambda vectors, i: F.coalesce(F.get(vectors, i), long(0))
+
+    def equal(w: Column, d: Column) -> Column:
+        """The rows whose units on diagonal d are equal."""
+        other = lambda j: _shifted(F.get(b, w * wide + j), d)
+        differ = F.get(a, w * wide).bitwiseXOR(other(0))
+        for j in range(1, PLANES):
+            differ = differ.bitwiseOR(F.get(a, w * wide + j).bitwiseXOR(other(j)))
         return F.get(a, w * wide + PLANES).bitwiseAND(other(PLANES)).bitwiseAND(F.bitwise_not(differ)).bitwiseAND(payload)
 
-    def along(seeds: Column, equal: Column) -> Column:
-        return _let(seeds.bitwiseAND(kept), lambda s: s.bitwiseOR((s.bitwiseAND(equal) + equal).bitwiseXOR(equal)).bitwiseAND(kept))
+    def along(seeds: Column, runs: Column) -> Column:
+        return _let(seeds.bitwiseAND(kept), lambda s: s.bitwiseOR((s.bitwiseAND(runs) + runs).bitwiseXOR(runs)).bitwiseAND(kept))
+
+    def level(e: int, found: list[Column], state: Column, runs: Column, w: Column) -> Column:
+        """The vectors of e to edits edits, all of them in one array of arrays; found: those of fewer."""
+        before = lambda i: F.shiftrightunsigned(at(F.get(state, F.lit(e)), i), ROWS).bitwiseAND(4)
 
-    def step(state: Column, w: Column) -> Column:
-        """state: r[0][0], r[1][-1], r[1][0], r[1][1], r[2][longer] of the word before."""
-        before = lambda i: onward(F.get(state, F.lit(i)))
-        start = F.when(w == 0, long(4)).otherwise(before(0))
+        def own(d: Column, i: Column) -> Column:
+            if e == 0:
+                return F.when(d == 0, along(F.when(w == 0, long(4)).otherwise(before(i)), at(runs, i))).otherwise(long(0))
+            last = found[-1]
+            return along(_let(at(last, i), lambda same: same.bitwiseOR(up(same))).bitwiseOR(at(last, i - 1)).bitwiseOR(up(at(last, i + 1))).bitwiseOR(before(i)), at(runs, i))
 
-        def first(m: Column) -> Column:
-            equal = lambda d: F.get(m, F.lit(d + 1))
-            return _let(along(start, equal(0)), lambda r0: _let(F.array(along(up(r0).bitwiseOR(before(1)), equal(-1)), along(either(r0, up(r0), before(2)), equal(0)), along(r0.bitwiseOR(before(3)), equal(1))), lambda r1: second(m, r0, r1)))
+        made = F.transform(diagonals, own)
+        return _let(made, lambda r: F.array(*found, r) if e == edits else level(e + 1, [*found, r], state, runs, w))
 
-        def second(m: Column, r0: Column, r1: Column) -> Column:
-            at = lambda d: F.get(r1, F.lit(d + 1))
-            if edits == 1:
-                last = F.when(longer == 0, at(0)).otherwise(at(1))
-            else:
-                seeds = F.when(longer == 0, either(at(0), up(at(0)), at(-1), up(at(1)))).when(longer == 1, either(at(1), up(at(1)), at(0))).otherwise(at(1))
-                last = along(seeds.bitwiseOR(before(4)), F.get(m, longer + 1))
-            return F.array(r0, at(-1), at(0), at(1), last)
+    none = F.transform(diagonals, lambda _: long(0))
+    step = lambda state, w: _let(F.transform(diagonals, lambda d: equal(w, d)), lambda runs: level(0, [], state, runs, w))
+    last = F.aggregate(F.sequence(F.lit(0), F.floor(rows / ROWS).cast("int")), F.array(*([none] * (edits + 1))), step, lambda s: at(F.get(s, F.lit(edits)), longer - least))
+    return F.call_function("shiftrightunsigned", last, F.pmod(rows, F.lit(ROWS)) + 2).bitwiseAND(1) == 1
 
-        return _let(F.array(*(runs(w, d) for d in (-1, 0, 1))) if edits == 1 else F.array(*(runs(w, d) for d in (-1, 0, 1)), F.when(longer == 2, runs(w, 2)).otherwise(long(0))), first)
 
-    words = F.sequence(F.lit(0), F.floor(rows / ROWS).cast("int"))
-    reached = F.aggregate(words, F.array(*([long(0)] * 5)), step, lambda s: F.get(s, F.lit(4)))
-    return F.call_function("shiftrightunsigned", reached, F.pmod(rows, F.lit(ROWS)) + 2).bitwiseAND(1) == 1
+def _shifted(vector: Column, d: Column) -> Column:
+    return F.when(d >= 0, F.call_function("shiftrightunsigned", vector, d)).otherwise(F.call_function("shiftleft", vector, -d))
 
 
-def near(x: Column, y: Column, edits: int) -> Column:
-    """Whether lines (size, planes, line) are within so many edits: by the bit vectors, and what they let pass by the characters in full."""
-    pair = F.when(x["size"] <= y["size"], F.struct(x["planes"].alias("a"), y["planes"].alias("b"), x["size"].alias("rows"))).otherwise(F.struct(y["planes"].alias("a"), x["planes"].alias("b"), y["size"].alias("rows")))
-    return _let(pair, lambda p: within(p["a"], p["b"], p["rows"], F.abs(x["size"] - y["size"]), edits)) & (F.levenshtein(x["line"], y["line"], edits) >= 0)
+def near(x: Column, y: Column, edits: int, size: str = "size", vectors: str = "planes", texts: tuple[str, ...] = ("line",)) -> Column:
+    """Whether two lines (structs) are within so many edits: by the bit vectors, and what they let pass by the texts in full."""
+    pair = F.when(x[size] <= y[size], F.struct(x[vectors].alias("a"), y[vectors].alias("b"), x[size].alias("rows"))).otherwise(F.struct(y[vectors].alias("a"), x[vectors].alias("b"), y[size].alias("rows")))
+    out = F.abs(x[size] - y[size]) <= edits
+    if edits <= 4:
+        out = out & _let(pair, lambda p: within(p["a"], p["b"], p["rows"], F.abs(x[size] - y[size]), edits))
+    for t in texts:
+        out = out & (F.levenshtein(x[t], y[t], edits) >= 0)
+    return out
 
 
 def _let(value: Column, body) -> Column:
@@ -191,25 +180,21 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def _pairs(limits: tuple[tuple[int, int], ...], by_words: bool) -> Column:
-    """From an array of lines (id, block, size, keys, n_words, code1, code2, planes, line), sorted, and blocks i and j: for each line the places of the smaller lines that it links to (only between the blocks, or within one if i = j)."""
+    """From an array of lines (id, block, size, keys, n_words, planes, line, word_planes, code1, code2), sorted, and blocks i and j: for each line the places of the smaller lines that it links to (only between the blocks, or within one if i = j)."""
     def linked(x: Column, y: Column) -> Column:
-        out = F.lit(False)
+        by_characters, by_word = F.lit(False), F.lit(False)
         for least, edits in limits:
-            close = (F.abs(x["size"] - y["size"]) <= edits) & F.arrays_overlap(x["keys"], y["keys"])
-            close = close & (near(x, y, edits) if edits in (1, 2) else F.levenshtein(x["line"], y["line"], edits) >= 0)
-            out = F.when(F.least(x["size"], y["size"]) >= least, close).otherwise(out)
-        if by_words:
-            changes = F.floor(F.least(x["n_words"], y["n_words"]) / WORDS).cast("int")
-            alike = [F.call_function("levenshtein", x[c], y[c], changes) >= 0 for c in ("code1", "code2")]
-            out = out | ((changes > 0) & (F.abs(x["n_words"] - y["n_words"]) <= changes) & alike[0] & alike[1])
-        return out
+            by_characters = F.when(F.least(x["size"], y["size"]) >= least, near(x, y, edits)).otherwise(by_characters)
+        for least, edits in WORD_LIMITS if by_words else ():
+            by_word = F.when(F.least(x["n_words"], y["n_words"]) >= least, near(x, y, edits, "n_words", "word_planes", ("code1", "code2"))).otherwise(by_word)
+        return F.arrays_overlap(x["keys"], y["keys"]) & (by_characters | by_word)
 
     return F.transform("lines", lambda x, n: F.filter(F.transform("lines", lambda y, m: F.when((m < n) & ((F.col("i") == F.col("j")) | (x["block"] != y["block"])) & (x["id"] != y["id"]), F.when(linked(x, y), m))), lambda m: m.isNotNull()))
 
 
 def spanning(found: DataFrame) -> DataFrame:
     """a, b of the links that lines, met (for each line the places of smaller partners) stand for, without those that others imply."""
-    kept = F.transform("met", lambda own: F.filter(own, lambda m: ~F.exists(own, lambda z: (z < m) & F.array_contains(F.get(F.col("met"), m), z))))
+    kept = F.transform("met", lambda own: F.filter(own, lambda m: ~F.arrays_overlap(own, F.get(F.col("met"), m))))
     links = F.flatten(F.transform(kept, lambda own, n: F.transform(own, lambda m: F.struct(F.get(F.col("ids"), n).alias("a"), F.get(F.col("ids"), m).alias("b")))))
     return found.select("ids", "met").select(F.explode(links).alias("l")).select("l.a", "l.b")
 
@@ -217,30 +202,31 @@ def spanning(found: DataFrame) -> DataFrame:
 def line_classes(docs: DataFrame, edits: int | None = None, min_chars: int = 1) -> DataFrame:
     """doc_id, sum, line_no of every line that repeats an earlier one: an occurrence, other than the first, of a class of lines linked by equality or few edits.
 
-    Edits are at most ``edits``, or if that is not given the shorter line's limit in LIMITS, or one word changed in WORDS of
-    the shorter line's.  Order is (doc_id, sum, line_no), sum being a hash of the document's text: rows that share a doc_id
+    Edits are at most ``edits`` characters, or if that is not given the shorter line's limit in LIMITS, or in words its limit
+    in WORD_LIMITS.  Order is (doc_id, sum, line_no), sum being a hash of the document's text: rows that share a doc_id
     but not the text are documents each, and rows that share both are one.
     Blank lines and lines under ``min_chars`` characters, blanks around them not counted, are left alone, as are null texts
     and null doc_ids.
     """
     limits = _limits(edits, min_chars)
-    lines = lines_of(docs.filter("doc_id is not null")).filter((F.char_length("line") >= min_chars) & (F.btrim("line", F.lit(" \t\r")) != ""))
-    by_words, spot = edits is None, ["doc_id", "sum", "line_no"]
-    marked = lines.select(*spot, F.unhex(F.md5("line")).alias("digest"), F.xxhash64("line").alias("id"), F.char_length("line").alias("size"), (F.char_length("line") - F.char_length(F.replace("line", F.lit(" "))) + 1).alias("n_words"))
+    docs, by_words, spot = docs.filter("doc_id is not null"), edits is None, ["doc_id", "sum", "line_no"]
+    looked_at = (F.char_length("line") >= min_chars) & (F.btrim("line", F.lit(" \t\r")) != "")
+    lines = lines_of(docs).filter(looked_at)
+    n_words = F.char_length("line") - F.char_length(F.replace("line", F.lit(" "))) + 1
+    marked = table(lines.select(*spot, F.unhex(F.md5("line")).alias("digest"), F.xxhash64("line").alias("id"), F.char_length("line").alias("size"), n_words.alias("n_words")), "marked")
     distinct = table(marked.groupBy("digest").agg(F.min(F.struct(*spot, "id", "size", "n_words")).alias("first"), F.count("*").alias("n")).select("digest", "first.id", *(f"first.{c}" for c in spot), "first.size", "first.n_words", "n"), "lines")
 
     # candidates: ids chained by shared keys.  An id is a 64-bit hash; two lines that share one are compared all the same
-    named = classed(lines.filter(F.char_length("line") >= limits[0][0]).select(F.xxhash64("line").alias("id"), "line"), limits)
-    if by_words:
-        named = word_keys(words_of(named)).select("id", F.concat("keys", "grams").alias("keys"))
-    pairs = named.select("id", F.explode("keys").alias("key"))
+    named = classed(lines.filter(F.char_length("line") >= limits[0][0]).select(F.xxhash64("line").alias("id"), "line", F.char_length("line").alias("size"), n_words.alias("n_words")), limits, by_words)
+    # explode() would have the keys made twice, once to see whether there are any
+    pairs = named.select("id", F.explode_outer("keys").alias("key")).filter("key is not null")
     shared = table(pairs.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("tail")).filter("head != tail").select(F.col("key").alias("bucket"), "head"), "buckets")
     few = sift(pairs, "key", sieve(shared, "bucket"))
     chained = few.join(shared.hint("merge"), F.col("key") == F.col("bucket")).filter("id != head").select(F.col("id").alias("a"), F.col("head").alias("b"))
     found = table(components(chained), "candidates")
     members = table(found.select(F.col("id").alias("member"), "component").unionByName(found.select(F.col("component").alias("member"), "component").distinct()), "members")
     # a line meets those of its component in two bands of word counts: counts of linked lines are a band apart at most
-    slack = max([3, *(e for _, e in limits)])
+    slack = max(e for _, e in (*limits, *WORD_LIMITS))
     band = F.floor(F.log(F.col("n_words") + 20) / math.log1p(slack / 21)).cast("int")
     banded = distinct.join(members.hint("merge"), distinct.id == members.member).select(*spot, "id", "size", F.explode(F.array(band, band + 1)).alias("band"), "component")
     banded = table(banded.select(*spot, "id", "size", F.xxhash64("component", "band").alias("component")), "banded")
@@ -249,10 +235,13 @@ def line_classes(docs: DataFrame, edits: int | None = None, min_chars: int = 1)
 
     # the text of each distinct candidate line: where it first occurs
     firsts = table(banded.join(sizes.hint("merge"), F.col("component") == F.col("of")).select(F.col("doc_id").alias("d"), F.col("sum").alias("s"), F.col("line_no").alias("l"), "component", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "id"), "firsts")
-    texts = sift(lines.withColumn("at", F.xxhash64(*spot)), "at", sieve(firsts.select(F.xxhash64("d", "s", "l").alias("at")), "at"))
+    holders = sift(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64(F.col("doc_id").cast("bigint"), F.xxhash64("text")).alias("key")), "key", sieve(firsts.select(F.xxhash64("d", "s").alias("key")), "key"))
+    texts = sift(lines_of(holders).filter(looked_at).withColumn("at", F.xxhash64(*spot)), "at", sieve(firsts.select(F.xxhash64("d", "s", "l").alias("at")), "at"))
     texts = texts.join(firsts.hint("merge"), (F.col("doc_id") == F.col("d")) & (F.col("sum") == F.col("s")) & (F.col("line_no") == F.col("l")) & (F.xxhash64("line") == F.col("id"))).select("component", "blocks", "block", "id", "line")
-    told = words_of(classed(texts, limits)).withColumns({f"code{seed}": F.when(F.lit(by_words) & (F.col("n_words") >= WORDS), coded(seed)) for seed in (1, 2)}).withColumn("planes", planes(F.col("line")))
-    member = F.struct("id", "block", "size", "keys", "n_words", "code1", "code2", "planes", "line")
+    told = classed(texts.withColumns({"size": F.char_length("line"), "n_words": n_words}), limits, by_words).withColumn("planes", planes(F.col("line")))
+    told = told.withColumns({f"code{seed}": F.when(F.lit(by_words) & (F.col("n_words") >= WORD_LIMITS[0][0]), coded(seed)) for seed in (1, 2)})
+    told = told.withColumn("word_planes", F.when(F.col("code1").isNotNull(), planes(F.col("code1"))))
+    member = F.struct("id", "block", "size", "keys", "n_words", "planes", "line", "word_planes", "code1", "code2")
     spread = told.select("component", "block", member.alias("member"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     grouped = spread.groupBy("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.array_sort(F.collect_list("member")).alias("lines"))
     held = grouped.filter(F.size("lines") > 1)
@@ -282,8 +271,7 @@ def removed_lines(docs: DataFrame, edits: int | None = None, min_chars: int = 1)
 def dedup_report(docs: DataFrame, edits: int | None = None, min_chars: int = 1) -> DataFrame:
     """doc_id, n_lines, n_removed, removed_lines of each row (doc_id, text); a null text has no lines.  Rows equal in doc_id and text lose the same lines; rows that share only the doc_id are judged apart.  Other columns are not looked at."""
     removed = removed_lines(docs, edits, min_chars)
-    counted = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("sum"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("size"), F.col("text").isNull().alias("none"))
-    counted = counted.select("doc_id", "sum", F.when(F.col("none"), 0).otherwise(F.col("size")).cast("bigint").alias("n_lines"))
+    counted = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("sum"), F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1, F.lit(0)).cast("bigint").alias("n_lines"))
     joined = counted.join(removed.hint("merge"), (F.col("doc_id") == F.col("doc")) & (F.col("sum") == F.col("of")), "left")
     return joined.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("bigint").alias("n_removed"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed_lines"))
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegraph.llm.blocks import batch_of, groups, links_of
-from tidegraph.llm.common import bounded, partitions, read, sieve, sift, small_batches, table
+from tidegraph.llm.common import bounded, drop, partitions, read, sieve, sift, small_batches, table, unwrapped, wrapped
 from tidegraph.llm.components import components
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.9999
@@ -121,11 +121,11 @@ def _sketched(n: int, bands: int, rows: int):
     def run(batches):
         own = Shingler(n)
         for batch in batches:
-            sets = [own(x) for x in batch.column(1).to_pylist()]
+            sets = [own(x) for x in batch.column(2).to_pylist()]
             full = [s for s in sets if len(s)]
             found = iter(sketch(full, bands, rows)) if full else iter(())
             rows_of = [(xxhash.xxh3_128_digest(s.tobytes()), len(s), next(found)) if len(s) else (None, 0, None) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows_of, strict=True) if rows_of else [[]] * 3, (pa.binary(), pa.int64(), pa.list_(pa.int64())), strict=True))], ["doc_id", "digest", "grams", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(zip(*rows_of, strict=True) if rows_of else [[]] * 3, (pa.binary(), pa.int64(), pa.list_(pa.int64())), strict=True))], ["doc_id", "sum", "digest", "grams", "bands"])
 
     return run
 
@@ -158,63 +158,80 @@ def _verify(threshold: float):
                 linked &= first[:, None] != first[None, :]
             out += links_of(ids, np.array([r[2] for r in rows], np.int64), linked)
             if len(out) > 10_000:
-                yield batch_of(out, ["rep", "links", "root"], [pa.int64()] * 3)
+                yield batch_of(out, ["node", "links", "root"], [pa.int64()] * 3)
                 out = []
-        yield batch_of(out, ["rep", "links", "root"], [pa.int64()] * 3)
+        yield batch_of(out, ["node", "links", "root"], [pa.int64()] * 3)
 
     return run
 
 
-def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """doc_id, n_links, class_id, kept of each document (doc_id, text).
-
-    Words are what white space separates, as they stand.  n_links: the other documents whose n-gram sets have a Jaccard
-    similarity of at least ``threshold``, copies counted each; class_id: the smallest doc_id reachable by links; kept: it is
-    the document's own.  A text that is null or has no word links with nothing; one with fewer than n words counts as one
-    n-gram.  Rows with a null doc_id are returned unlinked; rows that repeat a doc_id count each, and are one node.
-    Other columns are not looked at.
-    """
+def linked(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """doc_id, sum (a hash of text), n_links, class_id, kept of each document (doc_id, text); see jaccard_join()."""
     spark = docs.sparkSession
     small_batches(spark)
     bands, rows = bands_for(threshold, recall)
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    marked = table(texts.mapInArrow(_sketched(n, bands, rows), "doc_id bigint, digest binary, grams bigint, bands array<bigint>"), "sketches")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("sum"), "text")
+    marked = table(texts.mapInArrow(_sketched(n, bands, rows), "doc_id bigint, sum bigint, digest binary, grams bigint, bands array<bigint>"), "sketches")
     usable = marked.filter("digest is not null and doc_id is not null")
-    classes = table(usable.groupBy("digest").agg(F.min(F.struct("doc_id", "grams", "bands")).alias("m"), F.count("*").alias("n")).select("digest", F.col("m.doc_id").alias("rep"), "n", F.col("m.grams").alias("grams"), F.col("m.bands").alias("bands")), "classes")
+    first = usable.groupBy("digest").agg(F.min(F.struct("doc_id", "sum", "grams", "bands")).alias("m"), F.count("*").alias("n"))
+    # a class is known by its place in this table, as two of them can stand for texts of one doc_id
+    classes = table(first.select("digest", F.col("m.doc_id").alias("rep"), F.col("m.sum").alias("rep_sum"), "n", F.col("m.grams").alias("n_grams"), F.col("m.bands").alias("bands"), F.monotonically_increasing_id().alias("node")), "classes")
 
-    banded = classes.select("rep", F.explode("bands").alias("band"))
-    buckets = table(banded.groupBy("band").agg(F.min("rep").alias("head"), F.count("*").alias("size")).filter("size > 1").select(F.col("band").alias("bucket"), "head"), "buckets")
+    banded = classes.select("node", F.explode("bands").alias("band"))
+    buckets = table(banded.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("size")).filter("size > 1").select(F.col("band").alias("bucket"), "head"), "buckets")
     banded = sift(banded, "band", sieve(buckets, "bucket"))
-    chained = banded.join(buckets.hint("merge"), banded.band == buckets.bucket).filter("rep != head").select(F.col("rep").alias("a"), F.col("head").alias("b"))
+    chained = banded.join(buckets.hint("merge"), banded.band == buckets.bucket).filter("node != head").select(F.col("node").alias("a"), F.col("head").alias("b"))
     found = table(components(chained), "candidates")
     members = found.select(F.col("id").alias("member"), "component").unionByName(found.select(F.col("component").alias("member"), "component").distinct())
-    weighed = table(members.join(classes.hint("merge"), members.member == classes.rep).select("rep", "component", "n", "digest", F.col("grams").alias("n_grams")), "members")
+    weighed = table(members.join(classes.hint("merge"), members.member == classes.node).select("node", "rep", "rep_sum", "component", "n", "digest", "n_grams"), "members")
     sizes = table(weighed.groupBy(F.col("component").alias("of")).agg(F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n_grams") / BLOCK_GRAMS)).cast("int").alias("blocks")), "sizes")
-    placed = weighed.join(bounded(sizes.filter("blocks > 1")), F.col("component") == F.col("of"), "left").select("rep", "component", "n", "digest", F.coalesce("blocks", F.lit(1)).alias("blocks"))
-    placed = table(placed.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), "placed")
+    placed = weighed.join(bounded(sizes.filter("blocks > 1")), F.col("component") == F.col("of"), "left").select("node", "rep", "rep_sum", "component", "n", "digest", F.coalesce("blocks", F.lit(1)).alias("blocks"))
+    placed = table(placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "placed")
 
-    # rows that repeat a representative's doc_id with another text are told by their digest
+    # one text for each class, however often its row is repeated
     texts = sift(texts, "doc_id", sieve(placed, "rep"))
-    own = texts.join(placed.hint("merge"), texts.doc_id == placed.rep).select("component", "blocks", "block", "rep", "n", "digest", "text")
-    sets = own.mapInArrow(_sets(n), "component bigint, blocks int, block int, rep bigint, n bigint, grams binary")
+    own = texts.join(placed.hint("merge"), (texts.doc_id == placed.rep) & (texts["sum"] == placed.rep_sum))
+    own = own.groupBy("rep", "rep_sum", "node", "component", "blocks", "block", "n", "digest").agg(F.first("text").alias("text"))
+    sets = own.select("component", "blocks", "block", "node", "n", "digest", "text").mapInArrow(_sets(n), "component bigint, blocks int, block int, node bigint, n bigint, grams binary")
     paired = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    paired = paired.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "n", "grams")
+    paired = paired.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "grams")
     tasks = paired.repartition(partitions(spark), "component", "i", "j").sortWithinPartitions("component", "i", "j")
-    links = table(tasks.mapInArrow(_verify(threshold), "rep bigint, links bigint, root bigint"), "links")
+    links = table(tasks.mapInArrow(_verify(threshold), "node bigint, links bigint, root bigint"), "links")
+
+    joined = table(components(links.select(F.col("node").alias("a"), F.col("root").alias("b"))).select(F.col("id").alias("member"), F.col("component").alias("into")), "joined")
+    counts = links.groupBy(F.col("node").alias("of")).agg(F.sum("links").alias("links"))
+    placed_in = classes.select("digest", "node", "rep", "rep_sum", "n").join(counts.hint("merge"), F.col("node") == F.col("of"), "left").join(joined.hint("merge"), F.col("node") == F.col("member"), "left")
+    placed_in = table(placed_in.select("digest", "rep", "rep_sum", F.coalesce("into", "node").alias("into"), F.col("of").isNotNull().alias("met"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "grouped")
+    heads = table(placed_in.filter("met").groupBy(F.col("into").alias("head")).agg(F.min(F.struct("rep", "rep_sum")).alias("best")), "heads")
+    labelled = placed_in.join(heads.hint("merge"), F.col("met") & (F.col("into") == F.col("head")), "left").withColumn("best", F.coalesce("best", F.struct("rep", "rep_sum")))
+    labelled = table(labelled.select(F.col("digest").alias("of"), F.col("best.rep").alias("class_id"), F.col("best.rep_sum").alias("class_sum"), "n_links"), "labelled")
+    drop(buckets, found, weighed, sizes, placed, links, joined, classes, placed_in, heads)
+    together = usable.select("doc_id", "sum", "digest").join(labelled.hint("merge"), F.col("digest") == F.col("of"))
+    together = together.select("doc_id", "sum", "n_links", "class_id", ((F.col("doc_id") == F.col("class_id")) & (F.col("sum") == F.col("class_sum"))).alias("kept"))
+    alone = marked.filter("digest is null or doc_id is null").select("doc_id", "sum", F.lit(0).cast("bigint").alias("n_links"), F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"))
+    return together.unionByName(alone)
+
 
-    joined = components(links.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "node")
-    counts = links.groupBy("rep").agg(F.sum("links").alias("links"))
-    labelled = classes.select("digest", "rep", "n").join(counts.hint("merge"), "rep", "left").join(joined.hint("merge"), F.col("rep") == F.col("node"), "left")
-    labelled = table(labelled.select(F.col("digest").alias("of"), F.coalesce("component", "rep").alias("class_id"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "labelled")
-    linked = usable.select("doc_id", "digest").join(labelled.hint("merge"), F.col("digest") == F.col("of")).select("doc_id", "n_links", "class_id")
-    alone = marked.filter("digest is null or doc_id is null").select("doc_id", F.lit(0).cast("bigint").alias("n_links"), F.col("doc_id").alias("class_id"))
-    return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """doc_id, n_links, class_id, kept of each row (doc_id, text).
+
+    Words are what white space separates, as they stand.  n_links: the other rows whose n-gram sets have a Jaccard
+    similarity of at least ``threshold``, copies counted each; class_id: the smallest doc_id reachable by links; kept: it is
+    the document's own, and of several texts with that doc_id in the class this is the one with the smallest hash.  A text
+    that is null or has no word links with nothing; one with fewer than n words counts as one n-gram.  Rows with a null
+    doc_id are returned unlinked.  Rows that share a doc_id but not the text are documents each; rows that share both
+    count each and are judged alike.  Other columns are not looked at.
+    """
+    return linked(docs, n, threshold, recall).drop("sum")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, that stand for their class."""
-    gone = table(jaccard_join(docs).filter("not kept").select(F.col("doc_id").alias("gone")), "gone")
-    return docs.join(bounded(gone), docs["doc_id"] == F.col("gone"), "left_anti")
+    """The rows of docs, with all their columns, that stand for their class; rows equal in doc_id and text stay or go together.  Only rows that go, and the few that the sieve can't tell from them, are shuffled."""
+    gone = table(linked(docs).filter("not kept").select(F.col("doc_id").alias("doc"), F.col("sum").alias("of"), F.xxhash64("doc_id", "sum").alias("mark")).distinct(), "gone")
+    among = sieve(gone, "mark")
+    rows = wrapped(docs, id=F.col("doc_id").cast("bigint"), sum=F.xxhash64("text")).withColumn("key", F.xxhash64("id", "sum"))
+    hit = sift(rows, "key", among).join(gone.hint("merge"), (F.col("id") == F.col("doc")) & (F.col("sum") == F.col("of")), "left_anti")
+    return unwrapped(hit.select("row").unionByName(sift(rows, "key", among, inside=False).select("row")))
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
