@@ -5,7 +5,7 @@ import pytest
 from tidegraph.graph import Graph
 from tidegraph.operators import goal as goals
 from tidegraph.operators import maintain
-from tidegraph.operators.fixpoint import infer, infer_expiring
+from tidegraph.operators.fixpoint import advance, infer, infer_expiring
 from tidegraph.sources.n3 import parse_rules
 from tidegraph.sources.rdf import facts
 from tidegraph.terms import FACT, Pattern, Var
@@ -81,6 +81,52 @@ def test_hierarchy_goal_takes_one_step():
     assert len(flat) == 10 and all(r.head.o == "<u:10>" for r in flat)
 
 
+def test_bound_goals_derive_only_what_they_ask_for(spark):
+    rows = [(f"a{i}", "in", f"a{i + 1}") for i in range(12)] + [(f"z{i}", "in", f"z{i + 1}") for i in range(12)]
+    rules, base = parse_rules(IN), frame(spark, rows)
+    goal = Pattern(Var("x"), "<u:in>", "<u:a3>")
+    more, seeds = goals.seeded(goals.relevant(rules, goal), goal)
+    derived = infer(base.unionByName(spark.createDataFrame(seeds, FACT)), more).collect()
+    assert derived and all("z" not in r.s + r.o for r in derived) and not any(r.o == "<u:a9>" for r in derived)
+    assert {r.x for r in goals.answers(base, rules, goal).collect()} == {f"<u:a{i}>" for i in range(3)}
+    assert {r.x for r in goals.answers(base, rules, Pattern("<u:z9>", "<u:in>", Var("x"))).collect()} == {f"<u:z{i}>" for i in (10, 11, 12)}
+    assert goals.answers(base, rules, Pattern("<u:a0>", "<u:in>", "<u:a9>")).count() == 1
+    assert goals.answers(base, rules, Pattern("<u:a0>", "<u:in>", "<u:z9>")).count() == 0
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_bound_goals_are_naive(spark, seed):
+    r = random.Random(seed)
+    rows = sorted({(f"n{r.randrange(6)}", r.choice(["in", "by"]), f"n{r.randrange(6)}") for _ in range(9)} | {(f"n{r.randrange(6)}", "is", r.choice("ABC")) for _ in range(2)})
+    rules = parse_rules(RULES + "{?x <u:by> ?y. ?y <u:in> ?z. ?z <u:is> <u:A>} => {?z <u:by> ?x}. {?x <u:by> ?y} => {?y <u:knows> ?y}.")
+    want, base = closure(rows, rules), frame(spark, rows)
+    for p, place in (("by", "s"), ("by", "o"), ("in", "o"), ("knows", "s"), ("is", "s")):
+        goal = Pattern("<u:n1>", f"<u:{p}>", Var("v")) if place == "s" else Pattern(Var("v"), f"<u:{p}>", "<u:n1>")
+        found = {x.v for x in goals.answers(base, rules, goal, False).collect()}
+        assert found == {(o if place == "s" else s) for s, q, o in want if q == f"<u:{p}>" and (s if place == "s" else o) == "<u:n1>"}, (p, place)
+
+
+def test_time_comes_on(spark):
+    quad = lambda rows: spark.createDataFrame([(f"<u:{s}>", "<u:in>", f"<u:{o}>", e) for s, o, e in rows], FACT + ", exp bigint")
+    first, second, rules = [("a", "b", 5), ("b", "c", 9), ("c", "d", None)], [("d", "e", 12), ("a", "b", 11)], parse_rules(IN)
+    held = infer_expiring(quad(first), rules)
+    for now in (3, 5, 9):
+        got = sorted(map(str, advance(held, quad(second), now, rules).collect()))
+        alive = [r for r in first if r[2] is None or r[2] > now]
+        assert got == sorted(map(str, infer_expiring(quad(alive + second), rules).collect())), now
+        assert sorted(map(str, advance(held, quad([]), now, rules).collect())) == sorted(map(str, infer_expiring(quad(alive), rules).collect()))
+
+
+def test_deletion_puts_back_what_else_holds(spark):
+    rows = [("ann", "leads", "tea"), ("bob", "leads", "tea"), ("ann", "leads", "tar"), ("tea", "part", "top")]
+    rules = parse_rules("{?x <u:leads> ?t} => {?t <u:is> <u:Led>}. {?t <u:is> <u:Led>. ?t <u:part> ?u} => {?u <u:is> <u:Led>}. {?u <u:is> <u:Led>. ?u <u:part> ?u} => {?u <u:is> <u:Loop>}.")
+    base = frame(spark, rows)
+    left, more = maintain.delete(base, infer(base, rules), frame(spark, rows[:1]), rules)
+    assert {tuple(x) for x in left.unionByName(more).collect()} == closure(rows[1:], rules)
+    left, more = maintain.delete(left, more, frame(spark, rows[1:2]), rules)
+    assert {tuple(x) for x in left.unionByName(more).collect()} == closure(rows[2:], rules)
+
+
 def test_expiry_is_longest_derivation_of_first_to_expire(spark):
     rows = [("a", "in", "b", 5), ("b", "in", "c", 9), ("a", "in", "c", 3), ("c", "in", "d", None)]
     df = spark.createDataFrame([(f"<u:{s}>", f"<u:{p}>", f"<u:{o}>", e) for s, p, o, e in rows], FACT + ", exp bigint")

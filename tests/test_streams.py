@@ -1,12 +1,14 @@
 import random
+import time
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidegraph.operators.patterns import KEY
 from tidegraph.streaming import windows
-from tidegraph.streaming.rsp import R2S, RSPBuilder, result_stream
-from tidegraph.terms import FACT
+from tidegraph.streaming.rsp import MODES, R2S, RSPBuilder, result_stream, rsp_engine
+from tidegraph.terms import FACT, UnsupportedQuery
 
 EVENT = FACT + ", ts bigint"
 IN = "{?a <u:in> ?b. ?b <u:in> ?c} => {?a <u:in> ?c}."
@@ -81,10 +83,94 @@ def test_replay_with_rules_and_static_facts(spark):
     plan = RSPBuilder(spark, 10, 2).add_rules(IN).add_query("SELECT ?a ?b WHERE {?a <u:in> ?b}").build()
     got = {r.fire: r["count"] for r in plan.run(chain(spark, range(20))).groupBy(KEY).count().collect()}
     assert got == {t: expected(min(t, 11)) for t in range(1, 20, 2)}
-    static = '<u:sensor1> <u:at> <u:here> .'
-    made = spark.createDataFrame([(f"<u:{i}>", "<u:by>", "<u:sensor1>", i) for i in range(8)], EVENT)
-    plan = RSPBuilder(spark, 4, 2).add_triples(static).add_rules("{?x <u:by> ?s. ?s <u:at> ?w} => {?x <u:madeIn> ?w}.").add_query("SELECT ?x ?w WHERE {?x <u:madeIn> ?w}").build()
-    assert {r.fire: r["count"] for r in plan.run(made).groupBy(KEY).count().collect()} == {1: 1, 3: 3, 5: 5, 7: 5}
+    berths = "<q:pier4> <q:part> <q:harbour> ."
+    docked = spark.createDataFrame([(f"<b:{i}>", "<q:docks>", "<q:pier4>", i) for i in range(8)], EVENT)
+    plan = RSPBuilder(spark, 4, 2).add_triples(berths).add_rules("{?x <q:docks> ?p. ?p <q:part> ?w} => {?x <q:calls> ?w}.").add_query("SELECT ?x ?w WHERE {?x <q:calls> ?w}").build()
+    assert {r.fire: r["count"] for r in plan.run(docked).groupBy(KEY).count().collect()} == {1: 1, 3: 3, 5: 5, 7: 5}
+
+
+def test_long_conjunctions_take_each_pattern_from_either_side(spark):
+    static = "<p:1> <q:a> <p:2> . <p:2> <q:b> <p:3> . <p:3> <q:c> <p:4> . <p:4> <q:d> <p:5> ."
+    rows = [("<p:1>", "<q:a>", "<p:2>", 0), ("<p:2>", "<q:b>", "<p:9>", 1), ("<p:9>", "<q:c>", "<p:4>", 2), ("<p:7>", "<q:x>", "<p:7>", 9)]
+    plan = RSPBuilder(spark, 20, 3).add_triples(static).add_query("SELECT * {?v <q:a> ?w . ?w <q:b> ?x . ?x <q:c> ?y . ?y <q:d> ?z}").build()
+    got = {(r.fire, r.x) for r in plan.run(spark.createDataFrame(rows, EVENT)).collect()}
+    assert got == {(1, "<p:3>"), (9, "<p:3>"), (9, "<p:9>")}
+
+
+def test_state_of_a_set_window(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "item int, ts bigint")
+    told = lambda df: {r.item: r.ts for r in df.collect()}
+    state, one = frame([(1, 3), (2, 5)]), frame([(1, 0)])
+    assert told(windows.add(state, frame([(1, 7), (2, 4), (3, 6)]))) == {1: 7, 2: 5, 3: 6}
+    assert told(windows.add_without_update(state, frame([(1, 7), (3, 6), (3, 8)]))) == {1: 3, 2: 5, 3: 8}
+    assert told(windows.add_after(state, one, frame([(4, 0), (2, 0)]))) == {1: 3, 2: 5, 4: 3}
+    assert told(windows.add_after(state, frame([(9, 0)]), frame([(4, 0)]))) == {1: 3, 2: 5}
+    assert told(windows.add_in_between(state, frame([(5, 4)]))) == {1: 3, 2: 5, 5: 4}
+    assert windows.time_stamp(state, one) == 3 and windows.time_stamp(state, frame([(9, 0)])) is None
+    assert told(windows.remove_old(state, 2, 6)) == {2: 5}
+    came, went = windows.diff(state.select("item"), frame([(2, 0), (3, 0), (3, 1)]).select("item"))
+    assert [r.item for r in came.collect()] == [3] and [r.item for r in went.collect()] == [1]
+
+
+@pytest.mark.parametrize("mode", MODES)
+def test_events_pushed_one_by_one(spark, mode):
+    out = []
+    plan = RSPBuilder(spark, 6, 2).set_operation_mode(mode).add_query("SELECT ?a WHERE {?a <u:in> ?b}").add_consumer(lambda df, n: out.extend(map(tuple, df.collect()))).build()
+    times = [0, 1, 2, 2, 5, 9, 9, 15]
+    push = plan.push()
+    for i, t in enumerate(times):
+        push.add(f"<u:{i}> <u:in> <u:{i + 1}>." if i % 2 else (f"<u:{i}>", "<u:in>", f"<u:{i + 1}>"), t)
+        push.add("<u:late> <u:in> <u:x>", -1)
+    push.stop()
+    assert sorted(out) == sorted(map(tuple, plan.run(chain(spark, times)).collect())) and out
+
+
+def test_callbacks_relations_and_ticks(spark):
+    told = []
+    push = rsp_engine(spark, 4, 2, "{?x <q:docks> ?p. ?p <q:part> ?w} => {?x <q:calls> ?w}.", "<q:pier4> <q:part> <q:harbour> .", "SELECT ?x {?x <q:calls> ?w}", told.append)
+    for i in range(4):
+        push.add(f"<b:{i}> <q:docks> <q:pier4> .", i)
+    push.stop()
+    assert [[r.x for r in rows] for rows in told] == [["<b:0>"], ["<b:0>", "<b:1>", "<b:2>"]]
+    counts = RSPBuilder(spark, 10, 2).add_r2r(lambda fired, held, static: held.groupBy(KEY).count()).build().run(chain(spark, range(6)))
+    assert sorted(map(tuple, counts.collect())) == [(1, 1), (3, 3), (5, 5)]
+    out = []
+    plan = RSPBuilder(spark, 10, 2).add_tick("batch").add_query("SELECT ?a {?a <u:in> ?b}").add_consumer(lambda df, n: out.extend(r.fire for r in df.select(KEY).distinct().collect())).build()
+    push = plan.push()
+    push.held = [(f"<u:{i}>", "<u:in>", "<u:x>", i) for i in range(8)]
+    push.stop()
+    assert out == [7]
+    same = RSPBuilder(spark, 10, 2).add_tick("tuple").add_query("SELECT ?a {?a <u:in> ?b}").build().run(chain(spark, [0, 1, 1, 3]))
+    assert sorted({r.fire for r in same.collect()}) == [1, 3]
+    with pytest.raises(UnsupportedQuery):
+        RSPBuilder(spark, 10, 2, ("periodic",)).add_tick("tuple").add_query("SELECT ?a {?a <u:in> ?b}").build()
+
+
+def test_a_streaming_source(spark, tmp_path):
+    """start() on a file stream, a file a batch, gives what replay gives."""
+    out, times = [], [0, 1, 2, 2, 5, 6, 9, 15, 16]
+    whole = chain(spark, times)
+    rows = whole.collect()
+    for n, part in enumerate((rows[:3], rows[3:7], rows[7:])):
+        spark.createDataFrame(part, EVENT).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)  # files are taken in order of their times
+    plan = RSPBuilder(spark, 6, 2).add_query("SELECT ?a WHERE {?a <u:in> ?b}").add_consumer(lambda df, n: out.extend(map(tuple, df.collect()))).build()
+    events = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = plan.start(events, str(tmp_path / "state"), str(tmp_path / "checkpoint"), availableNow=True)
+    assert query.awaitTermination(120)
+    assert sorted(out) == sorted(map(tuple, plan.run(whole).collect()))
+
+
+def test_content_change(spark):
+    e = spark.createDataFrame([("a", 0), ("a", 2), ("a", 4), ("b", 6), ("b", 8), ("b", 20)], "x string, ts bigint")
+    fired = windows.firings(e, 2, 2)
+    held = {r.fire: r.held for r in windows.content(e, fired, 2, 2).groupBy(KEY).agg(F.array_sort(F.collect_set("x")).alias("held")).collect()}
+    got, before = [], None
+    for t in sorted(r.fire for r in fired.collect()):
+        if held.get(t, []) != before:
+            got.append(t)
+        before = held.get(t, [])
+    assert sorted(r.fire for r in windows.changed(fired, windows.content(e, fired, 2, 2)).collect()) == got and len(got) < fired.count()
 
 
 @pytest.mark.parametrize("kind", R2S)

@@ -11,10 +11,10 @@ from tidegraph import scratch
 from tidegraph.operators import goal as goals
 from tidegraph.operators import maintain
 from tidegraph.operators.fixpoint import SPO, infer
-from tidegraph.operators.patterns import Source
+from tidegraph.operators.patterns import Source, scan
 from tidegraph.plans.compiler import select
 from tidegraph.sources.n3 import parse_rules
-from tidegraph.sources.rdf import facts, read_rdf, statements
+from tidegraph.sources.rdf import facts, parse_lines, read_rdf, statements
 from tidegraph.terms import QUAD, Pattern, Rule
 
 
@@ -30,6 +30,12 @@ class Graph:
         self.rules: list[Rule] = []
         self.add_rules(rules)
 
+    @classmethod
+    def of_lines(cls, spark: SparkSession, text: str) -> Graph:
+        """A graph of facts and rules in the short line format."""
+        rows, rules = parse_lines(text)
+        return cls(spark, spark.createDataFrame(rows, QUAD).distinct(), rules)
+
     def load(self, text: str, syntax: str = "ntriples") -> Graph:
         return self.add(facts(self.spark, text, syntax))
 
@@ -80,6 +86,16 @@ class Graph:
     def contains(self, s: str, p: str, o: str) -> bool:
         return not self.facts().filter((F.col("s") == s) & (F.col("p") == p) & (F.col("o") == o)).isEmpty()
 
+    def get(self, pattern: Pattern) -> DataFrame:
+        """The bindings of a pattern, given facts and inferred ones together."""
+        return scan(self.all_quads(), pattern).distinct()
+
+    def clear(self) -> Graph:
+        """Forget all facts, given and inferred; rules stay."""
+        self.quads = self.spark.createDataFrame([], QUAD)
+        self.inferred = self.quads.select(*SPO)
+        return self
+
     def __len__(self) -> int:
         return self.facts().count()
 

@@ -7,17 +7,15 @@ cannot see what the last round's rules derive are left out on the driver, from t
 from __future__ import annotations
 
 from functools import reduce
-from itertools import product
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegraph import scratch
-from tidegraph.operators.patterns import KEY, join_all, ordered, scan
+from tidegraph.operators.patterns import KEY, either, join_all, ordered, scan
 from tidegraph.terms import Rule, Var
 
 SPO = ["s", "p", "o"]
-_SIDE = "_side"
 
 
 def _head(joined: DataFrame, rule: Rule, keep: tuple[str, ...]) -> DataFrame:
@@ -34,12 +32,14 @@ def derive(rules: list[Rule], known: DataFrame, delta: DataFrame, changed: list[
         for i, atom in enumerate(body):
             if changed is not None and not any(atom.may_match(c.head) for c in changed):
                 continue
-            rest = [j for j in range(len(body)) if j != i]
-            for sides in product((True, False), repeat=len(rest)) if static is not None else ((True,) * len(rest),):
-                scans = {i: scan(delta, atom, keep)}
-                for j, own in zip(rest, sides, strict=True):
-                    scans[j] = scan(known, body[j], keep) if own else scan(static, body[j])
-                parts.append(_head(join_all([scans[j] for j in range(len(body))], ordered(body, i)), rule, keep))
+            order = ordered(body, i)
+            if static is None:
+                joined = join_all([scan(delta if j == i else known, a) for j, a in enumerate(body)], order)
+            else:
+                joined = scan(delta, atom, keep)
+                for j in order[1:]:
+                    joined = either(joined, scan(known, body[j], keep), scan(static, body[j]), len(body))
+            parts.append(_head(joined, rule, keep))
     return reduce(DataFrame.unionByName, parts).distinct() if parts else None
 
 
@@ -65,8 +65,8 @@ def infer(facts: DataFrame, rules: list[Rule], delta: DataFrame | None = None, s
         new = new.join(known, columns, "left_anti")
         if static is not None:
             new = new.join(static.select(*SPO), SPO, "left_anti")
-        delta = scratch.put(new, f"{folder}/{len(paths)}")
-        if delta.isEmpty():
+        delta, found = scratch.counted(new, f"{folder}/{len(paths)}")
+        if not found:
             break
         paths.append(f"{folder}/{len(paths)}")
         known = base.unionByName(spark.read.schema(base.schema).parquet(*paths))
@@ -75,12 +75,22 @@ def infer(facts: DataFrame, rules: list[Rule], delta: DataFrame | None = None, s
     return spark.read.schema(base.schema).parquet(*paths) if paths else base.limit(0)
 
 
-def infer_expiring(facts: DataFrame, rules: list[Rule]) -> DataFrame:
-    """s, p, o, exp of all facts and inferences: a derivation lasts until the first of its facts expires, a fact as long as its longest derivation.  A null exp never expires."""
+def infer_expiring(facts: DataFrame, rules: list[Rule], held: DataFrame | None = None) -> DataFrame:
+    """s, p, o, exp of all facts and inferences: a derivation lasts until the first of its facts expires, a fact as long as its longest derivation.  A null exp never expires.
+
+    held: an earlier result that facts are added to; only what they bring about is derived.
+    """
     never = (1 << 63) - 1
     top = lambda df: df.groupBy(*SPO).agg(F.max("exp").alias("exp"))
-    state = scratch.cut(top(facts.select(*SPO, F.coalesce("exp", F.lit(never)).cast("bigint").alias("exp"))), "expiring")
-    delta, changed, active = state, None, list(rules)
+    told = lambda df: df.select(*SPO, F.coalesce("exp", F.lit(never)).cast("bigint").alias("exp"))
+    later = lambda found, old: found.join(old.withColumnRenamed("exp", "_old"), SPO, "left").filter("_old is null or exp > _old").select(*SPO, "exp")
+    if held is None:
+        state = delta = scratch.cut(top(told(facts)), "expiring")
+    else:
+        before = scratch.cut(told(held), "held")
+        delta = scratch.cut(later(top(told(facts)), before), "new")
+        state = scratch.cut(top(before.unionByName(delta)), "expiring")
+    changed, active = None, list(rules)
     while active:
         parts = []
         for rule in active:
@@ -94,12 +104,19 @@ def infer_expiring(facts: DataFrame, rules: list[Rule]) -> DataFrame:
                 parts.append(_head(joined.withColumn("exp", F.least(*ends) if len(ends) > 1 else ends[0]), rule, ("exp",)))
         if not parts:
             break
-        found = top(reduce(DataFrame.unionByName, parts))
-        old = state.withColumnRenamed("exp", "_old")
-        delta = scratch.cut(found.join(old, SPO, "left").filter("_old is null or exp > _old").select(*SPO, "exp"), "delta")
-        if delta.isEmpty():
+        delta, found = scratch.counted(later(top(reduce(DataFrame.unionByName, parts)), state), scratch.fresh(state.sparkSession, "delta"))
+        if not found:
             break
         state = scratch.cut(top(state.unionByName(delta)), "expiring")
         changed = active
         active = _fed(rules, changed)
     return state.withColumn("exp", F.nullif("exp", F.lit(never)))
+
+
+def advance(held: DataFrame, new: DataFrame, now: int, rules: list[Rule]) -> DataFrame:
+    """s, p, o, exp after time has come to now: what expires by then goes, with all that rested on it, new facts come in, and only what they bring about is derived.
+
+    held: the result of infer_expiring() or of this.  What lasts needs no second look: a fact's exp is the time until which
+    some derivation of it holds whole.
+    """
+    return infer_expiring(new, rules, held.filter(F.col("exp").isNull() | (F.col("exp") > now)))

@@ -1,18 +1,18 @@
 """Triple patterns and their joins as DataFrames: one string column for each variable.
 
 A Source may hold window content beside static facts: keyed facts carry the column KEY (the firing they belong to), static
-ones hold for every key.  A join of n patterns then is the union of the ways to take each from either side, joined on KEY
-where both have it, so static facts are never copied per window.
+ones hold for every key.  A conjunction takes each pattern from either side in turn, joined on KEY where both have it, so
+static facts are never copied per window.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import product
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegraph import scratch
 from tidegraph.terms import Pattern, Term, Var
 
 KEY = "fire"
@@ -81,16 +81,26 @@ def join_all(scans: list[DataFrame], order: list[int]) -> DataFrame:
     return out
 
 
+def either(now: DataFrame, keyed: DataFrame, static: DataFrame, atoms: int) -> DataFrame:
+    """Keyed solutions joined to the next pattern, from either side.  Both joins read ``now``, so beyond three patterns it is written first and the plan stays as long as the conjunction."""
+    if atoms > 3:
+        now = scratch.cut(now, "solutions")
+    out = natural_join(now, keyed)
+    return out.unionByName(natural_join(now, static).select(*out.columns))
+
+
 def match(source: Source, patterns: list[Pattern]) -> DataFrame:
     """The solutions of a conjunction; with KEY if the source has keys."""
     order = ordered(patterns)
     static = join_all([scan(source.static, p) for p in patterns], order)
     if source.keyed is None:
         return static
-    out = natural_join(source.keys, static)
     keyed = [scan(source.keyed, p, (KEY,)) for p in patterns]
     plain = [scan(source.static, p) for p in patterns]
-    for sides in product((True, False), repeat=len(patterns)):
-        if any(sides):
-            out = out.unionByName(join_all([keyed[i] if k else plain[i] for i, k in enumerate(sides)], order).select(*out.columns))
-    return out.distinct()
+    now, still = keyed[order[0]], plain[order[0]]
+    for i in order[1:]:
+        out = either(now, keyed[i], plain[i], len(patterns))
+        now = out.unionByName(natural_join(still, keyed[i]).select(*out.columns))
+        still = natural_join(still, plain[i])
+    out = natural_join(source.keys, static)
+    return out.unionByName(now.select(*out.columns)).distinct()

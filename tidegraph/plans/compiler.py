@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegraph import scratch
 from tidegraph.functions.values import Value, aggregate, evaluate, number
-from tidegraph.operators.fixpoint import infer
+from tidegraph.operators.goal import closure, reach
 from tidegraph.operators.patterns import KEY, Source, match, natural_join
 from tidegraph.plans.sparql import Group, Path, Query, parse_query
-from tidegraph.terms import Pattern, Rule, UnsupportedQuery, Var
+from tidegraph.terms import Pattern, UnsupportedQuery, Var
 
 NODE = "_node"
 
@@ -27,6 +28,26 @@ class Compiler:
 
     # a solution is (df, loose): loose variables may be unbound
 
+    def parts(self, left, right, shared: list[str]):
+        """Ways in which the shared variables of two solutions can be bound: (rows of left, rows of right with columns _r_, variables that both bind).  Each is an equi-join."""
+        (a, la), (b, lb) = left, right
+        b = b.select(*(F.col(c).alias(f"_r_{c}") if c in shared else F.col(c) for c in b.columns))
+        open_a, open_b = [c for c in shared if c in la], [c for c in shared if c in lb]
+        for sides in product((True, False), repeat=len(open_a) + len(open_b)):
+            bound_a, bound_b = dict(zip(open_a, sides, strict=False)), dict(zip(open_b, sides[len(open_a):], strict=True))
+            rows_a, rows_b = a, b
+            for c, there in bound_a.items():
+                rows_a = rows_a.filter(F.col(c).isNotNull() if there else F.col(c).isNull())
+            for c, there in bound_b.items():
+                rows_b = rows_b.filter(F.col(f"_r_{c}").isNotNull() if there else F.col(f"_r_{c}").isNull())
+            yield rows_a, rows_b, [c for c in shared if bound_a.get(c, True) and bound_b.get(c, True)]
+
+    @staticmethod
+    def meet(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+        if on:
+            return a.join(b, reduce(Column.__and__, [F.col(c) == F.col(f"_r_{c}") for c in on]), how)
+        return a.crossJoin(b) if how == "inner" else a.join(b.limit(1).select(), F.lit(True), how)
+
     def join(self, left, right, how: str = "inner"):
         (a, la), (b, lb) = left, right
         shared = [c for c in a.columns if c in b.columns]
@@ -38,29 +59,37 @@ class Compiler:
             if how == "left":
                 return a.join(b, F.lit(True), "left"), loose
             return natural_join(a, b), loose
-        b = b.select(*(F.col(c).alias(f"_r_{c}") if c in shared else F.col(c) for c in b.columns))
-        fits = reduce(Column.__and__, [(F.col(c) == F.col(f"_r_{c}")) | (F.col(c).isNull() if c in la else F.lit(False)) | (F.col(f"_r_{c}").isNull() if c in lb else F.lit(False)) for c in shared])
-        out = a.join(b, fits, how)
-        return out.select(*(F.coalesce(c, f"_r_{c}").alias(c) if c in shared else F.col(c) for c in a.columns), *rest), loose - {c for c in shared if c not in la or c not in lb}
+        if how == "left":
+            return self.optional(left, right, [])
+        out = reduce(DataFrame.unionByName, [self.meet(x, y, on).select(*(F.coalesce(c, f"_r_{c}").alias(c) if c in shared else F.col(c) for c in a.columns), *rest) for x, y, on in self.parts(left, right, shared)])
+        return out, loose - {c for c in shared if c not in la or c not in lb}
 
-    def path(self, path: Path) -> DataFrame:
-        """Pairs that a repeated predicate links, by the rule engine; '*' and '?' hold of every node with itself too."""
-        edges = self.source.static.filter(F.col("p") == path.p).select("s", "p", "o").distinct()
+    def path(self, path: Path, fixed: dict[str, str]) -> DataFrame:
+        """Pairs that a path links; '*' and '?' hold of every node with itself too.  A path that is repeated is followed from an end that is constant, or that a filter fixes, if there is one, else by the rule engine."""
         if self.keyed:
             raise UnsupportedQuery("property paths over windows")
-        x, y, z = Var("x"), Var("y"), Var("z")
-        if path.kind != "?":
-            edges = edges.unionByName(infer(edges, [Rule((Pattern(x, path.p, y), Pattern(y, path.p, z)), Pattern(x, path.p, z))]))
-        pairs = edges.select("s", "o")
-        if path.kind != "+":
-            nodes = self.source.static.select(F.explode(F.array("s", "o")).alias(NODE))
-            ends = [t for t in (path.s, path.o) if not isinstance(t, Var)]
-            if ends:
-                nodes = nodes.unionByName(self.spark.createDataFrame([(t,) for t in ends], f"{NODE} string"))
+        facts, forth = self.source.static, [p for p, back in path.steps if not back]
+        reverse = [p for p, back in path.steps if back]
+        ways = []
+        if forth:
+            ways.append(facts.filter(~F.col("p").isin(forth) if path.other else F.col("p").isin(forth)).select("s", "o"))
+        if reverse:
+            ways.append(facts.filter(~F.col("p").isin(reverse) if path.other else F.col("p").isin(reverse)).select(F.col("o").alias("s"), F.col("s").alias("o")))
+        pairs = reduce(DataFrame.unionByName, ways)
+        ends = {place: t for place, t in (("s", path.s), ("o", path.o)) if not isinstance(t, Var)}
+        start = ends | {place: fixed[t.name] for place, t in (("s", path.s), ("o", path.o)) if isinstance(t, Var) and t.name in fixed}
+        if path.kind:
+            pairs = pairs.distinct()
+        if path.kind in ("+", "*"):
+            pairs = reach(pairs, *next(iter(start.items()))) if start else closure(pairs)
+        if path.kind in ("*", "?"):
+            if start:
+                nodes = self.spark.createDataFrame([(t,) for t in start.values()], f"{NODE} string")
+            else:
+                nodes = facts.select(F.explode(F.array("s", "o")).alias(NODE))
             pairs = pairs.unionByName(nodes.select(F.col(NODE).alias("s"), F.col(NODE).alias("o"))).distinct()
-        for place, term in (("s", path.s), ("o", path.o)):
-            if not isinstance(term, Var):
-                pairs = pairs.filter(F.col(place) == term)
+        for place, term in ends.items():
+            pairs = pairs.filter(F.col(place) == term)
         if isinstance(path.s, Var) and path.s == path.o:
             return pairs.filter("s = o").select(F.col("s").alias(path.s.name))
         names = [F.col(place).alias(t.name) for place, t in (("s", path.s), ("o", path.o)) if isinstance(t, Var)]
@@ -69,13 +98,14 @@ class Compiler:
     def group(self, group: Group):
         now, filters = (self.unit(), set()), []
         started = False
+        fixed = {f[2][1]: f[3][1] for f in (i[1] for i in group.items if i[0] == "filter") if f[:2] == ("cmp", "=") and f[2][0] == "var" and f[3][0] == "term" and f[3][1].startswith("<")}
         for kind, *rest in group.items:
             if kind == "bgp":
                 patterns = [p for p in rest[0] if isinstance(p, Pattern)]
                 part = (match(self.source, patterns), set()) if patterns else (self.unit(), set())
                 for p in rest[0]:
                     if isinstance(p, Path):
-                        part = self.join(part, (self.path(p), set()))
+                        part = self.join(part, (self.path(p, fixed), set()))
                 now = self.join(now, part) if started else part
             elif kind == "union":
                 arms = [self.group(g) for g in rest[0]]
@@ -84,8 +114,7 @@ class Compiler:
                 df = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [a for a, _ in arms])
                 now = self.join(now, (df, loose)) if started else (df, loose)
             elif kind == "query":
-                df = self.run(rest[0])
-                part = (df, {c for c in df.columns if c != KEY})
+                part = self.solve(rest[0])
                 now = self.join(now, part) if started else part
             elif kind == "optional":
                 inner = Group([i for i in rest[0].items if i[0] != "filter"])
@@ -117,39 +146,42 @@ class Compiler:
         return {c: F.col(c) for c in df.columns if c != KEY}
 
     def optional(self, left, right, conditions):
-        if not conditions:
+        (a, la), (_, lb) = left, right
+        shared = [c for c in a.columns if c in right[0].columns]
+        if not conditions and not set(shared) & (la | lb):
             return self.join(left, right, "left")
-        a, la = left
-        marked = a.withColumn("_row", F.monotonically_increasing_id())
-        marked = scratch.cut(marked, "optional")  # row numbers must not change between uses
+        marked = scratch.cut(a.withColumn("_row", F.monotonically_increasing_id()), "optional")  # row numbers must not change between uses
         inner, loose = self.join((marked, la), right)
         for c in conditions:
             inner = inner.filter(evaluate(c, self.names(inner)).bool())
         rest = marked.join(inner.select("_row"), "_row", "left_anti")
         out = inner.unionByName(rest, allowMissingColumns=True).drop("_row")
-        return out, loose | {c for c in out.columns if c not in a.columns}
+        return out, loose | la | {c for c in out.columns if c not in a.columns}
 
     def apart(self, left, right, minus: bool, wanted: bool = False):
+        """Rows of left that agree with some row of right (wanted) or with none; for MINUS rows that bind no variable in common don't agree."""
         (a, la), (b, lb) = left, right
         shared = [c for c in a.columns if c in b.columns]
         if not [c for c in shared if c != KEY] and minus:
             return left
-        b = b.select(*(F.col(c).alias(f"_r_{c}") for c in shared)).distinct()
-        fits = F.lit(True)
-        for c in shared:
-            same = F.col(c) == F.col(f"_r_{c}")
-            fits = fits & ((same | F.col(c).isNull() | F.col(f"_r_{c}").isNull()) if c in la | lb else same)
-        if minus and (la | lb):
-            fits = fits & reduce(Column.__or__, [F.col(c).isNotNull() & F.col(f"_r_{c}").isNotNull() for c in shared if c != KEY])
-        return a.join(b, fits, "left_semi" if wanted else "left_anti"), la
-
-    def grouped(self, df: DataFrame, q: Query) -> tuple[DataFrame, Query]:
-        """Groups and aggregates; the query that is left refers to their columns."""
+        b = b.select(*shared).distinct()
+        if not set(shared) & (la | lb):
+            (rows, others, on), = self.parts(left, (b, lb), shared)
+            return self.meet(rows, others, on, "left_semi" if wanted else "left_anti"), la
+        marked = scratch.cut(a.withColumn("_row", F.monotonically_increasing_id()), "apart")
+        agree = [self.meet(x, y, on, "left_semi").select("_row") for x, y, on in self.parts((marked, la), (b, lb), shared) if not minus or [c for c in on if c != KEY]]
+        if not agree:
+            return left
+        return marked.join(reduce(DataFrame.unionByName, agree), "_row", "left_semi" if wanted else "left_anti").drop("_row"), la
+
+    def grouped(self, df: DataFrame, q: Query) -> tuple[DataFrame, Query, set[str]]:
+        """Groups and aggregates; the query that is left, which refers to their columns; and those columns that are always bound."""
         for name, expr in q.groups:
             if expr is not None:
                 df = df.withColumn(name, evaluate(expr, self.names(df)).term())
         keys = [*([KEY] if self.keyed else []), *(n for n, _ in q.groups)]
         found: dict[str, Column] = {}
+        sure: set[str] = set()
         names = self.names(df)
 
         def lift(e):
@@ -158,6 +190,8 @@ class Compiler:
                 column = aggregate(name, None if arg is None else evaluate(arg, names), distinct, separator)
                 place = f"_agg{len(found)}"
                 found[place] = column
+                if name in ("COUNT", "AVG"):
+                    sure.add(place)
                 return ("var", place)
             if isinstance(e, tuple):
                 return tuple(lift(x) for x in e)
@@ -172,30 +206,38 @@ class Compiler:
             out = df.select(*keys).distinct()
         for h in having:
             out = out.filter(evaluate(h, self.names(out)).bool())
-        return out, Query(columns=columns, distinct=q.distinct, order=order, limit=q.limit, offset=q.offset)
+        return out, Query(columns=columns, distinct=q.distinct, order=order, limit=q.limit, offset=q.offset), sure
 
     @staticmethod
     def has_aggregate(e) -> bool:
         return isinstance(e, (tuple, list)) and (bool(e) and e[0] == "agg" or any(Compiler.has_aggregate(x) for x in e))
 
     def run(self, q: Query) -> DataFrame:
+        return self.solve(q)[0]
+
+    def solve(self, q: Query):
+        """(the result, those of its variables that may be unbound)."""
         keep = [KEY] if self.keyed else []
         if q.form == "DESCRIBE":
-            return self.describe(q)
-        df, _ = self.group(q.where)
+            return self.describe(q), set()
+        df, loose = self.group(q.where)
         if q.form == "ASK":
-            return df.agg((F.count("*") > 0).alias("answer")) if not self.keyed else df.select(KEY).distinct()
+            return (df.agg((F.count("*") > 0).alias("answer")) if not self.keyed else df.select(KEY).distinct()), set()
         if q.form == "CONSTRUCT":
             made = []
             for t in q.template:
                 column = lambda x: F.col(x.name) if isinstance(x, Var) else F.lit(x)
                 made.append(df.select(*keep, column(t.s).alias("s"), column(t.p).alias("p"), column(t.o).alias("o")))
-            return reduce(DataFrame.unionByName, made).filter("s is not null and p is not null and o is not null and not startswith(s, '\"')").distinct()
+            return reduce(DataFrame.unionByName, made).filter("s is not null and p is not null and o is not null and not startswith(s, '\"')").distinct(), set()
         if q.groups or any(self.has_aggregate(e) for _, e in q.columns or []) or q.having:
-            df, q = self.grouped(df, q)
+            loose = loose | {n for n, e in q.groups if e is not None}
+            df, q, sure = self.grouped(df, q)
+            loose |= {c for c in df.columns if c.startswith("_agg")} - sure
         for name, expr in q.columns or []:
             if expr is not None:
                 df = df.withColumn(name, evaluate(expr, self.names(df)).term())
+                if expr[0] != "var" or expr[1] in loose:
+                    loose = loose | {name}
         order = []
         for expr, up in q.order:
             v: Value = evaluate(expr, self.names(df))
@@ -205,6 +247,7 @@ class Compiler:
             raise UnsupportedQuery("ORDER BY, LIMIT and OFFSET over windows")
         if order and not q.distinct:
             df = df.orderBy(*order)
+        loose = {n for n in names if n in loose or n not in df.columns}
         df = df.select(*keep, *(F.col(n) if n in df.columns else F.lit(None).cast("string").alias(n) for n in names))
         if q.distinct:
             df = df.distinct()
@@ -213,7 +256,7 @@ class Compiler:
                 df = df.orderBy(*(c.asc_nulls_first() if up else c.desc_nulls_last() for v, (_, up) in zip(ranked, q.order, strict=True) for c in (number(v.term()), v.str())))
         if q.offset:
             df = df.offset(q.offset)
-        return df if q.limit is None else df.limit(q.limit)
+        return (df if q.limit is None else df.limit(q.limit)), loose
 
     def describe(self, q: Query) -> DataFrame:
         constants = [e[1] for _, e in q.columns if e is not None]

@@ -7,17 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegraph import scratch
 from tidegraph.functions.values import number, text, whole
 from tidegraph.operators import goal as goals
 from tidegraph.operators import maintain
-from tidegraph.operators.fixpoint import infer, infer_expiring
+from tidegraph.operators.fixpoint import advance, infer, infer_expiring
 from tidegraph.operators.patterns import KEY, Source, scan
 from tidegraph.plans.compiler import select
 from tidegraph.sources.n3 import parse_rules
-from tidegraph.sources.rdf import direct_mapping, facts, statements
+from tidegraph.sources.rdf import direct_mapping, facts, parse_lines, read_rdf, statements, write_rdf
 from tidegraph.streaming import windows
 from tidegraph.streaming.rsp import RSPBuilder
-from tidegraph.terms import Pattern, Var
+from tidegraph.terms import QUAD, Pattern, Var
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -118,6 +119,19 @@ sparql("distinct", lambda s, d: customers(s, d, "c_mktsegment"), "SELECT DISTINC
 sparql("order_limit", lambda s, d: customers(s, d, "c_acctbal", "c_name"), "SELECT ?n ?b WHERE {?x c:c_acctbal ?b ; c:c_name ?n} ORDER BY DESC(?b) ?n LIMIT 20 OFFSET 5", {"n": word, "b": money}, "SELECT c_name AS n, round(c_acctbal, 2) AS b FROM customer ORDER BY c_acctbal DESC, c_name LIMIT 20 OFFSET 5")
 sparql("subquery", lambda s, d: customers(s, d, "c_nationkey").unionByName(nations(s, d)), "SELECT ?a ?k WHERE {?n n:n_name ?a {SELECT ?n (COUNT(*) AS ?k) WHERE {?x c:c_nationkey ?n} GROUP BY ?n}}", {"a": word, "k": count}, "SELECT n_name AS a, count(*) AS k FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name, n_nationkey")
 
+sparql("functions_strings", lambda s, d: customers(s, d, "c_name", "c_mktsegment"), 'SELECT ?x (LCASE(?m) AS ?low) (CONCAT(?n, "-", ?m) AS ?both) (REPLACE(?n, "#0+", "/") AS ?short) (STRSTARTS(?m, "B") AS ?b) (STRENDS(?m, "Y") AS ?y) (REGEX(?n, "7$") AS ?seven) (SUBSTR(?m, 3) AS ?tail) WHERE {?x c:c_name ?n ; c:c_mktsegment ?m}', {"x": key, "low": word, "both": word, "short": word, "b": word, "y": word, "seven": word, "tail": word}, "SELECT c_custkey AS x, lower(c_mktsegment) AS low, c_name || '-' || c_mktsegment AS both, regexp_replace(c_name, '#0+', '/', 'g') AS short, CAST(starts_with(c_mktsegment, 'B') AS VARCHAR) AS b, CAST(ends_with(c_mktsegment, 'Y') AS VARCHAR) AS y, CAST(ends_with(c_name, '7') AS VARCHAR) AS seven, substr(c_mktsegment, 3) AS tail FROM customer")
+sparql("functions_numbers", lambda s, d: customers(s, d, "c_acctbal"), 'SELECT ?x (ABS(?b) AS ?a) (CEIL(?b) AS ?up) (FLOOR(?b) AS ?down) (ROUND(?b) AS ?near) (?b / 3 AS ?q) (ISNUMERIC(?b) AS ?n) WHERE {?x c:c_acctbal ?b}', {"x": key, "a": money, "up": money, "down": money, "near": money, "q": money, "n": word}, "SELECT c_custkey AS x, round(abs(c_acctbal), 2) AS a, ceil(c_acctbal) AS up, floor(c_acctbal) AS down, floor(c_acctbal + 0.5) AS near, round(c_acctbal / 3, 2) AS q, 'true' AS n FROM customer")
+sparql("functions_terms", lambda s, d: customers(s, d, "c_nationkey", "c_acctbal"), 'SELECT ?x (ISIRI(?n) AS ?i) (ISLITERAL(?b) AS ?l) (ISBLANK(?n) AS ?k) (DATATYPE(?b) AS ?t) (LANG(?b) AS ?g) (STR(?n) AS ?s) (SAMETERM(?n, <urn:t:nation/6>) AS ?same) (COALESCE(?none, ?n) AS ?c) (BOUND(?none) AS ?there) WHERE {?x c:c_nationkey ?n ; c:c_acctbal ?b}', {"x": key, "i": word, "l": word, "k": word, "t": word, "g": word, "s": word, "same": word, "c": key, "there": word}, "SELECT c_custkey AS x, 'true' AS i, 'true' AS l, 'false' AS k, 'http://www.w3.org/2001/XMLSchema#double' AS t, '' AS g, 'urn:t:nation/' || c_nationkey AS s, CAST(c_nationkey = 6 AS VARCHAR) AS same, CAST(c_nationkey AS BIGINT) AS c, 'false' AS there FROM customer")
+sparql("functions_dates", lambda s, d: direct_mapping(table(s, d, "orders"), "orders", "o_orderkey", ["o_orderdate"]), "SELECT ?x (YEAR(?t) AS ?y) (MONTH(?t) AS ?m) (DAY(?t) AS ?d) WHERE {?x o:o_orderdate ?t FILTER(YEAR(?t) > 1993)}", {"x": key, "y": count, "m": count, "d": count}, "SELECT o_orderkey AS x, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d FROM orders WHERE year(o_orderdate) > 1993")
+sparql("boolean_value", lambda s, d: parts(s, d, "p_size"), 'SELECT ?x WHERE {?x <urn:t:part#p_size> ?v . FILTER((?v - 25) || "" || false)}', {"x": key}, "SELECT p_partkey AS x FROM part WHERE p_size <> 25")
+sparql("group_concat", lambda s, d: nations(s, d), 'SELECT ?r (GROUP_CONCAT(?a; SEPARATOR="|") AS ?all) (SAMPLE(?a) AS ?one) WHERE {?x n:n_regionkey ?r ; n:n_name ?a} GROUP BY ?r', {"r": key, "all": word, "one": word}, "SELECT CAST(n_regionkey AS BIGINT) AS r, string_agg(n_name, '|' ORDER BY n_name) AS all, min(n_name) AS one FROM nation GROUP BY n_regionkey")
+sparql("group_count_distinct", lambda s, d: customers(s, d, "c_nationkey", "c_mktsegment"), "SELECT ?n (COUNT(DISTINCT ?m) AS ?k) WHERE {?x c:c_nationkey ?n ; c:c_mktsegment ?m} GROUP BY ?n", {"n": key, "k": count}, "SELECT CAST(c_nationkey AS BIGINT) AS n, count(DISTINCT c_mktsegment) AS k FROM customer GROUP BY 1")
+sparql("optional_filter", _orders, "SELECT ?n ?o WHERE {?x c:c_name ?n OPTIONAL {?o o:o_custkey ?x ; o:o_totalprice ?v FILTER(?v > 300000)}}", {"n": word, "o": key}, "SELECT c_name AS n, o_orderkey AS o FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 300000) ON c_custkey = o_custkey")
+sparql("optional_join", _orders, "SELECT ?n ?o ?p WHERE {?x c:c_name ?n OPTIONAL {?o o:o_custkey ?x ; o:o_totalprice ?v FILTER(?v > 300000)} OPTIONAL {?x <urn:none> ?o . ?o o:o_totalprice ?p}}", {"n": word, "o": key, "p": money}, "SELECT c_name AS n, o_orderkey AS o, CAST(NULL AS DOUBLE) AS p FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 300000) ON c_custkey = o_custkey")
+sparql("path_alternatives", lambda s, d: nations(s, d).unionByName(customers(s, d, "c_nationkey")), "SELECT ?x ?y WHERE {?x c:c_nationkey|n:n_regionkey ?y}", {"x": word, "y": word}, "SELECT 'urn:t:customer/' || c_custkey AS x, 'urn:t:nation/' || c_nationkey AS y FROM customer UNION ALL SELECT 'urn:t:nation/' || n_nationkey, 'urn:t:region/' || n_regionkey FROM nation")
+sparql("path_sequence", lambda s, d: nations(s, d).unionByName(customers(s, d, "c_nationkey")), "SELECT ?x ?y WHERE {?x c:c_nationkey/n:n_regionkey/^n:n_regionkey ?y}", {"x": key, "y": key}, "SELECT c_custkey AS x, CAST(o.n_nationkey AS BIGINT) AS y FROM customer JOIN nation n ON c_nationkey = n.n_nationkey JOIN nation o ON o.n_regionkey = n.n_regionkey")
+sparql("path_negated", nations, "SELECT ?x ?y WHERE {?x !(n:n_name|n:other) ?y}", {"x": key, "y": key}, "SELECT CAST(n_nationkey AS BIGINT) AS x, CAST(n_regionkey AS BIGINT) AS y FROM nation")
+sparql("path_optional", lambda s, d: nations(s, d), "SELECT ?y WHERE {<urn:t:nation/6> n:n_regionkey? ?y}", {"y": word}, "SELECT 'urn:t:nation/6' AS y UNION ALL SELECT 'urn:t:region/' || n_regionkey FROM nation WHERE n_nationkey = 6")
 
 @query("ask", "SELECT TRUE AS answer")
 def ask(spark, d):
@@ -129,6 +143,10 @@ def construct(spark, d):
     return select(spark, Source(nations(spark, d)), PREFIXES + "CONSTRUCT {?r <urn:holds> ?x} WHERE {?x n:n_regionkey ?r}")
 
 
+@query("describe", "SELECT '<urn:t:nation/6>' AS s, '<urn:t:nation#n_name>' AS p, '\"' || n_name || '\"' AS o FROM nation WHERE n_nationkey = 6 UNION ALL SELECT '<urn:t:nation/6>', '<urn:t:nation#n_regionkey>', '<urn:t:region/' || n_regionkey || '>' FROM nation WHERE n_nationkey = 6")
+def describe(spark, d):
+    return select(spark, Source(nations(spark, d)), PREFIXES + "DESCRIBE <urn:t:nation/6>")
+
 # rules: a tree over parts (k -> k div 2), a cycle over nations, class hierarchies
 
 TRANSITIVE = "{?a <urn:up> ?b. ?b <urn:up> ?c} => {?a <urn:up> ?c}."
@@ -195,6 +213,27 @@ def path_plus(spark, d):
     return select(spark, Source(tree(spark, d)), "SELECT ?a ?b WHERE {?a <urn:up>+ ?b . FILTER(?b = <urn:t:n/1>)}").select(key("a").alias("a"), key("b").alias("b"))
 
 
+@query("path_star", TREE + " SELECT b AS x FROM t WHERE a = 100 UNION ALL SELECT 100")
+def path_star(spark, d):
+    return select(spark, Source(tree(spark, d)), "SELECT ?x WHERE {<urn:t:n/100> <urn:up>* ?x}").select(key("x").alias("x"))
+
+
+@query("rule_sameorg", "SELECT a.c_custkey AS a, b.c_custkey AS b FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey WHERE a.c_mktsegment = 'BUILDING' AND b.c_mktsegment = 'MACHINERY'")
+def rule_sameorg(spark, d):
+    rules = '{?a <urn:t:customer#c_nationkey> ?n. ?b <urn:t:customer#c_nationkey> ?n. ?a <urn:t:customer#c_mktsegment> "BUILDING". ?b <urn:t:customer#c_mktsegment> "MACHINERY"} => {?a <urn:near> ?b}.'
+    return ends(infer(customers(spark, d, "c_nationkey", "c_mktsegment"), parse_rules(rules)))
+
+
+@query("expiring_advance", "SELECT a.event_id AS a, least(a.event_id, b.event_id) + 100 AS exp FROM events a JOIN events b ON b.event_id = a.event_id + 2 WHERE least(a.event_id, b.event_id) + 100 > 5000")
+def expiring_advance(spark, d):
+    """Half of the events first, then time comes to 5000 and the other half comes in."""
+    e = table(spark, d, "events").select(F.expr("concat('<urn:e/', event_id, '>')").alias("s"), F.lit("<urn:next>").alias("p"), F.expr("concat('<urn:e/', event_id + 2, '>')").alias("o"), (F.col("event_id") + 100).alias("exp"), "event_id")
+    whole = e.select("s", "p", "o", "exp", "event_id").unionByName(e.select("s", F.lit("<urn:is>").alias("p"), F.lit("<urn:event>").alias("o"), "exp", "event_id"))
+    rules = parse_rules("{?a <urn:next> ?b. ?a <urn:is> <urn:event>. ?b <urn:is> <urn:event>} => {?a <urn:meets> ?b}.")
+    part = lambda early: whole.filter(F.col("event_id") < 4950 if early else F.col("event_id") >= 4950).drop("event_id")
+    out = advance(infer_expiring(part(True), rules), part(False), 5000, rules)
+    return out.filter("p = '<urn:meets>'").select(key("s").alias("a"), "exp")
+
 @query("dred_delete", "WITH RECURSIVE e(a, b) AS (SELECT p_partkey, p_partkey // 2 FROM part WHERE p_partkey >= 1 AND p_partkey <> 3), t(a, b) AS (SELECT * FROM e UNION SELECT t.a, e.b FROM t JOIN e ON e.a = t.b) SELECT a, b FROM t")
 def dred_delete(spark, d):
     base, rules = tree(spark, d), parse_rules(TRANSITIVE)
@@ -264,6 +303,25 @@ def time_window(spark, d):
     return windows.time_window(stream(spark, d).select("event_id", "ts"), WIDTH, SLIDE).select(KEY, "event_id")
 
 
+@query("window_content_change", CLOSED + ", k2 AS (SELECT fire, lag(fire) OVER (ORDER BY fire) AS before FROM w), h AS (SELECT DISTINCT fire, event_type FROM w JOIN e ON t BETWEEN close - 60 AND close AND t < fire), x AS (SELECT fire, string_agg(event_type, ',' ORDER BY event_type) AS held FROM h GROUP BY fire) SELECT w.fire, w.open, w.close FROM w JOIN k2 USING (fire) LEFT JOIN x a ON a.fire = w.fire LEFT JOIN x b ON b.fire = before WHERE before IS NULL OR a.held IS DISTINCT FROM b.held")
+def window_content_change(spark, d):
+    s = stream(spark, d).select("event_type", "ts")
+    fired = scratch.cut(windows.firings(s, WIDTH, SLIDE), "firings")
+    return windows.changed(fired, windows.content(s, fired, WIDTH, SLIDE))
+
+
+@query("window_imars", TRIGGERS + f", q AS (SELECT DISTINCT user_id, t FROM e), n AS (SELECT user_id, t, (SELECT min(fire) FROM g WHERE fire >= t) AS i, (SELECT min(fire) FROM g WHERE fire >= t + {WIDTH}) AS o, lead(t) OVER (PARTITION BY user_id ORDER BY t) AS nt FROM q), z AS (SELECT *, CASE WHEN o IS NOT NULL AND (nt IS NULL OR nt > o) THEN o END AS gone FROM n), y AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t) AS k, lag(gone) OVER (PARTITION BY user_id ORDER BY t) AS was FROM z) SELECT i AS fire, user_id, 'new' AS change FROM y WHERE i IS NOT NULL AND (k = 1 OR was IS NOT NULL) UNION ALL SELECT gone, user_id, 'old' FROM y WHERE gone IS NOT NULL")
+def window_imars(spark, d):
+    return windows.new_and_old(stream(spark, d).select("user_id", "ts"), ["user_id"], WIDTH, SLIDE)
+
+
+@query("window_diff", f"WITH {EVENTS} SELECT DISTINCT user_id, 'in' AS change FROM e WHERE t BETWEEN 30 AND 300 AND user_id NOT IN (SELECT user_id FROM e WHERE t <= 270) UNION ALL SELECT DISTINCT user_id, 'out' FROM e WHERE t <= 270 AND user_id NOT IN (SELECT user_id FROM e WHERE t BETWEEN 30 AND 300)")
+def window_diff(spark, d):
+    s = stream(spark, d)
+    held = lambda lo, hi: s.filter(F.col("ts").between(lo, hi)).select("user_id")
+    came, went = windows.diff(held(0, 270), held(30, 300))
+    return came.withColumn("change", F.lit("in")).unionByName(went.withColumn("change", F.lit("out")))
+
 def facts_of(spark, d):
     s = stream(spark, d)
     return s.select(F.expr("concat('<urn:t:customer/', user_id, '>')").alias("s"), F.lit("<urn:did>").alias("p"), F.expr("concat('\"', event_type, '\"')").alias("o"), "ts")
@@ -284,12 +342,69 @@ SQL |= {
     "rsp_dstream": ACTIVE + " SELECT n.fire, c, m FROM r JOIN n ON n.p = r.fire EXCEPT SELECT fire, c, m FROM r",
 }
 
-TURTLE = '@prefix : <http://e/> . @prefix s: <http://s/> . :foo a s:Person , s:Student ; s:name "Foo" . :bar a s:Person ; s:name "Bar" .'
 
+@query("rsp_windowed_reasoning", CLOSED + ", g AS (SELECT DISTINCT fire, event_id FROM w JOIN e ON t BETWEEN close - 60 AND close AND t < fire), r AS (SELECT a.fire, a.event_id AS x, b.event_id AS y FROM g a JOIN g b ON b.fire = a.fire AND b.event_id >= a.event_id) SELECT fire, x, y + 1 AS y FROM r")
+def rsp_windowed_reasoning(spark, d):
+    """A recursive rule inside windows: events are edges from each to the next, windows hold runs of them, and all pairs of a run are linked."""
+    edges = stream(spark, d).select(F.expr("concat('<urn:e/', event_id, '>')").alias("s"), F.lit("<urn:then>").alias("p"), F.expr("concat('<urn:e/', event_id + 1, '>')").alias("o"), "ts")
+    plan = RSPBuilder(spark, WIDTH, SLIDE).add_rules("{?a <urn:then> ?b. ?b <urn:then> ?c} => {?a <urn:then> ?c}.")
+    return plan.add_query("SELECT ?x ?y WHERE {?x <urn:then> ?y}").build().run(edges).select(KEY, key("x").alias("x"), key("y").alias("y"))
+
+
+@query("rsp_static_join", CLOSED + HELD + " SELECT DISTINCT fire, user_id AS c, n_name AS n FROM h JOIN customer ON c_custkey = user_id JOIN nation ON n_nationkey = c_nationkey WHERE event_type = (SELECT min(event_type) FROM events)")
+def rsp_static_join(spark, d):
+    kind = table(spark, d, "events").agg(F.min("event_type")).first()[0]
+    plan = RSPBuilder(spark, WIDTH, SLIDE).add_triples(customers(spark, d, "c_nationkey")).add_triples(nations(spark, d))
+    plan.add_query(PREFIXES + f'SELECT DISTINCT ?c ?n WHERE {{?c <urn:did> "{kind}" . ?c c:c_nationkey ?x . ?x n:n_name ?n}}')
+    return plan.build().run(facts_of(spark, d)).select(KEY, key("c").alias("c"), word("n").alias("n"))
+
+
+FLEET = """@prefix : <http://fleet/> . @prefix v: <http://voc/> .
+:ship7 a v:Vessel , v:Ferry ; v:port "Oslo"@no ; v:crew ( "Ada" "Bo" ) .
+:ship9 a v:Vessel ; v:length 41.5 ; v:sister :ship7 , [ v:port "Bergen" ] ."""
+READ = "SELECT * FROM (VALUES {}) v(s, p, o)"
 
-@query("read_turtle", "SELECT * FROM (VALUES ('<http://e/foo>', 'type'), ('<http://e/foo>', 'type'), ('<http://e/foo>', '<http://s/name>'), ('<http://e/bar>', 'type'), ('<http://e/bar>', '<http://s/name>')) v(s, p)")
+
+@query("read_turtle", READ.format("('<http://fleet/ship7>', 'type', '<http://voc/Vessel>'), ('<http://fleet/ship7>', 'type', '<http://voc/Ferry>'), ('<http://fleet/ship7>', '<http://voc/port>', '\"Oslo\"@no'), ('<http://fleet/ship7>', '<http://voc/crew>', 'node'), ('node', 'first', '\"Ada\"'), ('node', 'rest', 'node'), ('node', 'first', '\"Bo\"'), ('node', 'rest', 'nil'), ('<http://fleet/ship9>', 'type', '<http://voc/Vessel>'), ('<http://fleet/ship9>', '<http://voc/length>', '\"41.5\"^^<http://www.w3.org/2001/XMLSchema#decimal>'), ('<http://fleet/ship9>', '<http://voc/sister>', '<http://fleet/ship7>'), ('<http://fleet/ship9>', '<http://voc/sister>', 'node'), ('node', '<http://voc/port>', '\"Bergen\"')"))
 def read_turtle(spark, d):
-    return facts(spark, TURTLE, "turtle").select("s", F.when(F.col("p").endswith("#type>"), "type").otherwise(F.col("p")).alias("p"))
+    return facts(spark, FLEET, "turtle").select(*(F.when(F.col(c).startswith("_:"), "node").when(F.col(c).contains("22-rdf-syntax-ns#"), F.regexp_extract(c, "#(.*)>$", 1)).otherwise(F.col(c)).alias(c) for c in ("s", "p", "o")))
+
+
+def written(spark, d, syntax, df):
+    """df written as lines and read again."""
+    path = scratch.fresh(spark, "lines")
+    write_rdf(df, path)
+    return read_rdf(spark, path, syntax)
+
+
+NAMES = "SELECT '<urn:t:nation/' || n_nationkey || '>' AS s, '<urn:t:nation#n_name>' AS p, '\"' || n_name || '\"' AS o"
+
+
+@query("read_ntriples", "SELECT '<urn:t:customer/' || c_custkey || '>' AS s, '<urn:t:customer#c_name>' AS p, '\"' || c_name || '\"' AS o FROM customer")
+def read_ntriples(spark, d):
+    return written(spark, d, "ntriples", customers(spark, d, "c_name").select("s", "p", "o")).select("s", "p", "o")
+
+
+@query("read_nquads", NAMES + ", '<urn:t:region/' || n_regionkey || '>' AS g FROM nation UNION ALL SELECT '<urn:t:nation/' || n_nationkey || '>', '<urn:t:nation#n_regionkey>', '<urn:t:region/' || n_regionkey || '>', '<urn:t:region/' || n_regionkey || '>' FROM nation")
+def read_nquads(spark, d):
+    return written(spark, d, "nquads", nations(spark, d))
+
+
+@query("read_trig", "SELECT * FROM (VALUES ('<http://fleet/ship7>', '<http://voc/port>', '\"Oslo\"', NULL), ('<http://fleet/ship9>', '<http://voc/port>', '\"Oslo\"', '<http://fleet/log1>'), ('<http://fleet/ship9>', '<http://voc/at>', '<http://fleet/q2>', '<http://fleet/log1>'), ('<http://fleet/ship7>', '<http://voc/at>', '<http://fleet/q2>', '<http://fleet/log2>')) v(s, p, o, g)")
+def read_trig(spark, d):
+    return facts(spark, '@prefix : <http://fleet/> . @prefix v: <http://voc/> . { :ship7 v:port "Oslo" . } :log1 { :ship9 v:port "Oslo" ; v:at :q2 . } GRAPH :log2 { :ship7 v:at :q2 }', "trig")
+
+
+@query("read_n3_rules", "SELECT * FROM (VALUES ('{?x <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> <http://voc/Ferry>. ?x <http://voc/port> ?y} => {?y <http://voc/serves> ?x}'), ('{?x <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> <http://voc/Ferry>. ?x <http://voc/port> ?y} => {?x <http://voc/calls> \"yes\"}'), ('{?a <http://voc/sister> ?b} => {?b <http://voc/sister> ?a}')) v(rule)")
+def read_n3_rules(spark, d):
+    rules = parse_rules('@prefix v: <http://voc/> . { ?x a v:Ferry ; v:port ?y . } => { ?y v:serves ?x . ?x v:calls "yes" } . {?a v:sister ?b} => {?b v:sister ?a}.')
+    return spark.createDataFrame([(str(r),) for r in rules], "rule string")
+
+
+@query("read_lines", "SELECT * FROM (VALUES ('<a>', '<in>', '<c>'), ('<a>', '<in>', '<d>'), ('<b.1>', '<in>', '<d>')) v(s, p, o)")
+def read_lines(spark, d):
+    rows, rules = parse_lines("a in b.1.\nb.1 in c.\nc in d.\n{?x in ?y. ?y in ?z} => {?x in ?z}")
+    return infer(spark.createDataFrame(rows, QUAD).select("s", "p", "o"), rules)
 
 
 @query("dump_nquads", "SELECT '<urn:t:nation/' || n_nationkey || '> <urn:t:nation#n_name> \"' || n_name || '\" <urn:t:region/' || n_regionkey || '> .' AS value FROM nation UNION ALL SELECT '<urn:t:nation/' || n_nationkey || '> <urn:t:nation#n_regionkey> <urn:t:region/' || n_regionkey || '> <urn:t:region/' || n_regionkey || '> .' FROM nation")

@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -38,6 +39,13 @@ def put(df: DataFrame, path: str) -> DataFrame:
     return out
 
 
+def counted(df: DataFrame, path: str) -> tuple[DataFrame, int]:
+    """put() and the number of rows, counted by the same job."""
+    seen = Observation()
+    out = put(df.observe(seen, F.count(F.lit(1)).alias("n")), path)
+    return out, seen.get["n"]
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """df, written to a folder of its own and read back."""
     return put(df, fresh(df.sparkSession, name))

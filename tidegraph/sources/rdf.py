@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,10 +20,14 @@ LINE = rf"^\s*({_IRI}|{_BLANK})\s+({_IRI})\s+({_IRI}|{_BLANK}|{_LITERAL})\s*({_I
 class _Document:
     def __init__(self, text: str, syntax: str):
         self.c, self.syntax, self.rows, self.blanks = Cursor(text), syntax, [], 0
+        self.written = {t for kind, t, _ in self.c.items if kind == "blank"}
 
     def fresh(self) -> str:
-        self.blanks += 1
-        return f"_:g{self.blanks}"
+        """A label that the document doesn't use itself."""
+        while True:
+            self.blanks += 1
+            if f"_:g{self.blanks}" not in self.written:
+                return f"_:g{self.blanks}"
 
     def node(self, g):
         """A subject or object, with blank node property lists and collections."""
@@ -90,8 +97,18 @@ class _Document:
         return self.rows
 
 
-def parse(text: str, syntax: str = "ntriples") -> list[tuple[str, str, str, str | None]]:
-    """The quads of one document; RdfSyntaxError if any of it can't be read."""
+def scoped(quad: tuple, scope: str) -> tuple:
+    """A quad whose blank nodes belong to the document named by scope."""
+    return tuple(f"_:d{scope}_{t[2:]}" if t is not None and t.startswith("_:") else t for t in quad)
+
+
+def parse(text: str, syntax: str = "ntriples", scope: str = "") -> list[tuple[str, str, str, str | None]]:
+    """The quads of one document; RdfSyntaxError if any of it can't be read.  With a scope, blank nodes are told apart from those of other scopes; without, labels stay as written."""
+    rows = _quads(text, syntax)
+    return [scoped(r, scope) for r in rows] if scope else rows
+
+
+def _quads(text: str, syntax: str) -> list[tuple[str, str, str, str | None]]:
     if syntax not in SYNTAXES:
         raise ValueError(f"syntax is one of {SYNTAXES}")
     if syntax in ("turtle", "trig"):
@@ -109,32 +126,37 @@ def parse(text: str, syntax: str = "ntriples") -> list[tuple[str, str, str, str
     return out
 
 
-def facts(spark: SparkSession, text: str, syntax: str = "ntriples") -> DataFrame:
-    """s, p, o, g of a document given as text; each quad once."""
-    return spark.createDataFrame(parse(text, syntax), QUAD).distinct()
+def facts(spark: SparkSession, text: str, syntax: str = "ntriples", scope: str | None = None) -> DataFrame:
+    """s, p, o, g of a document given as text; each quad once.  Blank nodes are the document's own, unless scope says otherwise ("": labels as written)."""
+    own = hashlib.md5(text.encode()).hexdigest()[:16] if scope is None else scope
+    return spark.createDataFrame(parse(text, syntax, own), QUAD).distinct()
 
 
-def read_rdf(spark: SparkSession, path: str, syntax: str = "ntriples") -> DataFrame:
+def read_rdf(spark: SparkSession, path: str, syntax: str = "ntriples", one_document: bool = False) -> DataFrame:
     """s, p, o, g of the files at path; each quad once.
 
+    Blank nodes belong to their file.  With one_document all files are parts of one, as write_rdf() leaves them, and labels
+    stay as written (line formats only: a Turtle or TriG document is one file).
     The line formats are split by line and stay in the JVM; a line that isn't a statement fails the job when it is read.
     Turtle and TriG documents are parsed whole, one per task.
     """
     if syntax in ("ntriples", "nquads"):
-        lines = spark.read.text(path).filter(~F.col("value").rlike(r"^\s*(#.*)?$"))
+        lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).filter(~F.col("value").rlike(r"^\s*(#.*)?$"))
         part = lambda i: F.regexp_extract("value", LINE, i)
         fits = F.col("value").rlike(LINE) & (F.lit(syntax == "nquads") | (part(4) == ""))
         bad = F.raise_error(F.concat(F.lit("not a statement: "), F.substring("value", 1, 200))).cast("string")
-        return lines.select(F.when(fits, part(1)).otherwise(bad).alias("s"), part(2).alias("p"), part(3).alias("o"), F.nullif(part(4), F.lit("")).alias("g")).distinct()
+        scope = F.concat(F.lit("_:d"), F.substring(F.md5("file"), 1, 16), F.lit("_"))
+        own = (lambda t: t) if one_document else lambda t: F.when(t.startswith("_:"), F.concat(scope, F.substring(t, 3, 1 << 30))).otherwise(t)
+        return lines.select(own(F.when(fits, part(1)).otherwise(bad)).alias("s"), part(2).alias("p"), own(part(3)).alias("o"), own(F.nullif(part(4), F.lit(""))).alias("g")).distinct()
     if syntax not in SYNTAXES:
         raise ValueError(f"syntax is one of {SYNTAXES}")
-    whole = spark.read.text(path, wholetext=True)
+    whole = spark.read.text(path, wholetext=True).select("value", F.substring(F.md5("_metadata.file_path"), 1, 16).alias("scope"))
 
     def run(frames):
         import pandas as pd
 
         for frame in frames:
-            yield pd.DataFrame([r for text in frame["value"] for r in parse(text, syntax)], columns=["s", "p", "o", "g"], dtype=object)
+            yield pd.DataFrame([r for text, scope in zip(frame["value"], frame["scope"], strict=True) for r in parse(text, syntax, scope)], columns=["s", "p", "o", "g"], dtype=object)
 
     return whole.mapInPandas(run, QUAD).distinct()
 
@@ -170,3 +192,34 @@ def direct_mapping(df: DataFrame, name: str, key: str, columns: list[str], links
     pairs = F.array(*(F.struct(F.lit(f"<urn:t:{name}#{c}>").alias("p"), value(c).alias("o")) for c in columns))
     subject = F.concat(F.lit(f"<urn:t:{name}/"), F.col(key).cast("string"), F.lit(">"))
     return df.select(subject.alias("s"), F.explode(pairs).alias("x"), (graph if graph is not None else F.lit(None).cast("string")).alias("g")).filter("x.o is not null").select("s", "x.p", "x.o", "g")
+
+
+def parse_lines(text: str):
+    """(facts as rows, rules) of the short line format: a fact or a rule a line, ``a in b.`` and ``{?x in ?y. ?y in ?z} => {?x in ?z}``.  A bare word w is the IRI ``<w>``; a dot inside one is part of it."""
+    from tidegraph.terms import Pattern, Rule
+
+    word = re.compile(r'<[^>]*>|"(?:[^"\\]|\\.)*"(?:\^\^<[^>]*>|@[A-Za-z\-]+)?|_:\w+|\?\w+|[^\s{}<>"?]+?(?=\.?(?:[\s}]|$))')
+
+    def atoms(part: str) -> list[Pattern]:
+        out = []
+        for piece in re.split(r"\.(?=\s|$)", part.strip()):
+            if piece.strip():
+                found = word.findall(piece)
+                if len(found) != 3 or word.sub("", piece).strip():
+                    raise RdfSyntaxError(f"not three terms: {piece.strip()!r}")
+                out.append(Pattern(*(Var(t[1:]) if t[0] == "?" else t if t[0] in '<"' or t[:2] == "_:" else f"<{t}>" for t in found)))
+        return out
+
+    rows, rules = [], []
+    for line in text.split("\n"):
+        if "=>" in line:
+            m = re.fullmatch(r"\s*\{(.*)\}\s*=>\s*\{(.*)\}\s*\.?\s*", line)
+            if not m:
+                raise RdfSyntaxError(f"not a rule: {line.strip()!r}")
+            rules += [Rule(tuple(atoms(m[1])), h) for h in atoms(m[2])]
+        else:
+            found = atoms(line)
+            if any(a.variables() for a in found):
+                raise RdfSyntaxError(f"a fact has no variables: {line.strip()!r}")
+            rows += [(a.s, a.p, a.o, None) for a in found]
+    return rows, rules

@@ -71,6 +71,11 @@ def changed(fired: DataFrame, held: DataFrame) -> DataFrame:
     return both.join(before, "_before", "left").filter(~same).select(*fired.columns)
 
 
+def diff(before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(what came in, what went) between two contents with the same columns; nulls are equal to nulls, repeats count once."""
+    return after.subtract(before.select(*after.columns)), before.select(*after.columns).subtract(after)
+
+
 def triggers(events: DataFrame, width: int, slide: int) -> DataFrame:
     """KEY: the times at which a time window reports, each the first to pass another multiple of slide behind width."""
     step = F.ceil((F.col("ts") - width) / F.lit(slide))
@@ -90,6 +95,48 @@ def alive(events: DataFrame, items: list[str], width: int, now: int) -> DataFram
     return events.filter(F.col("ts") <= now).groupBy(*items).agg(F.max("ts").alias("ts")).filter(F.col("ts") > now - width)
 
 
+# the state of a set window: items and ts, the time of an item's last insertion
+
+
+def _later(df: DataFrame, items: list[str]) -> DataFrame:
+    return df.groupBy(*items).agg(F.max("ts").alias("ts"))
+
+
+def add(state: DataFrame, new: DataFrame) -> DataFrame:
+    """The state after inserting; an item that is held gets the later time."""
+    return _later(state.unionByName(new.select(*state.columns)), [c for c in state.columns if c != "ts"])
+
+
+def add_without_update(state: DataFrame, new: DataFrame) -> DataFrame:
+    """The state after inserting the items that aren't held; those that are keep their time."""
+    items = [c for c in state.columns if c != "ts"]
+    return state.unionByName(_later(new.select(*state.columns), items).select(*state.columns).join(state, items, "left_anti"))
+
+
+def add_after(state: DataFrame, anchor: DataFrame, new: DataFrame) -> DataFrame:
+    """The state after inserting items at the time of an item that is held; where it isn't, nothing comes in.  anchor: one row with the item's columns; new: rows with them."""
+    items = [c for c in state.columns if c != "ts"]
+    time = state.join(anchor.select(*items), items, "left_semi").agg(F.max("ts").alias("ts")).filter("ts is not null")
+    return add(state, new.select(*items).crossJoin(F.broadcast(time)))
+
+
+def add_in_between(state: DataFrame, new: DataFrame) -> DataFrame:
+    """The state after inserting items whose times lie between those held; items that are held keep the later time."""
+    return add(state, new)
+
+
+def time_stamp(state: DataFrame, item: DataFrame) -> int | None:
+    """When an item (one row) was last inserted, or None."""
+    items = [c for c in state.columns if c != "ts"]
+    row = state.join(item.select(*items), items, "left_semi").agg(F.max("ts").alias("ts")).first()
+    return row.ts
+
+
+def remove_old(state: DataFrame, width: int, now: int) -> DataFrame:
+    """The state without what was inserted width or more before now."""
+    return state.filter(F.col("ts") > now - width)
+
+
 def new_and_old(events: DataFrame, items: list[str], width: int, slide: int) -> DataFrame:
     """KEY, items, change: at each trigger the items that came in since the last one ('new') and those that expired at it ('old').
 
