@@ -57,6 +57,25 @@ def test_packing_covers_each_id_once(spark):
     assert all(n == 4096 or n & (n - 1) == 0 for n in by.values())
 
 
+def test_neighbours_on_the_curve_are_alike(spark):
+    r = random.Random(9)
+    topics = [["".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(60)] for _ in range(8)]
+    texts = [" ".join(r.choice(topics[i % 8]) for _ in range(r.choice([20, 200, 1500]))) for i in range(160)]
+    rows = sorted((x.curve_key, x.doc_id) for x in curve_packing.pack(docs(spark, texts), WORDS).filter("start = 0").collect())
+    assert len({k for k, _ in rows}) > 100
+    same = sum(a % 8 == b % 8 for (_, a), (_, b) in zip(rows, rows[1:], strict=False)) / (len(rows) - 1)
+    assert same > 0.5  # an eighth if the order were random
+
+
+def test_hilbert_steps_to_neighbours():
+    for dimensions, bits in ((2, 4), (3, 3), (4, 2)):
+        points = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dimensions), -1).reshape(-1, dimensions)
+        order = curve_packing.hilbert(points, bits)
+        assert sorted(order.tolist()) == list(range(len(points)))
+        walk = points[np.argsort(order)]
+        assert (np.abs(np.diff(walk, axis=0)).sum(1) == 1).all()
+
+
 def test_shards_round_trip(spark, tmp_path):
     folder = f"file://{tmp_path}"
     manifest = sstable.write_shards(docs(spark), folder, BYTES)
@@ -66,6 +85,71 @@ def test_shards_round_trip(spark, tmp_path):
         want.append((i, at, len(x) + 1, crc([*x, 0])))
         at += len(x) + 1
     assert got == want
+    files = [r.file for r in manifest.collect()]
+    for i, x in enumerate(library(BYTES, TEXTS)):
+        found = [y.tolist() for y in (sstable.lookup(folder, f, i) for f in files) if y is not None]
+        assert found == [[*x, 0]]
+    assert all(sstable.lookup(folder, f, i) is None for f in files for i in (-5, 99, 1 << 40))
+
+
+def test_shards_of_repeated_and_null_ids(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+    rows = [(7, "b"), (7, "a"), (None, "c"), (3, None), (7, "a"), *((i, "some words " * 40) for i in range(100, 900))]
+    df = spark.createDataFrame([(i, t, "h", "w", "i") for i, t in rows], DOCS).repartition(3)
+    manifest = sstable.write_shards(df, folder, BYTES)
+    got = sorted(sstable.read_shards(spark, folder, manifest).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [-(1 << 63), 3, 7, 7, 7, *range(100, 900)] and got[0].start == 0
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:], strict=False))
+    assert sstable.write_shards(df.limit(0), folder + "/none", BYTES).count() == 0
+    # blocks, the sparse index and the filter of a shard with several blocks
+    import io
+
+    out = io.BytesIO()
+    writer = sstable.Writer(out, 2)
+    for i in range(0, 6000, 2):
+        writer.add(sstable.key_of(i), np.arange(i % 90, dtype="<u2").tobytes())
+    writer.close()
+    reader = sstable.Reader(out, len(out.getvalue()))
+    assert reader.blocks > 3 and all(reader.get(sstable.key_of(i)).tolist() == list(range(i % 90)) for i in range(0, 6000, 2))
+    assert all(reader.get(sstable.key_of(i)) is None for i in range(1, 6001, 2))
+    passed = sum(all(reader.bloom[p >> 3] >> (p & 7) & 1 for p in sstable._probes(sstable.key_of(i), len(reader.bloom) * 8)) for i in range(1, 6001, 2))
+    assert passed < 150  # the filter stops nearly all
+
+
+def hosts_by_hand(rows):
+    """The hosts that judge() rejects, from its rows."""
+    limits, per = quality_rules.HOST_LIMITS, {}
+    for r, host, lines in rows:
+        per.setdefault(host, []).append((r.base_failed, 10 * r.n_symbols > r.word_chars, 10 * r.n_dup_lines > 3 * lines))
+    bad, n = set(), sum(map(len, per.values()))
+    for k, limit in enumerate(limits.values()):
+        mean = sum(f[k] for v in per.values() for f in v) / n
+        spread = np.mean([(sum(f[k] for f in v) / len(v) - mean) ** 2 - mean * (1 - mean) / len(v) for v in per.values()])
+        weight = min(max(mean * (1 - mean) / max(spread, 1e-9) - 1, 2.0), 1000.0) if mean * (1 - mean) else 2.0
+        bad |= {h for h, v in per.items() if (sum(f[k] for f in v) + mean * weight) / (len(v) + weight) > limit}
+    return bad
+
+
+def test_bad_hosts_go(spark):
+    r = random.Random(6)
+    good = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(30))
+    junk = lambda: "buy # $ % now ## $$ %% " * 2 + good()
+    rows = [(i, junk() if i % 6 else good(), "spam.biz") for i in range(60)] + [(100 + i, good() if i % 10 else "short", "fine.org") for i in range(60)]
+    rows += [(200, junk(), "one.net"), (201, good(), None), (202, good() + "\n" + "same line\n" * 5, "lines.com")]
+    names = ("_bad_host", "row", "host", "_host", "_doc", "_text")
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumns({n: quality_rules.F.lit(n) for n in names})
+    got = quality_rules.judge(df).collect()
+    source, texts = {i: h for i, _, h in rows}, {i: t for i, t, _ in rows}
+    lines = lambda i: len([x for x in texts[i].split("\n") if x.strip()])
+    bad = hosts_by_hand([(x, source[x.doc_id], lines(x.doc_id)) for x in got if source[x.doc_id]])
+    assert "spam.biz" in bad and "fine.org" not in bad
+    for x in got:
+        t = texts[x.doc_id]
+        words = re.findall(r"[^\x20\x09-\x0D]+", t)
+        assert (x.word_chars, x.n_symbols) == (sum(map(len, words)), sum(c in "#*$%&|<>" for c in t))
+        assert x.host_rejected == (source[x.doc_id] in bad) and x.kept == (not x.base_failed and not x.host_rejected)
+    kept = quality_rules.keep_good(df)
+    assert kept.columns == df.columns and {x.doc_id for x in kept.collect()} == {x.doc_id for x in got if x.kept}
 
 
 def test_pieces_are_the_library_s(spark):
@@ -78,6 +162,47 @@ def test_pieces_are_the_library_s(spark):
         assert ids == library_.encode(text) and codec.decode(ids) == library_.decode(ids), text
 
 
+def test_decoding_any_ids_is_the_library_s():
+    import sentencepiece
+
+    library_ = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    codec, r = sentencepiece_codec.codec(PIECES), random.Random(3)
+    for _ in range(3000):
+        ids = [r.choice([r.randrange(3, 259), r.randrange(0, 32000)]) for _ in range(r.randrange(0, 12))]
+        assert codec.decode(ids) == library_.decode(ids), ids
+
+
+def test_viterbi_is_the_best_segmentation():
+    """Scores over the shared trie against every segmentation of short words."""
+    r = random.Random(2)
+    scores = {x: -r.random() * 5 - 1 for x in "abcd"} | {"".join(r.choice("abcd") for _ in range(r.randrange(2, 5))): -r.random() * 8 for _ in range(40)}
+    own = sentencepiece_codec.Viterbi(scores, -20.0)
+
+    def best(word):
+        if not word:
+            return 0.0
+        return max((scores.get(word[:n]) if word[:n] in scores else -20.0 if n == 1 else -1e9) + best(word[n:]) for n in range(1, len(word) + 1))
+
+    words = {"".join(r.choice("abcde") for _ in range(r.randrange(1, 10))) for _ in range(300)}
+    for word, last in own.passes(words):
+        total, i = 0.0, len(word)
+        while i:
+            total += scores.get(last[i], -20.0)
+            i -= len(last[i])
+        assert abs(total - best(word)) < 1e-9
+    # of two segmentations with equal sums the one with the longest last piece
+    tie = sentencepiece_codec.Viterbi({"a": -1.0, "b": -1.0, "ab": -2.0}, -9.0)
+    assert [list(last) for _, last in tie.passes(["ab"])] == [["", "a", "ab"]]
+
+
+def test_empty_tables(spark):
+    none = docs(spark).limit(0)
+    pages = spark.createDataFrame([], "page_id bigint, url string, html string")
+    labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    assert curve_packing.pack(none, WORDS).count() == 0 and url_filter.filter_urls(pages).count() == 0
+    assert sentencepiece_codec.digest(none, PIECES).count() == 0 and quality_classifier.classify(none, labels).count() == 0
+
+
 def measures(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     at = {}
@@ -106,10 +231,101 @@ def test_url_rules_and_links(spark):
     assert got[1] == got[2] == ("", "", None, "allow")
     assert got[3] == ("a.example.net", "/en/x", "example.net/en/", "allow") and got[4] == ("x.net", "/de", "net/", "block")
     assert got[5][2:] == ("example.com/de/", "block") and got[6] == ("a.org", "/fr/", "org/fr/", "allow")
-    assert got[7][2:] == (None, "block") and got[8][2:] == (None, "allow") and got[10] == ("net", "", None, "allow")
+    assert got[7][2:] == (None, "allow") and got[8][2:] == (None, "allow") and got[10] == ("net", "", None, "allow")
+
+
+def walks(nodes, edges, seeds, damping=0.85):
+    """Personalised PageRank by power iteration to the end; what can't flow on starts again at the seeds."""
+    at = {h: i for i, h in enumerate(nodes)}
+    move, start = np.zeros((len(nodes), len(nodes))), np.zeros(len(nodes))
+    for h, s in seeds.items():
+        start[at[h]] = s
+    start /= start.sum()
+    for a, b, w in edges:
+        move[at[b], at[a]] += w
+    x = start
+    for _ in range(2000):
+        y = damping * move @ x
+        x = y + (1 - y.sum()) * start
+    return dict(zip(nodes, x, strict=True))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_propagation_is_power_iteration(spark, seed):
+    r = random.Random(seed)
+    nodes = [f"h{i}" for i in range(40)]
+    pairs = {(r.choice(nodes[:30]), r.choice(nodes)) for _ in range(90)} | {("h0", h) for h in nodes[1:]} | {(f"h{i}", f"h{i + 1}") for i in range(20, 39)}
+    pairs = {(a, b) for a, b in pairs if a != b and a != "h35"}  # h35 leads nowhere, h0 everywhere
+    out = {a: sum(x == a for x, _ in pairs) for a, _ in pairs}
+    edges = [(a, b, 1 / out[a]) for a, b in pairs]
+    seeds = {"h20": 3.0, "h7": 1.0} if seed == 1 else {"h35": 1.0, "h20": 2.0}
+    got = {x.host: x["rank"] for x in url_filter.propagate(spark.createDataFrame(edges, "src string, dst string, weight double"), spark.createDataFrame(list(seeds.items()), "host string, seed double"), rest=1e-9).collect()}
+    want = walks(nodes, edges, seeds)
+    assert all(abs(got.get(h, 0.0) - want[h]) < 1e-7 for h in nodes)
+    assert url_filter.propagate(spark.createDataFrame([], "src string, dst string, weight double"), spark.createDataFrame([("a", 0.0)], "host string, seed double")).count() == 0
+
+
+def test_distrust_comes_from_far_and_one_page_decides_nothing(spark):
+    link = lambda h: f'<a data-href="http://no.biz/" class=x href=\'//user@{h}/\'>x</a>'
+    rows = [(i, f"http://c{i}.biz/", link(f"c{i + 1}.biz")) for i in range(20)] + [(50 + i, f"http://c20.biz/{i}", link("evil.net") * 3) for i in range(3)]
+    rows += [(100 + i, f"http://evil.net/{i}", "") for i in range(400)] + [(600, "http://mixed.org/a", ""), (601, "http://x.mixed.org/", ""), (602, "http://lone.net/", ""), (603, "http://a.lone.biz", ""), (604, "http://no.biz/", "")]
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert [got[i] for i in (19, 15, 5)] == ["block"] * 3  # links lead them to evil.net, 2 to 16 steps on
+    assert [got[i] for i in (600, 601, 603, 604)] == ["allow"] * 4
+
+
+def test_hosts_above(spark):
+    got = {tuple(r) for r in url_filter.domains(spark.createDataFrame([("a.b.c.d",), ("b.c.d",), ("x.y",), ("10.0.0.1",), ("",)], "host string")).collect()}
+    assert got == {("a.b.c.d", "b.c.d"), ("b.c.d", "a.b.c.d"), ("b.c.d", "c.d"), ("c.d", "b.c.d")}
+
+
+def naive_em(votes, counts, rounds=200):
+    """The same model row by row, in plain Python."""
+    q, m = quality_classifier, len(votes[0])
+    pseudo = [q.HEURISTIC] * (m - 1) + [q.GIVEN]
+    acc = [[[v / sum(row) for v in row] for row in table] for table in pseudo]
+    prior = 0.1
+    for _ in range(rounds):
+        bad = []
+        for row in votes:
+            like = [1 - prior, prior]
+            for i, v in enumerate(row):
+                if v != q.NONE:
+                    like = [like[c] * acc[i][c][v] for c in (0, 1)]
+            bad.append(like[1] / sum(like))
+        new = [[[pseudo[i][c][v] + sum(n * (b if c else 1 - b) for row, n, b in zip(votes, counts, bad, strict=True) if row[i] == v) for v in (0, 1)] for c in (0, 1)] for i in range(m)]
+        new = [[[v / sum(row) for v in row] for row in table] for table in new]
+        change = max(abs(new[i][c][v] - acc[i][c][v]) for i in range(m) for c in (0, 1) for v in (0, 1))
+        prior = (sum(n * b for n, b in zip(counts, bad, strict=True)) + 1) / (sum(counts) + 10)
+        acc = new
+        if change < 1e-7:
+            break
+    return prior, acc
+
+
+def test_label_model_is_naive_em_and_finds_accuracies():
+    r, q = random.Random(4), quality_classifier
+    truth = [(0.97, 0.6), (0.9, 0.8), (0.99, 0.5), (0.95, 0.9)]  # right on good, right on bad; the last is the labels table
+    tally = {}
+    for _ in range(20000):
+        bad = r.random() < 0.2
+        row = tuple(q.NONE if r.random() < (0.9 if i == 3 else 0.2) else (q.BAD if r.random() < right[1] else q.GOOD) if bad else (q.GOOD if r.random() < right[0] else q.BAD) for i, right in enumerate(truth))
+        tally[row] = tally.get(row, 0) + 1
+    votes, counts = list(tally), list(tally.values())
+    patterns = np.array([sum(v * 3 ** (3 - i) for i, v in enumerate(row)) for row in votes])
+    prior, acc = q.fit_labels(patterns, np.array(counts, float), 4)
+    want_prior, want = naive_em(votes, counts)
+    assert abs(prior - want_prior) < 1e-6 and np.abs(acc - np.array(want)).max() < 1e-6
+    assert abs(prior - 0.2) < 0.02 and all(abs(acc[i][0][0] - t[0]) < 0.03 and abs(acc[i][1][1] - t[1]) < 0.08 for i, t in enumerate(truth))
+
+
+def test_near_copies_are_told_by_most_of_a_sketch():
+    one, other = [bytes([i] * 8) for i in range(8)], [bytes([40 + i] * 8) for i in range(8)]
+    rows = [b"".join(one), b"".join(one[:5] + other[5:]), b"".join(one[:4] + other[4:]), b"".join(other)]
+    assert quality_classifier.apart(rows) == [0, 2, 3]
 
 
-@pytest.mark.parametrize("fold", [0, pytest.param(1, marks=pytest.mark.xfail(reason="keeps 3 of 24 held-out junk documents (README)"))])
+@pytest.mark.parametrize("fold", [0, 1])
 def test_classifier_on_held_out_labels(spark, fold):
     d = "/root/testdata/sf0.01"
     table = spark.read.parquet(f"{d}/documents.parquet")

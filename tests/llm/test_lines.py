@@ -46,6 +46,11 @@ def words_near(a, b):
     return n and abs(len(a) - len(b)) <= n and distance(a, b) <= n
 
 
+def chars_near(a, b):
+    n = max([e for k, e in line_dedup.LIMITS if min(len(a), len(b)) >= k], default=0)
+    return n and min(a.count(" "), b.count(" ")) + 1 < line_dedup.WORDS_ONLY and abs(len(a) - len(b)) <= n and distance(a, b) <= n
+
+
 def edited(r, a, n):
     a = list(a)
     for _ in range(n):
@@ -142,12 +147,11 @@ def test_limits_are_brute_force(spark):
     base = ["".join(r.choice("abcdefé ") for _ in range(n)) for n in (3, 9, 18, 19, 20, 21, 38, 39, 40, 41, 42, 60)]
     rows = [(i, "\n".join(edited(r, r.choice(base), r.randrange(0, 3)) for _ in range(4))) for i in range(50)]
     df = spark.createDataFrame([(i, t, 0, "k", "x") for i, t in rows], DOCS)
-    near = lambda a, b: (lambda n: n and abs(len(a) - len(b)) <= n and distance(a, b) <= n)(max([e for k, e in line_dedup.LIMITS if min(len(a), len(b)) >= k], default=0))
     kinds = sorted({x.strip(" ") for _, t in rows for x in t.split("\n")} - {""})
     root = {x: {x} for x in kinds}
     for i, a in enumerate(kinds):
         for b in kinds[i + 1 :]:
-            if root[a] is not root[b] and (near(a, b) or words_near(a, b)):
+            if root[a] is not root[b] and (chars_near(a, b) or words_near(a, b)):
                 root[a] |= root[b]
                 root |= dict.fromkeys(root[b], root[a])
     seen, gone = set(), {}
@@ -172,7 +176,7 @@ def test_changed_words_are_brute_force(spark):
             words[k : k + r.randrange(2)] = r.choice([[], [word()]])
         rows.append((i, " ".join(words)))
     df = spark.createDataFrame([(i, t, 0, "k", "x") for i, t in rows], DOCS)
-    near = lambda a, b: abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2 or words_near(a, b)
+    near = lambda a, b: chars_near(a, b) or words_near(a, b)
     group = {i: {i} for i, _ in rows}
     for i, a in rows:
         for j, b in rows[:i]:

@@ -66,6 +66,26 @@ def test_jaccard_join_on_data(spark):
     assert got == brute([(r.doc_id, r.text) for r in df.collect()])
 
 
+def test_jaccard_join_counts_rows_that_share_a_doc_id(spark):
+    a, b = "one two three four five six seven eight nine ten eleven twelve", "quite another text with as many words as the other one has here"
+    near = a + " thirteen"
+    rows = [(1, a), (1, a), (1, b), (2, near), (2, b + " x y"), (5, near + " z"), (5, near)]
+    df = spark.createDataFrame([(i, t, "s", 0) for i, t in rows], DOCS).repartition(3)
+    link = [[5 * len(grams(x) & grams(y)) >= 4 * len(grams(x) | grams(y)) for _, y in rows] for _, x in rows]
+    root = closure(range(len(rows)), [(i, j) for i in range(len(rows)) for j in range(len(rows)) if link[i][j]])
+    least = {r: min(rows[i][0] for i in root if root[i] == r) for r in set(root.values())}
+    got = sorted((r.doc_id, r.n_links, r.class_id) for r in ngram_join.jaccard_join(df).collect())
+    assert got == sorted((rows[i][0], sum(link[i]) - 1, least[root[i]]) for i in range(len(rows)))
+    assert sorted(map(tuple, ngram_join.keep_one(df).select("doc_id", "text").collect())) == sorted([(1, a), (1, a), (1, b)] + [(2, b + " x y")] * (not link[2][4]))
+
+
+def test_jaccard_columns_that_clash(spark):
+    names = ("gone", "row", "id", "sum", "key", "doc", "of", "mark", "_word", "_bits", "_at", "_bit", "node", "digest")
+    df = spark.createDataFrame([(1, "a b c"), (2, "a b c"), (3, None)], "doc_id bigint, text string").withColumns({n: ngram_join.F.lit(n) for n in names})
+    out = ngram_join.keep_one(df)
+    assert out.columns == df.columns and sorted((r.doc_id, r.gone) for r in out.collect()) == [(1, "gone"), (3, "gone")]
+
+
 def test_jaccard_join_edges(spark):
     assert ngram_join.jaccard_join(spark.createDataFrame([], DOCS)).count() == 0
     rows = [(1, "a b c d e f", "x", 1), (1, "a b c d e f", "x", 1), (None, "a b c d e f", "x", 1), (2, None, None, None)]
@@ -94,8 +114,7 @@ def brute_vectors(rows):
 
 
 def test_vectors_are_brute_force(spark, monkeypatch):
-    for name, value in (("CELL", 20), ("BLOCK", 16)):
-        monkeypatch.setattr(embedding_dedup, name, value)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
     rng = np.random.default_rng(2)
     rows = []
     for i in range(300):
@@ -108,6 +127,23 @@ def test_vectors_are_brute_force(spark, monkeypatch):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+def test_vectors_that_share_an_id(spark):
+    rows = [(1, [1.0, 0.0], 0, "x"), (1, [0.0, 1.0], 0, "x"), (2, [1.0, 0.01], 0, "x"), (2, [1.0, 0.01], 0, "x"), (3, [0.0, 1.0], 1, "x")]
+    got = sorted(map(tuple, embedding_dedup.near_duplicates(spark.createDataFrame(rows, VECTORS)).collect()))
+    assert got == sorted([(1, 2, 1, True), (1, 0, 1, True), (2, 2, 1, False), (2, 2, 1, False), (3, 0, 3, True)])
+
+
+def test_cells_miss_no_pair():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 6))
+    x = np.concatenate([x, x[:100] + rng.normal(size=(100, 6)) * 0.1])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for k in (1, 2, 7, 40):
+        at = embedding_dedup.cells(x, embedding_dedup.fit(x, k), 0.98)
+        for i, j in zip(*np.nonzero(x @ x.T >= 0.98), strict=True):
+            assert at[i][0] == at[j][0] or at[min((i, j), key=lambda n: at[n][0])][0] in at[max((i, j), key=lambda n: at[n][0])][1:]
+
+
 def test_vectors_on_data(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(df).collect()}

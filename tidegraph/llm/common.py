@@ -41,6 +41,17 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of input, as the optimizer estimates them, to a range of documents that one task writes.
+RANGE_BYTES = 64 << 20
+
+
+def ranges_for(df: DataFrame) -> int:
+    """As many ranges as the session's shuffles have, or more where the tables that df reads are larger than that many tasks should handle.  Tables of unknown size count nothing."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size())]
+    return max(partitions(df.sparkSession), -(-sum(x for x in sizes if x < 1 << 60) // RANGE_BYTES))
+
+
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it was counted to have at most so many rows, else as it is (Spark then shuffles and splits skewed keys)."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -1,14 +1,15 @@
 """Packing along a space-filling curve: documents with similar tokens come to lie in the same training sequences.
 
-Documents are encoded once; a vector hashed from their token counts is projected to few dimensions, and its cell's place on
-a Hilbert curve is the sort key.  Ranges of the curve are packed independently: documents are laid end to end and cut every
-``length`` tokens, and what a range has left over is cut into powers of two, which need no padding.
+Documents are encoded once.  Each one's token frequencies, hashed to a few dozen places with signs, make a vector; less the
+mean over all documents and scaled to unit length, it is projected to few dimensions.  Each dimension is cut at its
+quantiles over all documents, and the cell's place on a Hilbert curve is the sort key.  Ranges of the curve are packed
+independently: documents are laid end to end and cut every ``length`` tokens, and what a range has left over is cut into
+powers of two, which need no padding.
 """
 
 from __future__ import annotations
 
 import zlib
-from math import erf
 
 import numpy as np
 import pyarrow as pa
@@ -16,26 +17,33 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import partitions, read, small_batches, table
+from tidegraph.llm.common import ranges_for, read, small_batches, table
 from tidegraph.llm.tokens import encoder
 
-DIMENSIONS, BITS = 4, 8
+#: Places that tokens are hashed to, dimensions that vectors are projected to, and bits of a coordinate.
+HASHED, DIMENSIONS, BITS = 64, 4, 6
 LENGTH = 4096
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, curve_key bigint"
 
 
-def signs(ids: np.ndarray, dimensions: int = DIMENSIONS) -> np.ndarray:
-    """A fixed hash of each token id to +1 or -1 for each dimension."""
-    x = ids.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(1, dimensions + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+def hashed(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """A fixed place and sign for each of so many token ids."""
+    x = np.arange(1, size + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(29)
     x *= np.uint64(0xBF58476D1CE4E5B9)
-    return ((x >> np.uint64(40)) & np.uint64(1)).astype(np.float32) * 2 - 1
+    return ((x >> np.uint64(40)) % np.uint64(HASHED)).astype(np.int64), ((x >> np.uint64(20)) & np.uint64(1)).astype(np.float64) * 2 - 1
 
 
-def cells(totals: np.ndarray, counts: np.ndarray, bits: int = BITS) -> np.ndarray:
-    """Coordinates of sums of signs (a row each): the standard score's place in the normal distribution, in 2**bits steps."""
-    places = np.array([0.5 + 0.5 * erf(z) for z in (totals / np.sqrt(2 * np.maximum(counts, 1))[:, None]).ravel()])
-    return np.minimum((places * (1 << bits)).astype(np.int64), (1 << bits) - 1).reshape(totals.shape)
+def directions() -> np.ndarray:
+    """HASHED x DIMENSIONS: fixed directions at right angles."""
+    return np.linalg.qr(np.random.default_rng(11).normal(size=(HASHED, DIMENSIONS)))[0]
+
+
+def projected(vectors: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """Rows less the mean, of unit length (a row equal to the mean stays zero), in DIMENSIONS dimensions."""
+    rows = vectors - mean
+    size = np.linalg.norm(rows, axis=1, keepdims=True)
+    return (rows / np.where(size > 0, size, 1)) @ directions()
 
 
 def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -62,12 +70,12 @@ def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def encoded(docs: DataFrame, path: str, end_id: int, kind: str) -> DataFrame:
-    """doc_id, curve_key, ids (unsigned 16- or 32-bit little-endian, with the end id)."""
+    """doc_id, vector (HASHED float16), ids (unsigned 16- or 32-bit little-endian, with the end id)."""
 
     def encode(batches):
         own = encoder(path, kind)
-        wide = own.tokenizer.get_vocab_size() > 1 << 16
-        columns = signs(np.arange(max(own.tokenizer.get_vocab_size(), end_id + 1))).T.copy()
+        size = own.tokenizer.get_vocab_size()
+        place, sign = hashed(max(size, end_id + 1))
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out = [x + end for x in own.encode([x or "" for x in batch.column(1).to_pylist()])]
@@ -75,14 +83,64 @@ def encoded(docs: DataFrame, path: str, end_id: int, kind: str) -> DataFrame:
                 continue
             counts, flat = np.array([len(x) // 4 for x in out]), np.frombuffer(b"".join(out), "<u4")
             at = np.concatenate([[0], np.cumsum(counts)[:-1]])
-            totals = np.stack([np.add.reduceat(column[flat], at) for column in columns], 1)
-            keys = hilbert(cells(totals, counts))
-            if not wide:
+            cell = place[flat] + np.repeat(np.arange(len(out)) * HASHED, counts)
+            vectors = (np.bincount(cell, weights=sign[flat], minlength=len(out) * HASHED).reshape(-1, HASHED) / counts[:, None]).astype("<f2")
+            if size <= 1 << 16:
                 out = [x.tobytes() for x in np.split(flat.astype("<u2"), at[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "curve_key", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in vectors], pa.binary()), pa.array(out, pa.binary())], ["doc_id", "vector", "ids"])
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(encode, "doc_id bigint, curve_key bigint, ids binary")
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(encode, "doc_id bigint, vector binary, ids binary")
+
+
+def _vectors(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<f2").astype(np.float64).reshape(-1, HASHED)
+
+
+def _mean(ids: DataFrame) -> np.ndarray:
+    """The mean vector of all documents: sums by task, added up by place on the executors."""
+
+    def sums(batches):
+        total, n = np.zeros(HASHED), 0
+        for batch in batches:
+            total += _vectors(batch.column(0)).sum(0)
+            n += batch.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array(range(HASHED), pa.int32()), pa.array(total), pa.array([n] * HASHED, pa.int64())], ["place", "total", "n"])
+
+    rows = ids.select("vector").mapInArrow(sums, "place int, total double, n bigint").groupBy("place").agg((F.sum("total") / F.greatest(F.sum("n"), F.lit(1))).alias("mean")).collect()
+    out = np.zeros(HASHED)
+    for r in rows:
+        out[r.place] = r["mean"]
+    return out
+
+
+def _cuts(ids: DataFrame, mean: np.ndarray) -> np.ndarray | None:
+    """DIMENSIONS x (2**BITS - 1): where each dimension's cells end, so that each holds about as many of all documents; None without documents."""
+
+    def project(batches):
+        for batch in batches:
+            found = projected(_vectors(batch.column(0)), mean)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, d]) for d in range(DIMENSIONS)], [f"x{d}" for d in range(DIMENSIONS)])
+
+    cells = 1 << BITS
+    shares = F.array(*(F.lit(i / cells) for i in range(1, cells)))
+    points = ids.select("vector").mapInArrow(project, ", ".join(f"x{d} double" for d in range(DIMENSIONS)))
+    found = points.agg(*(F.percentile_approx(f"x{d}", shares, F.lit(1000)).alias(f"x{d}") for d in range(DIMENSIONS))).first()
+    return None if found[0] is None else np.array([list(found[d]) for d in range(DIMENSIONS)])
+
+
+def keyed(ids: DataFrame) -> DataFrame:
+    """doc_id, curve_key, ids of a written encoded() table."""
+    mean = _mean(ids)
+    cuts = _cuts(ids, mean)
+
+    def run(batches):
+        for batch in batches:
+            points = projected(_vectors(batch.column(1)), mean)
+            coordinates = np.stack([np.searchsorted(cuts[d], points[:, d]) for d in range(DIMENSIONS)], 1).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hilbert(coordinates), pa.int64()), batch.column(2)], ["doc_id", "curve_key", "ids"])
+
+    return ids.select("doc_id", "vector", "ids").mapInArrow(run, "doc_id bigint, curve_key bigint, ids binary")
 
 
 def _pack(width: int, length: int):
@@ -140,7 +198,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, kind: str = "word", length
     from tokenizers import Tokenizer
 
     width = 4 if Tokenizer.from_file(path).get_vocab_size() > 1 << 16 else 2
-    ranged = ids.repartitionByRange(partitions(docs.sparkSession), "curve_key", "doc_id").sortWithinPartitions("curve_key", "doc_id", F.xxhash64("ids"))
+    ranged = keyed(ids).repartitionByRange(ranges_for(ids), "curve_key", "doc_id").sortWithinPartitions("curve_key", "doc_id", F.xxhash64("ids"))
     return ranged.select("doc_id", "curve_key", "ids").mapInArrow(_pack(width, length), PIECES)
 
 

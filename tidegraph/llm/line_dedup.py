@@ -21,8 +21,8 @@ from tidegraph.llm.components import components
 LIMITS = ((20, 1), (40, 2))
 #: (words, edits): lines from so many words on are also joined by so many words changed, put in or left out.
 WORD_LIMITS = ((10, 1), (20, 2), (100, 3), (200, 4))
-#: Lines of so many words need no segments of characters: two edits change four words at most, and of two lines of which one has fewer words than this and the other not, both have 200 at least.
-SEGMENTED = 206
+#: In lines from so many words on only words are edited, not characters.
+WORDS_ONLY = 20
 #: Lines to a block, and characters.
 BLOCK, BLOCK_CHARS = 64, 1 << 16
 #: Rows of the edit matrix that one word of a bit vector stands for; its other bits reach into the neighbours.
@@ -78,8 +78,8 @@ def classed(lines: DataFrame, limits: tuple[tuple[int, int], ...], by_words: boo
     for unit, part, chosen in (("size", characters, limits), ("n_words", words, WORD_LIMITS if by_words else ())):
         for n, (least, edits) in enumerate(chosen):
             fits = F.col(unit) >= least if n + 1 == len(chosen) else F.col(unit).between(least, chosen[n + 1][0] + edits - 1)
-            if by_words and part is characters:
-                fits = fits & (F.col("n_words") < SEGMENTED)
+            if by_words and part is characters:  # the other line has so many blanks more at most
+                fits = fits & (F.col("n_words") < WORDS_ONLY + edits)
             found.append(F.when(fits, keys_of(F.col(unit), edits, part)).otherwise(F.array().cast("array<bigint>")))
     return lines.withColumn("keys", F.concat(*found))
 
@@ -187,6 +187,8 @@ def _pairs(limits: tuple[tuple[int, int], ...], by_words: bool) -> Column:
             by_characters = F.when(F.least(x["size"], y["size"]) >= least, near(x, y, edits)).otherwise(by_characters)
         for least, edits in WORD_LIMITS if by_words else ():
             by_word = F.when(F.least(x["n_words"], y["n_words"]) >= least, near(x, y, edits, "n_words", "word_planes", ("code1", "code2"))).otherwise(by_word)
+        if by_words:
+            by_characters = (F.least(x["n_words"], y["n_words"]) < WORDS_ONLY) & by_characters
         return F.arrays_overlap(x["keys"], y["keys"]) & (by_characters | by_word)
 
     return F.transform("lines", lambda x, n: F.filter(F.transform("lines", lambda y, m: F.when((m < n) & ((F.col("i") == F.col("j")) | (x["block"] != y["block"])) & (x["id"] != y["id"]), F.when(linked(x, y), m))), lambda m: m.isNotNull()))
@@ -202,8 +204,8 @@ def spanning(found: DataFrame) -> DataFrame:
 def line_classes(docs: DataFrame, edits: int | None = None, min_chars: int = 1) -> DataFrame:
     """doc_id, sum, line_no of every line that repeats an earlier one: an occurrence, other than the first, of a class of lines linked by equality or few edits.
 
-    Edits are at most ``edits`` characters, or if that is not given the shorter line's limit in LIMITS, or in words its limit
-    in WORD_LIMITS.  Order is (doc_id, sum, line_no), sum being a hash of the document's text: rows that share a doc_id
+    Edits are at most ``edits`` characters; or if that is not given, the limit in LIMITS, for lines under WORDS_ONLY words, or
+    in words that in WORD_LIMITS, as the shorter line has it.  Order is (doc_id, sum, line_no), sum being a hash of the document's text: rows that share a doc_id
     but not the text are documents each, and rows that share both are one.
     Blank lines and lines under ``min_chars`` characters, blanks around them not counted, are left alone, as are null texts
     and null doc_ids.

@@ -2,13 +2,15 @@
 
 Heuristic labellers vote on every document, and so does the ``labels`` table where it has the document.  How often each
 combination of votes occurs over all documents is all that expectation-maximisation needs to estimate each labeller's
-accuracies; the number of combinations is bounded by the labellers.  Posterior labels of a bounded sample of labelled rows
-train two hashed linear scorers (junk, toxic), which then score every document.
+accuracies, that table's among them; the number of combinations is bounded by the labellers.  Posterior labels of a bounded
+sample, one half of it rows that the table doesn't have, train two hashed linear scorers (junk, toxic), which then score every
+document.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from itertools import pairwise
 
@@ -18,12 +20,18 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import read, small_batches, table
+from tidegraph.llm.common import drop, read, small_batches, table
 
 #: Log odds above which a document is rejected, as junk and as toxic: a toxic one that stays costs twice a clean one that goes.
 REJECT_ABOVE = (0.0, -0.7)
-#: Hash buckets of the scorers, and labelled rows that they are fitted on at most (chosen by a hash of doc_id).
-BUCKETS, SAMPLE_ROWS = 1 << 20, 8000
+#: Hash buckets of the scorers.
+BUCKETS = 1 << 20
+#: Rows with labels, and as many without, that the scorers are fitted on at most (chosen by a hash of doc_id among those that docs holds), and bytes of their features.
+SAMPLE_ROWS, SAMPLE_BYTES = 8000, 96 << 20
+#: Minima in a sketch, and how many must agree with those of one row kept before for a row to be its near copy.
+SKETCH, ALIKE = 8, 5
+#: Expectation-maximisation starts from, and adds as pseudo-counts, these votes (good, bad) of a heuristic on good and on bad documents, and of the labels table.
+HEURISTIC, GIVEN = ((19.0, 1.0), (7.0, 3.0)), ((98.0, 2.0), (2.0, 98.0))
 GOOD, BAD, NONE = 0, 1, 2
 WORD = re.compile(r"\w+")
 JUNK = ("symbols", "bars", "shouting", "stutter", "loops", "lines", "short", "label")
@@ -83,25 +91,18 @@ def posterior(votes: np.ndarray, prior: float, accuracy: np.ndarray) -> np.ndarr
     return 1 / (1 + np.exp(np.clip(total[:, 0] - total[:, 1], -50, 50)))
 
 
-def fit_labels(patterns: np.ndarray, counts: np.ndarray, m: int, rounds: int = 100) -> tuple[float, np.ndarray]:
-    """Expectation-maximisation over vote patterns: (prior of bad, accuracy[labeller, class, vote]).  A labeller votes bad at least five times as often on bad documents as on good ones; the last, the labels table, is right at least 995 times in 1000."""
+def fit_labels(patterns: np.ndarray, counts: np.ndarray, m: int, rounds: int = 200) -> tuple[float, np.ndarray]:
+    """Expectation-maximisation over vote patterns: (prior of bad, accuracy[labeller, class, vote]).  HEURISTIC and, for the last labeller, GIVEN are where it starts and what is added to the counts; nothing else holds an accuracy."""
     votes = decode(patterns, m)
-    accuracy = np.tile(np.array([[0.95, 0.05], [0.7, 0.3]]), (m, 1, 1))
-    accuracy[-1] = [[0.98, 0.02], [0.02, 0.98]]
-    prior = 0.1
+    pseudo = np.array([HEURISTIC] * (m - 1) + [GIVEN])
+    accuracy, prior = pseudo / pseudo.sum(2, keepdims=True), 0.1
     for _ in range(rounds):
         bad = posterior(votes, prior, accuracy)
-        prior = float(np.clip((counts @ bad + 1) / (counts.sum() + 10), 1e-3, 0.9))
-        old = accuracy.copy()
-        for i in range(m):
-            for c, p in ((0, 1 - bad), (1, bad)):
-                weight = counts * p
-                hit = np.array([weight[votes[:, i] == v].sum() for v in (GOOD, BAD)]) + np.array([[10, 0.1], [1, 1]][c])
-                accuracy[i, c] = hit / hit.sum()
-        accuracy[:, 1, BAD] = np.clip(np.maximum(accuracy[:, 1, BAD], 5 * accuracy[:, 0, BAD]), 0, 0.999)
-        accuracy[-1, [0, 1], [GOOD, BAD]] = np.maximum(accuracy[-1, [0, 1], [GOOD, BAD]], 0.995)
-        accuracy[:, 0, BAD], accuracy[:, 1, GOOD] = 1 - accuracy[:, 0, GOOD], 1 - accuracy[:, 1, BAD]
-        if np.abs(accuracy - old).max() < 1e-6:
+        weight = np.stack([counts * (1 - bad), counts * bad])
+        hits = pseudo + np.stack([[[weight[c, votes[:, i] == v].sum() for v in (GOOD, BAD)] for c in (0, 1)] for i in range(m)])
+        old, accuracy = accuracy, hits / hits.sum(2, keepdims=True)
+        prior = float((weight[1].sum() + 1) / (counts.sum() + 10))
+        if np.abs(accuracy - old).max() < 1e-7:
             break
     return prior, accuracy
 
@@ -174,7 +175,7 @@ class Scorer:
 
 
 def _features(batches):
-    """doc_id, buckets (sorted int32), junk votes, sketch (4 minima of hashed word triples, by which near copies are told)."""
+    """doc_id, buckets (sorted int32), junk votes, sketch (SKETCH minima of hashed word triples, by which near copies are told)."""
     for batch in batches:
         out = []
         for doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -182,13 +183,27 @@ def _features(batches):
             votes, extra = shape(text)
             words = WORD.findall(text.lower())
             found = np.array(sorted({bucket(x) for x in set(words)} | {_SHAPE[x] for x in extra}), np.int32)
-            triples = {" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))}
-            sketch = b"".join(min((xxhash.xxh64_digest(x, seed) for x in triples), default=b"") for seed in range(4))
+            triples = np.array(sorted({xxhash.xxh64_intdigest(" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))}), np.uint64)
+            sketch = b"".join((triples * np.uint64(0x9E3779B97F4A7C15 + 2 * seed) ^ triples >> np.uint64(7 + seed)).min().tobytes() for seed in range(SKETCH))
             out.append((doc, found.tobytes(), code(votes, JUNK), sketch))
         columns = list(zip(*out, strict=True)) if out else [[]] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "buckets", "votes", "sketch"])
 
 
+def apart(sketches: list[bytes]) -> list[int]:
+    """The places of those that are no near copy of one kept before."""
+    holders: dict[bytes, list[int]] = {}
+    kept = []
+    for n, sketch in enumerate(sketches):
+        parts = [bytes([i]) + sketch[8 * i : 8 * i + 8] for i in range(SKETCH)]
+        met = Counter(k for p in parts for k in holders.get(p, ()))
+        if not met or met.most_common(1)[0][1] < ALIKE:
+            kept.append(n)
+            for p in parts:
+                holders.setdefault(p, []).append(n)
+    return kept
+
+
 def _votes(lexicon: frozenset[int]):
     def run(batches):
         known: dict[str, int | None] = {}
@@ -225,33 +240,44 @@ def lexicon_of(rows: list[np.ndarray], toxic: np.ndarray) -> frozenset[int]:
     return frozenset(names[(bad >= 5) & (odds >= 20)].tolist())
 
 
+def _sample(texts: DataFrame, known: DataFrame, rows: int) -> list:
+    """Features of at most so many documents that known has and as many others, by a hash of doc_id, with what known says: doc_id, buckets, votes, sketch, _quality, _toxic.  Of rows that share a doc_id one counts.  Beyond SAMPLE_BYTES the last go."""
+    ids = texts.select("doc_id").filter("doc_id is not null").distinct()
+    labelled = ids.join(known, ids.doc_id == known["_doc"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    others = ids.join(known, ids.doc_id == known["_doc"], "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    chosen = table(labelled.select("doc_id", "_quality", "_toxic").unionByName(others, allowMissingColumns=True).withColumnRenamed("doc_id", "_chosen"), "sample_ids")
+    sampled = texts.join(F.broadcast(chosen.select("_chosen")), texts.doc_id == F.col("_chosen"), "left_semi")
+    found = sampled.mapInArrow(_features, "doc_id bigint, buckets binary, votes bigint, sketch binary").groupBy("doc_id").agg(F.min(F.struct("buckets", "votes", "sketch")).alias("f"))
+    found = table(found.join(F.broadcast(chosen), F.col("doc_id") == F.col("_chosen")).select("doc_id", "f.*", "_quality", "_toxic", F.length("f.buckets").alias("size")), "sample")
+    sizes = sorted((r._quality is None and r._toxic is None, r.doc_id, r["size"]) for r in found.select("doc_id", "_quality", "_toxic", "size").collect())
+    total, last = 0, len(sizes)
+    for i, (_, _, size) in enumerate(sizes):
+        total += size
+        if total > SAMPLE_BYTES:
+            last = i
+            break
+    if last < len(sizes):
+        spark = texts.sparkSession
+        found = found.join(F.broadcast(spark.createDataFrame([(i,) for _, i, _ in sizes[:last]], "_kept bigint")), F.col("doc_id") == F.col("_kept"), "left_semi")
+    rows_ = sorted(found.collect(), key=lambda r: (r._quality is None and r._toxic is None, r.doc_id))
+    return [rows_[i] for i in apart([r.sketch for r in rows_])]
+
+
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fit label models on all documents' votes, scorers on the sample.  Rows of labels that repeat a doc_id count as bad if one of them is; null labels abstain.  Without usable labels the heuristics' votes alone decide, on a sample of documents, and nothing is toxic."""
+    """Fit label models on all documents' votes, scorers on the sample.  Rows of labels that repeat a doc_id count as bad if one of them is; null labels abstain.  Without labels the heuristics' votes alone decide; without toxic ones there is no lexicon, and nothing is toxic."""
     small_batches(docs.sparkSession)
     known = table(labels.select(F.col("doc_id").cast("bigint").alias("_doc"), F.col("quality").cast("int").alias("_quality"), F.col("toxic").cast("int").alias("_toxic")).filter("_doc is not null").groupBy("_doc").agg(F.min("_quality").alias("_quality"), F.max("_toxic").alias("_toxic")), "labels")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    chosen = table(known.orderBy(F.xxhash64("_doc"), "_doc").limit(sample_rows), "sample_ids")
-    sampled = texts.join(F.broadcast(chosen), texts.doc_id == chosen["_doc"], "left_semi")
-    found = table(sampled.mapInArrow(_features, "doc_id bigint, buckets binary, votes bigint, sketch binary"), "sample")
-    if found.count() < 50:
-        sampled = texts.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-        found = table(sampled.mapInArrow(_features, "doc_id bigint, buckets binary, votes bigint, sketch binary"), "sample")
-    rows = sorted(found.join(F.broadcast(chosen), found.doc_id == chosen["_doc"], "left").limit(2 * sample_rows).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.sketch))
-    seen: set[bytes] = set()
-    kept = []
-    for r in rows:  # one of near copies: their common rare words would look telling
-        parts = {bytes([i]) + r.sketch[8 * i : 8 * i + 8] for i in range(4)}
-        if not parts & seen:
-            kept.append(r)
-        seen |= parts
+    kept = _sample(texts, known, sample_rows)
     buckets = [np.frombuffer(r.buckets, np.int32).astype(np.int64) for r in kept]
-    toxic = np.array([r["_toxic"] == 1 for r in kept], bool)
-    lexicon = lexicon_of(buckets, toxic) if kept else frozenset()
+    judged = [i for i, r in enumerate(kept) if r._toxic is not None]
+    lexicon = lexicon_of([buckets[i] for i in judged], np.array([kept[i]._toxic == 1 for i in judged], bool)) if judged else frozenset()
 
     votes = table(texts.mapInArrow(_votes(lexicon), "doc_id bigint, junk bigint, toxic bigint"), "votes")
     cast = lambda c, bad: F.when(F.col(c).isNull(), NONE).when(F.col(c) == bad, BAD).otherwise(GOOD)
     both = votes.join(known.hint("merge"), votes.doc_id == F.col("_doc"), "left").select((F.col("junk") - NONE + cast("_quality", 0)).alias("junk"), (F.col("toxic") - NONE + cast("_toxic", 1)).alias("toxic"))
     model = Model(lexicon=lexicon)
+    given = lambda value, bad: NONE if value is None else BAD if value == bad else GOOD
     for name, labellers in (("junk", JUNK), ("toxic", TOXIC)):
         tally = both.groupBy(name).count().collect()
         patterns, counts = np.array([r[name] for r in tally], np.int64), np.array([r["count"] for r in tally], float)
@@ -259,12 +285,13 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
             continue
         prior, accuracy = fit_labels(patterns, counts, len(labellers))
         if name == "junk":
-            own = np.array([r.votes - NONE + (NONE if r["_quality"] is None else BAD if r["_quality"] == 0 else GOOD) for r in kept])
+            own = np.array([r.votes - NONE + given(r._quality, 0) for r in kept])
         else:
-            own = np.array([code(lexicon_votes(sum(int(k) in lexicon for k in b)), TOXIC) - NONE + (NONE if r["_toxic"] is None else BAD if r["_toxic"] == 1 else GOOD) for r, b in zip(kept, buckets, strict=True)])
+            own = np.array([code(lexicon_votes(sum(int(k) in lexicon for k in b)), TOXIC) - NONE + given(r._toxic, 1) for r, b in zip(kept, buckets, strict=True)])
         weights, bias = fit_scorer(buckets, posterior(decode(own, len(labellers)), prior, accuracy))
         setattr(model, name, weights)
         setattr(model, f"{name}_bias", bias)
+    drop(votes, known)
     return model
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import bounded, read, small_batches, table
+from tidegraph.llm.common import bounded, read, small_batches, table, unwrapped, wrapped
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = "#*$%&|<>"
@@ -119,7 +119,8 @@ def _passing(batches):
 def keep_good(docs: DataFrame, limits: dict[str, float] = HOST_LIMITS) -> DataFrame:
     """The rows of docs, with all their columns, that pass; judged as in judge().  Texts are read twice and never shuffled, unless there are too many rejected hosts to broadcast."""
     bad = rejected_hosts(table(measured(docs, F.col("source").alias("_host")), "measures"), limits)
-    return docs.join(bounded(bad), docs["source"] == F.col("_bad_host"), "left_anti").mapInArrow(_passing, docs.schema)
+    rows = wrapped(docs, host=F.col("source")).join(bounded(bad), F.col("host") == F.col("_bad_host"), "left_anti")
+    return unwrapped(rows.select("row")).mapInArrow(_passing, docs.schema)
 
 
 def op1_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

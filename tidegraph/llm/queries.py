@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import importlib
 
+from tidegraph.llm.oracles import ORACLE_SQL
+
+__all__ = ["NAMES", "ORACLE_SQL", "queries"]
+
 NAMES = {
     "op1_host_quality_rules": "quality_rules",
     "op2_embedding_dedup": "embedding_dedup",

@@ -9,6 +9,7 @@ encoding (prefix_bpe), over the same trie.
 
 from __future__ import annotations
 
+import codecs
 import re
 import zlib
 from collections.abc import Iterable
@@ -23,6 +24,8 @@ from tidegraph.llm.common import read, small_batches
 from tidegraph.llm.prefix_bpe import PrefixBpe
 
 MARK = "▁"
+#: Bytes that are no UTF-8 become a replacement character each, as the library has it.
+codecs.register_error("each_byte", lambda e: ("\ufffd" * (e.end - e.start), e.end))
 #: Remembered words; beyond it, the last batch's stay.
 MEMORY = 800_000
 UNIGRAM, BPE = 1, 2
@@ -146,7 +149,7 @@ class Codec:
 
     def decode(self, ids: Iterable[int]) -> str:
         ids = list(ids)
-        text = b"".join(map(self.table.__getitem__, ids)).decode("utf-8", "replace")
+        text = b"".join(map(self.table.__getitem__, ids)).decode("utf-8", "each_byte")
         return text[1:] if self.prefix and ids and self.table[ids[0]][:1] == b" " and ids[0] not in self.bytes.values() else text
 
 

@@ -16,6 +16,7 @@ import bisect
 import struct
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import partitions, read, scratch_path, small_batches
+from tidegraph.llm.common import ranges_for, read, scratch_path, small_batches
 from tidegraph.llm.tokens import encoder
 
 MAGIC = b"TGSST001"
@@ -53,7 +54,7 @@ class Writer:
 
     def __init__(self, out, width: int):
         self.out, self.width = out, width
-        self.block, self.index, self.hashes = bytearray(), bytearray(), []
+        self.block, self.index, self.hashes = bytearray(), bytearray(), array("Q")
         self.at = self.entries = self.ids = self.blocks = 0
         self.last = b""
 
@@ -64,7 +65,7 @@ class Writer:
         self.last = key
         self.entries += 1
         self.ids += len(ids) // self.width
-        self.hashes.append((xxhash.xxh64_intdigest(key), xxhash.xxh64_intdigest(key, 1) | 1))
+        self.hashes.extend((xxhash.xxh64_intdigest(key), xxhash.xxh64_intdigest(key, 1) | 1))
         if len(self.block) >= BLOCK:
             self._flush()
 
@@ -79,13 +80,13 @@ class Writer:
     def close(self) -> None:
         self._flush()
         bits = max(64, (self.entries * BITS + 7) // 8 * 8)
-        bloom = bytearray(bits // 8)
-        for a, b in self.hashes:
-            for i in range(PROBES):
-                p = (a + i * b) % bits
-                bloom[p >> 3] |= 1 << (p & 7)
-        self.out.write(bytes(bloom) + bytes(self.index))
-        crc = zlib.crc32(bytes(self.index), zlib.crc32(bytes(bloom)))
+        marked = np.zeros(bits, bool)
+        pairs = np.array(self.hashes, np.uint64).reshape(-1, 2)
+        for i in range(PROBES):
+            marked[(pairs[:, 0] % np.uint64(bits) + np.uint64(i) * (pairs[:, 1] % np.uint64(bits))) % np.uint64(bits)] = True
+        bloom = np.packbits(marked, bitorder="little").tobytes()
+        self.out.write(bloom + bytes(self.index))
+        crc = zlib.crc32(bytes(self.index), zlib.crc32(bloom))
         self.out.write(FOOTER.pack(self.at, len(bloom), self.at + len(bloom), self.blocks, self.width, self.entries, self.ids, crc, MAGIC))
 
 
@@ -168,7 +169,7 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int = 0, kind:
     spark = docs.sparkSession
     small_batches(spark)
     chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    ranged = chosen.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    ranged = chosen.repartitionByRange(ranges_for(docs), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     done = ranged.mapInArrow(write, "shard bigint, file string, n_docs bigint, n_tokens bigint").collect()
     return spark.createDataFrame(sorted(r for r in done if r.n_docs), "shard bigint, file string, n_docs bigint, n_tokens bigint")
 

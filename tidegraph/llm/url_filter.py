@@ -1,19 +1,25 @@
 """URL filters: host rules, and trust propagated over the host graph where no rule fits.
 
 Everything here is DataFrame expressions.  The host graph has one edge for each pair of hosts that link (absolute
-``href`` targets; links within a host are left out), so its size is bounded by hosts, not by pages or links.
+``href`` targets; links within a host are left out), and edges between a host and the domain above it, so its size is bounded
+by hosts, not by pages or links.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import ascii_lower, bounded, read, table
+from tidegraph.llm.common import ascii_lower, bounded, drop, read, table
 
-HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']?(?:https?:)?//([^/?#"'\s>]+)"""
+HREF = r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
+#: Share of a node's score that flows on, and what may be left to flow when propagation stops.
+DAMPING, REST = 0.85, 1e-4
+#: A host is blocked if distrust is more than this share of what reaches it, so many pages of trust being added to each host's.
+SUSPECT, DOUBT = 0.5, 2.0
 
 
 @dataclass(frozen=True)
@@ -48,48 +54,75 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
     return found
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, score: str, damping: float, rounds: int) -> DataFrame:
-    """Personalised PageRank: (host, score) after so many rounds.  edges: src, dst, weight (weights from a host sum to 1); seeds: host, seed.
+def node_of(host: Column) -> Column:
+    """A host without user information."""
+    return F.regexp_replace(host, "^[^@]*@", "")
 
-    Each round joins ranks to edges on the host and sums by target, which combines map-side; ranks are written after each
-    round, so plans stay short and lost executors cost one round.
-    """
-    ranks = table(seeds.select("host", F.col("seed").alias(score)).filter(F.col(score) > 0), "ranks")
-    for _ in range(rounds):
-        sent = edges.join(ranks, edges.src == ranks.host).select(F.col("dst").alias("host"), (damping * F.col("weight") * F.col(score)).alias(score))
-        back = seeds.filter("seed > 0").select("host", ((1 - damping) * F.col("seed")).alias(score))
-        ranks = table(sent.unionByName(back).groupBy("host").agg(F.sum(score).alias(score)), "ranks")
-    return ranks
 
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rest: float = REST) -> DataFrame:
+    """Personalised PageRank: (host, rank), ranks summing to 1.  edges: src, dst, weight (weights from a host sum to 1); seeds: host, seed (not negative).
 
-def host_verdicts(judged: DataFrame, links: DataFrame, damping: float = 0.85, rounds: int = 12, threshold: float = 0.5) -> DataFrame:
+    A walk starts at the seeds and goes on with probability ``damping``; where it can't, it starts again.  Walks of 0, 1, 2, ...
+    steps are summed until what is left of them is under ``rest`` of the whole, so distance from the seeds has no limit of its own.
+    Each step joins to edges on the host and sums by target, which combines map-side, and is written: plans stay short and
+    lost executors cost one step.
+    """
+    now = table(seeds.filter("seed > 0").select("host", F.col("seed").cast("double").alias("part")), "walks")
+    start = now.agg(F.sum("part")).first()[0] or 0.0
+    parts, left = [now], start
+    while left > rest * start:
+        now = table(edges.join(now, edges.src == now.host).select(F.col("dst").alias("host"), (damping * F.col("weight") * F.col("part")).alias("part")).groupBy("host").agg(F.sum("part").alias("part")), "walks")
+        left = now.agg(F.sum("part")).first()[0] or 0.0
+        parts.append(now)
+        if len(parts) == 16:
+            whole = table(reduce(DataFrame.unionByName, parts).groupBy("host").agg(F.sum("part").alias("part")), "walked")
+            drop(*parts[:-1])
+            parts = [whole]
+    summed = reduce(DataFrame.unionByName, parts).groupBy("host").agg(F.sum("part").alias("part"))
+    total = summed.agg(F.sum("part")).first()[0] or 1.0
+    return summed.select("host", (F.col("part") / total).alias("rank"))
+
+
+def domains(hosts: DataFrame) -> DataFrame:
+    """src, dst between each host and the domain above it, and so on up to two labels, in both directions.  hosts: host.  Addresses in numbers have none."""
+    labels = F.split("host", "[.]")
+    named = hosts.filter(~F.col("host").rlike("^[0-9.:\\[\\]]*$")).select(labels.alias("labels")).filter(F.size("labels") > 2)
+    name = lambda i: F.array_join(F.slice("labels", i, F.size("labels")), ".")
+    steps = named.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("labels") - 2), lambda i: F.struct(name(i).alias("src"), name(i + 1).alias("dst")))).alias("e")).select("e.src", "e.dst").distinct()
+    return steps.unionByName(steps.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+
+
+def host_verdicts(judged: DataFrame, links: DataFrame, damping: float = DAMPING, suspect: float = SUSPECT, doubt: float = DOUBT) -> DataFrame:
     """(host, trust, distrust, host_verdict).  judged: host, ruled ('allow', 'block' or null) by page; links: src, dst.
 
-    Trusted seeds are hosts with more allowed than blocked pages, blocked seeds those with more blocked pages.  Trust flows
-    along links, distrust against them (who links to a blocked host is suspect).  A host is blocked if distrust makes up
-    more than ``threshold`` of what reaches it; a host that nothing reaches is allowed.
+    Hosts with allowed pages are trusted seeds and hosts with blocked ones distrusted seeds, by their number of such pages.
+    Trust flows along links, distrust against them (who links to a blocked host is suspect), and both between a host and
+    the domain above it.  Scores are pages' worth: all trust together is the number of allowed pages, all distrust that of
+    blocked ones.  A host is blocked if distrust is more than ``suspect`` of distrust, trust and ``doubt``, so a single
+    page decides nothing; a host that nothing reaches is allowed.
     """
-    hosts = table(judged.groupBy("host").agg(F.sum(F.when(F.col("ruled") == "allow", 1).otherwise(0)).alias("allowed"), F.sum(F.when(F.col("ruled") == "block", 1).otherwise(0)).alias("blocked")), "hosts")
+    hosts = table(judged.groupBy(node_of(F.col("host")).alias("host")).agg(F.sum(F.when(F.col("ruled") == "allow", 1).otherwise(0)).alias("allowed"), F.sum(F.when(F.col("ruled") == "block", 1).otherwise(0)).alias("blocked")), "hosts")
     pairs = table(links.filter("src != dst and src != '' and dst != ''").groupBy("src", "dst").agg(F.count("*").alias("n")), "host_edges")
-    totals = hosts.agg(F.sum(F.greatest(F.col("allowed") - F.col("blocked"), F.lit(0))).alias("good"), F.sum(F.greatest(F.col("blocked") - F.col("allowed"), F.lit(0))).alias("bad")).first()
-    scores = []
-    for score, excess, total, src, dst in (("trust", F.col("allowed") - F.col("blocked"), totals["good"], "src", "dst"), ("distrust", F.col("blocked") - F.col("allowed"), totals["bad"], "dst", "src")):
-        seeds = hosts.select("host", (F.greatest(excess, F.lit(0)) / F.lit(float(max(total or 0, 1)))).alias("seed"))
-        flow = pairs.select(F.col(src).alias("src"), F.col(dst).alias("dst"), "n")
-        out = flow.groupBy("src").agg(F.sum("n").alias("total")).withColumnRenamed("src", "origin")
-        edges = flow.join(out, flow.src == out.origin).select("src", "dst", (F.col("n") / F.col("total")).alias("weight"))
-        empty = pairs.limit(1).count() == 0
-        scores.append(seeds.filter("seed > 0").select("host", F.col("seed").alias(score)) if empty else propagate(table(edges, "flow"), seeds, score, damping, rounds))
-    both = hosts.select("host").join(scores[0], "host", "left").join(scores[1], "host", "left").fillna(0.0, ["trust", "distrust"])
-    suspect = F.col("distrust") > F.lit(threshold) * (F.col("trust") + F.col("distrust"))
-    return both.withColumn("host_verdict", F.when(suspect, "block").otherwise("allow"))
-
-
-def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, damping: float = 0.85, rounds: int = 12, threshold: float = 0.5) -> DataFrame:
+    above = table(domains(hosts.select("host")).withColumn("n", F.lit(1).cast("bigint")), "domains")
+    both = hosts.select("host")
+    for score, pages, src, dst in (("trust", "allowed", "src", "dst"), ("distrust", "blocked", "dst", "src")):
+        flow = pairs.select(F.col(src).alias("src"), F.col(dst).alias("dst"), "n").unionByName(above).groupBy("src", "dst").agg(F.sum("n").alias("n"))
+        out = flow.groupBy(F.col("src").alias("origin")).agg(F.sum("n").alias("total"))
+        edges = table(flow.join(out, flow.src == out.origin).select("src", "dst", (F.col("n") / F.col("total")).alias("weight")), "flow")
+        ranks = propagate(edges, hosts.select("host", F.col(pages).alias("seed")), damping)
+        total = hosts.agg(F.sum(pages)).first()[0] or 0
+        both = both.join(ranks.select("host", (F.col("rank") * total).alias(score)), "host", "left")
+    both = both.fillna(0.0, ["trust", "distrust"])
+    bad = F.col("distrust") > F.lit(suspect) * (F.col("trust") + F.col("distrust") + F.lit(doubt))
+    return both.withColumn("host_verdict", F.when(bad, "block").otherwise("allow"))
+
+
+def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, damping: float = DAMPING, suspect: float = SUSPECT, doubt: float = DOUBT) -> DataFrame:
     """page_id, host, path, rule, verdict of every page.
 
     A null url, or one without ``://``, has an empty host and path, fits no rule and is allowed.  Null html has no links.
-    Repeated rows are judged alike; other columns, whatever their names, are not looked at.
+    User information in a host (``user@``) is shown but is not part of the node of the host graph.  Repeated rows are judged
+    alike and count each; other columns, whatever their names, are not looked at.
     """
     named = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     named = named.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
@@ -97,10 +130,10 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, damping: floa
     for rule in rules:
         verdicts = F.when(F.col("rule") == rule.name, rule.verdict).otherwise(verdicts)
     named = named.withColumn("ruled", verdicts)
-    links = pages.select(host_of(F.col("url")).alias("src"), F.explode(F.regexp_extract_all("html", F.lit(HREF), F.lit(1))).alias("target"))
-    links = links.select("src", ascii_lower(F.regexp_replace("target", r"^[^@]*@", "")).alias("dst"))
-    blocked = table(host_verdicts(named.filter("host != ''"), links, damping, rounds, threshold).filter("host_verdict = 'block'").select(F.col("host").alias("bad_host")), "blocked_hosts")
-    joined = named.join(bounded(blocked), named.host == F.col("bad_host"), "left")
+    links = pages.select(node_of(host_of(F.col("url"))).alias("src"), F.explode(F.regexp_extract_all("html", F.lit(HREF), F.lit(1))).alias("target"))
+    links = links.select("src", ascii_lower(node_of(F.col("target"))).alias("dst"))
+    blocked = table(host_verdicts(named.filter("host != ''"), links, damping, suspect, doubt).filter("host_verdict = 'block'").select(F.col("host").alias("bad_host")), "blocked_hosts")
+    joined = named.join(bounded(blocked), node_of(F.col("host")) == F.col("bad_host"), "left")
     method = F.when(F.col("bad_host").isNotNull(), "block").otherwise("allow")
     return joined.select("page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"))
 
