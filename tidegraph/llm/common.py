@@ -48,7 +48,7 @@ RANGE_BYTES = 64 << 20
 def ranges_for(df: DataFrame) -> int:
     """As many ranges as the session's shuffles have, or more where the tables that df reads are larger than that many tasks should handle.  Tables of unknown size count nothing."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size())]
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
     return max(partitions(df.sparkSession), -(-sum(x for x in sizes if x < 1 << 60) // RANGE_BYTES))
 
 
