@@ -282,41 +282,50 @@ def test_hosts_above(spark):
 def naive_em(votes, counts, rounds=200):
     """The same model row by row, in plain Python."""
     q, m = quality_classifier, len(votes[0])
-    pseudo = [q.HEURISTIC] * (m - 1) + [q.GIVEN]
+    pseudo = [[q.SOUND if c == 0 else q.OWN if c == i + 1 else q.OTHER for c in range(m)] for i in range(m - 1)] + [[q.GIVEN[0]] + [q.GIVEN[1]] * (m - 1)]
     acc = [[[v / sum(row) for v in row] for row in table] for table in pseudo]
-    prior = 0.1
+    prior = [0.9] + [0.1 / (m - 1)] * (m - 1)
     for _ in range(rounds):
-        bad = []
+        share = []
         for row in votes:
-            like = [1 - prior, prior]
+            like = list(prior)
             for i, v in enumerate(row):
                 if v != q.NONE:
-                    like = [like[c] * acc[i][c][v] for c in (0, 1)]
-            bad.append(like[1] / sum(like))
-        new = [[[pseudo[i][c][v] + sum(n * (b if c else 1 - b) for row, n, b in zip(votes, counts, bad, strict=True) if row[i] == v) for v in (0, 1)] for c in (0, 1)] for i in range(m)]
+                    like = [x * acc[i][c][v] for c, x in enumerate(like)]
+            share.append([x / sum(like) for x in like])
+        seen = [[[sum(n * s[c] for row, n, s in zip(votes, counts, share, strict=True) if row[i] == v) for v in (0, 1)] for c in range(m)] for i in range(m)]
+        pooled = [sum(seen[-1][c][v] for c in range(1, m)) for v in (0, 1)]
+        seen[-1] = [seen[-1][0]] + [pooled] * (m - 1)
+        new = [[[pseudo[i][c][v] + seen[i][c][v] for v in (0, 1)] for c in range(m)] for i in range(m)]
         new = [[[v / sum(row) for v in row] for row in table] for table in new]
-        change = max(abs(new[i][c][v] - acc[i][c][v]) for i in range(m) for c in (0, 1) for v in (0, 1))
-        prior = (sum(n * b for n, b in zip(counts, bad, strict=True)) + 1) / (sum(counts) + 10)
+        change = max(abs(new[i][c][v] - acc[i][c][v]) for i in range(m) for c in range(m) for v in (0, 1))
+        prior = [(sum(n * s[c] for n, s in zip(counts, share, strict=True)) + 1 / m) / (sum(counts) + 1) for c in range(m)]
         acc = new
         if change < 1e-7:
             break
     return prior, acc
 
 
-def test_label_model_is_naive_em_and_finds_accuracies():
+def test_label_model_is_naive_em_and_finds_what_is_bad():
+    """Junk of three sorts, each with a sign of its own, and a labels table that has a tenth of the documents and is right on 19 of 20."""
     r, q = random.Random(4), quality_classifier
-    truth = [(0.97, 0.6), (0.9, 0.8), (0.99, 0.5), (0.95, 0.9)]  # right on good, right on bad; the last is the labels table
-    tally = {}
+    tally, bad = {}, {}
     for _ in range(20000):
-        bad = r.random() < 0.2
-        row = tuple(q.NONE if r.random() < (0.9 if i == 3 else 0.2) else (q.BAD if r.random() < right[1] else q.GOOD) if bad else (q.GOOD if r.random() < right[0] else q.BAD) for i, right in enumerate(truth))
+        sort = r.choice([1, 2, 3]) if r.random() < 0.2 else 0
+        row = tuple(q.BAD if r.random() < (0.01 if sort == 0 else 0.85 if sort == i + 1 else 0.05) else q.GOOD for i in range(3))
+        row += (q.NONE if r.random() < 0.9 else q.BAD if (sort > 0) != (r.random() < 0.05) else q.GOOD,)
         tally[row] = tally.get(row, 0) + 1
+        bad[row] = bad.get(row, 0) + (sort > 0)
     votes, counts = list(tally), list(tally.values())
     patterns = np.array([sum(v * 3 ** (3 - i) for i, v in enumerate(row)) for row in votes])
     prior, acc = q.fit_labels(patterns, np.array(counts, float), 4)
     want_prior, want = naive_em(votes, counts)
-    assert abs(prior - want_prior) < 1e-6 and np.abs(acc - np.array(want)).max() < 1e-6
-    assert abs(prior - 0.2) < 0.02 and all(abs(acc[i][0][0] - t[0]) < 0.03 and abs(acc[i][1][1] - t[1]) < 0.08 for i, t in enumerate(truth))
+    assert np.abs(prior - np.array(want_prior)).max() < 1e-6 and np.abs(acc - np.array(want)).max() < 1e-6
+    assert abs(1 - prior[0] - 0.2) < 0.03
+    assert acc[3, 0, q.GOOD] > 0.92 and acc[3, 1, q.BAD] > 0.9 and all(acc[i, i + 1, q.BAD] > 0.75 and acc[i, 0, q.BAD] < 0.03 for i in range(3))
+    found = q.posterior(q.decode(patterns, 4), prior, acc) > 0.5
+    right = sum(bad[v] if f else tally[v] - bad[v] for v, f in zip(votes, found, strict=True))
+    assert right > 0.95 * 20000
 
 
 def test_near_copies_are_told_by_most_of_a_sketch():

@@ -30,8 +30,8 @@ BUCKETS = 1 << 20
 SAMPLE_ROWS, SAMPLE_BYTES = 8000, 96 << 20
 #: Minima in a sketch, and how many must agree with those of one row kept before for a row to be its near copy.
 SKETCH, ALIKE = 8, 5
-#: Expectation-maximisation starts from, and adds as pseudo-counts, these votes (good, bad) of a heuristic on good and on bad documents, and of the labels table.
-HEURISTIC, GIVEN = ((19.0, 1.0), (7.0, 3.0)), ((98.0, 2.0), (2.0, 98.0))
+#: Pseudo-counts of votes (good, bad) from which expectation-maximisation starts: a heuristic's on good documents, on those bad in the way it looks for, and on other bad ones; and those of the labels table on good and on bad documents.
+SOUND, OWN, OTHER, GIVEN = (19.8, 0.2), (3.0, 7.0), (9.0, 1.0), ((98.0, 2.0), (2.0, 98.0))
 GOOD, BAD, NONE = 0, 1, 2
 WORD = re.compile(r"\w+")
 JUNK = ("symbols", "bars", "shouting", "stutter", "loops", "lines", "short", "label")
@@ -81,27 +81,57 @@ def decode(patterns: np.ndarray, m: int) -> np.ndarray:
     return np.stack([patterns // 3 ** (m - 1 - i) % 3 for i in range(m)], 1)
 
 
-def posterior(votes: np.ndarray, prior: float, accuracy: np.ndarray) -> np.ndarray:
-    """P(bad) of rows of votes.  accuracy[labeller, class, vote]: abstaining says nothing."""
-    logs = np.log(np.clip(accuracy, 1e-6, 1))
-    total = np.log([1 - prior, prior])[None, :].repeat(len(votes), 0)
+def shares(votes: np.ndarray, prior: np.ndarray, accuracy: np.ndarray) -> np.ndarray:
+    """How likely each class is for rows of votes.  prior[class], accuracy[labeller, class, vote]: abstaining says nothing."""
+    logs = np.log(np.clip(accuracy, 1e-9, 1))
+    total = np.log(prior)[None, :].repeat(len(votes), 0)
     for i in range(votes.shape[1]):
         cast = votes[:, i] != NONE
         total[cast] += logs[i][:, votes[cast, i]].T
-    return 1 / (1 + np.exp(np.clip(total[:, 0] - total[:, 1], -50, 50)))
+    total = np.exp(total - total.max(1, keepdims=True))
+    return total / total.sum(1, keepdims=True)
 
 
-def fit_labels(patterns: np.ndarray, counts: np.ndarray, m: int, rounds: int = 200) -> tuple[float, np.ndarray]:
-    """Expectation-maximisation over vote patterns: (prior of bad, accuracy[labeller, class, vote]).  HEURISTIC and, for the last labeller, GIVEN are where it starts and what is added to the counts; nothing else holds an accuracy."""
+def posterior(votes: np.ndarray, prior: np.ndarray, accuracy: np.ndarray) -> np.ndarray:
+    """P(bad) of rows of votes: of any class but the first."""
+    return 1 - shares(votes, prior, accuracy)[:, 0]
+
+
+def weighed(patterns: np.ndarray, counts: np.ndarray, m: int) -> tuple[np.ndarray, float]:
+    """(counts, how many the labels table votes on): documents that it doesn't vote on weigh as much together as those it does, at most, or what they have in common would outweigh what labels say."""
+    voted = decode(patterns, m)[:, -1] != NONE
+    given, rest = float(counts[voted].sum()), float(counts[~voted].sum())
+    return np.where(voted, counts, counts * (min(1.0, given / rest) if given and rest else 1.0)), given
+
+
+def pseudo_counts(m: int, trust: float) -> np.ndarray:
+    """[labeller, class, vote]: class 0 is good, class k bad in the way that the k-th heuristic looks for; the last labeller is the labels table."""
+    out = np.empty((m, m, 2))
+    for i in range(m - 1):
+        out[i] = OTHER
+        out[i, 0], out[i, i + 1] = SOUND, OWN
+    out[-1], out[-1, 0] = np.array(GIVEN[1]) * (trust / 100), np.array(GIVEN[0]) * (trust / 100)
+    return out
+
+
+def fit_labels(patterns: np.ndarray, counts: np.ndarray, m: int, trust: float = 100.0, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """Expectation-maximisation over vote patterns: (prior[class], accuracy[labeller, class, vote]).
+
+    There is one class of good documents and one of bad ones for each heuristic, as junk of one sort seldom shows the signs of
+    another.  pseudo_counts() are where it starts and are added to the counts; nothing else holds an accuracy.  The labels
+    table, whose prior is worth ``trust`` documents, knows good and bad only, so it is as accurate for one bad class as another.
+    """
     votes = decode(patterns, m)
-    pseudo = np.array([HEURISTIC] * (m - 1) + [GIVEN])
-    accuracy, prior = pseudo / pseudo.sum(2, keepdims=True), 0.1
+    pseudo = pseudo_counts(m, trust)
+    accuracy, prior = pseudo / pseudo.sum(2, keepdims=True), np.array([0.9] + [0.1 / (m - 1)] * (m - 1))
+    cast = [[votes[:, i] == v for v in (GOOD, BAD)] for i in range(m)]
     for _ in range(rounds):
-        bad = posterior(votes, prior, accuracy)
-        weight = np.stack([counts * (1 - bad), counts * bad])
-        hits = pseudo + np.stack([[[weight[c, votes[:, i] == v].sum() for v in (GOOD, BAD)] for c in (0, 1)] for i in range(m)])
+        weight = counts[:, None] * shares(votes, prior, accuracy)
+        hits = np.stack([np.stack([weight[c].sum(0) for c in own], 1) for own in cast])
+        hits[-1, 1:] = hits[-1, 1:].sum(0)
+        hits += pseudo
         old, accuracy = accuracy, hits / hits.sum(2, keepdims=True)
-        prior = float((weight[1].sum() + 1) / (counts.sum() + 10))
+        prior = (weight.sum(0) + 1 / m) / (counts.sum() + 1)
         if np.abs(accuracy - old).max() < 1e-7:
             break
     return prior, accuracy
@@ -283,7 +313,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         patterns, counts = np.array([r[name] for r in tally], np.int64), np.array([r["count"] for r in tally], float)
         if not len(patterns) or not kept or name == "toxic" and not lexicon:
             continue
-        prior, accuracy = fit_labels(patterns, counts, len(labellers))
+        counts, given_ = weighed(patterns, counts, len(labellers))
+        prior, accuracy = fit_labels(patterns, counts, len(labellers), max(100.0, given_))
         if name == "junk":
             own = np.array([r.votes - NONE + given(r._quality, 0) for r in kept])
         else:

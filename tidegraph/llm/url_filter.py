@@ -10,14 +10,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidegraph.llm.common import ascii_lower, bounded, drop, read, table
 
 HREF = r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
 #: Share of a node's score that flows on, and what may be left to flow when propagation stops.
-DAMPING, REST = 0.85, 1e-4
+DAMPING, REST = 0.85, 1e-3
 #: A host is blocked if distrust is more than this share of what reaches it, so many pages of trust being added to each host's.
 SUSPECT, DOUBT = 0.5, 2.0
 
@@ -71,8 +71,10 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rest
     start = now.agg(F.sum("part")).first()[0] or 0.0
     parts, left = [now], start
     while left > rest * start:
-        now = table(edges.join(now, edges.src == now.host).select(F.col("dst").alias("host"), (damping * F.col("weight") * F.col("part")).alias("part")).groupBy("host").agg(F.sum("part").alias("part")), "walks")
-        left = now.agg(F.sum("part")).first()[0] or 0.0
+        seen = Observation()
+        step = edges.join(now, edges.src == now.host).select(F.col("dst").alias("host"), (damping * F.col("weight") * F.col("part")).alias("part")).groupBy("host").agg(F.sum("part").alias("part"))
+        now = table(step.observe(seen, F.sum("part").alias("left")), "walks")
+        left = seen.get["left"] or 0.0
         parts.append(now)
         if len(parts) == 16:
             whole = table(reduce(DataFrame.unionByName, parts).groupBy("host").agg(F.sum("part").alias("part")), "walked")
@@ -104,14 +106,22 @@ def host_verdicts(judged: DataFrame, links: DataFrame, damping: float = DAMPING,
     hosts = table(judged.groupBy(node_of(F.col("host")).alias("host")).agg(F.sum(F.when(F.col("ruled") == "allow", 1).otherwise(0)).alias("allowed"), F.sum(F.when(F.col("ruled") == "block", 1).otherwise(0)).alias("blocked")), "hosts")
     pairs = table(links.filter("src != dst and src != '' and dst != ''").groupBy("src", "dst").agg(F.count("*").alias("n")), "host_edges")
     above = table(domains(hosts.select("host")).withColumn("n", F.lit(1).cast("bigint")), "domains")
-    both = hosts.select("host")
-    for score, pages, src, dst in (("trust", "allowed", "src", "dst"), ("distrust", "blocked", "dst", "src")):
+    # both walks at once, on a graph that holds the hosts twice
+    kinds = (("trust", "allowed", "src", "dst"), ("distrust", "blocked", "dst", "src"))
+    named = lambda kind, c: F.concat(F.lit(f"{kind} "), F.col(c))
+    totals = hosts.agg(F.sum("allowed").alias("allowed"), F.sum("blocked").alias("blocked")).first()
+    flows, seeds = [], []
+    for kind, pages, src, dst in kinds:
         flow = pairs.select(F.col(src).alias("src"), F.col(dst).alias("dst"), "n").unionByName(above).groupBy("src", "dst").agg(F.sum("n").alias("n"))
         out = flow.groupBy(F.col("src").alias("origin")).agg(F.sum("n").alias("total"))
-        edges = table(flow.join(out, flow.src == out.origin).select("src", "dst", (F.col("n") / F.col("total")).alias("weight")), "flow")
-        ranks = propagate(edges, hosts.select("host", F.col(pages).alias("seed")), damping)
-        total = hosts.agg(F.sum(pages)).first()[0] or 0
-        both = both.join(ranks.select("host", (F.col("rank") * total).alias(score)), "host", "left")
+        flows.append(flow.join(out, flow.src == out.origin).select(named(kind, "src").alias("src"), named(kind, "dst").alias("dst"), (F.col("n") / F.col("total")).alias("weight")))
+        seeds.append(hosts.select(named(kind, "host").alias("host"), (F.col(pages) / F.lit(float(totals[pages] or 1))).alias("seed")))
+    ranks = table(propagate(table(flows[0].unionByName(flows[1]), "flow"), seeds[0].unionByName(seeds[1]), damping), "ranks")
+    both = hosts.select("host")
+    for kind, pages, _, _ in kinds:
+        own = ranks.filter(F.col("host").startswith(f"{kind} ")).select(F.substring("host", len(kind) + 2, 1 << 30).alias("host"), "rank")
+        whole = own.agg(F.sum("rank")).first()[0] or 1.0
+        both = both.join(own.select("host", (F.col("rank") * F.lit((totals[pages] or 0) / whole)).alias(kind)), "host", "left")
     both = both.fillna(0.0, ["trust", "distrust"])
     bad = F.col("distrust") > F.lit(suspect) * (F.col("trust") + F.col("distrust") + F.lit(doubt))
     return both.withColumn("host_verdict", F.when(bad, "block").otherwise("allow"))
