@@ -41,6 +41,17 @@ def test_prefixes_are_the_library_s(spark):
         assert own.prefixes(text).tolist() == [len(x) for x in library(WORDS, [text[:i] for i in range(len(text) + 1)])]
 
 
+def test_budgets_are_answered_from_stored_counts(spark):
+    texts = [None, "", "Hello, World! it's 2024", "unbelievably   été", "日本 ab", "a.b,c " * 30]
+    counts = token_counts.prefix_counts(docs(spark, texts), WORDS).cache()
+    own = token_counts.counter(WORDS)
+    for budget in (0, 1, 3, 40):
+        got = {r.doc_id: r.n_chars_kept for r in token_counts.fit_budget(counts, budget).collect()}
+        for i, t in enumerate(texts):
+            fits = [n for n in range(len(t or "") + 1) if len(library(WORDS, [(t or "")[:n]])[0]) <= budget]
+            assert got[i] == max(fits) and own.truncate(t or "", budget) == (t or "")[: max(fits)]
+
+
 def test_packing_covers_each_id_once(spark):
     rows = curve_packing.pack(docs(spark), WORDS).collect()
     ids = [x + [2] for x in library(WORDS, TEXTS)]

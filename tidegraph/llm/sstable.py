@@ -142,6 +142,8 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int = 0, kind:
 
     The manifest has one row for each shard, in doc_id order.  A task writes under a name of its own and renames when done,
     so a task that runs again, or twice at once, leaves a whole file.  The folder must be one that all executors see.
+    A null text is empty; a null doc_id sorts first, as the smallest integer; rows that repeat a doc_id are entries each, in
+    order of their texts' hash.  Other columns are not looked at.  A table without rows has no shard.
     """
 
     def write(batches):
@@ -205,7 +207,7 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
 
 
 def lookup(folder: str, file: str, doc_id: int) -> np.ndarray | None:
-    """The ids of one document from one shard, or None."""
+    """The ids of one document from one shard, or None: by footer, filter, binary search and one block.  Of entries with one key the first."""
     fs, root = _filesystem(folder)
     with fs.open_input_file(f"{root}/{file}") as f:
         return Reader(f, fs.get_file_info(f"{root}/{file}").size).get(key_of(doc_id))

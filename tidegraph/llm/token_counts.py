@@ -135,7 +135,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
 
 
 def prefix_counts(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, prefix_tokens: an array whose element i is the token count of the first i code points (element 0 is 0).  Write it beside the documents to answer later questions."""
+    """doc_id, prefix_tokens: an array whose element i is the token count of the first i code points (element 0 is 0).  Write it beside the documents to answer later questions.  A null text counts as empty; repeated rows are counted each; other columns are not looked at.  A chunk that word_pieces() can't tell goes to the library once for each of its prefixes."""
 
     def counted(batches):
         own = counter(path)
@@ -147,7 +147,7 @@ def prefix_counts(docs: DataFrame, path: str) -> DataFrame:
 
 
 def fit_budget(counts: DataFrame, budget: int) -> DataFrame:
-    """doc_id, n_chars_kept: the longest prefix within the budget, from stored prefix_counts, by SQL expressions alone."""
+    """doc_id, n_chars_kept: the longest prefix within the budget, from stored prefix_counts, by SQL expressions alone.  Null counts give null; repeated rows are answered each."""
     fits = F.filter(F.sequence(F.lit(0), F.size("prefix_tokens") - 1), lambda i: F.element_at("prefix_tokens", i + 1) <= budget)
     return counts.select("doc_id", F.array_max(fits).alias("n_chars_kept"))
 
