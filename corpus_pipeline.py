@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's rows to the shared folder and
 reads them again as the next one's docs.  All stages but the last return the columns of documents.
+
+Null texts count as empty: the rules reject them.  Rows with a null doc_id are judged like others but no line or document is
+removed as their copy.  Rows equal in doc_id and text are judged alike in every stage; rows that share only the doc_id are
+documents each.  Other columns, whatever their names, are carried along; an empty table gives an empty result.
 """
 
 from __future__ import annotations
