@@ -19,8 +19,8 @@ from tidegraph.llm.common import bounded, drop, partitions, read, small_batches,
 from tidegraph.llm.components import components
 
 COSINE = 0.98
-#: Centroids at most, and bytes of the sample that they are fitted on (or one row for each, if that is more).  There are as many as the root of the largest label's distinct vectors.
-MOST_CELLS, SAMPLE_BYTES = 1024, 16 << 20
+#: Distinct vectors of the largest label to a cell, on average; cells at most (two at least); bytes of the sample that their centroids are fitted on, or one row for each, if that is more.  More cells would have a vector visit more of them.
+CELL, MOST_CELLS, SAMPLE_BYTES = 1024, 1024, 16 << 20
 BLOCK = 1024
 
 
@@ -120,10 +120,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
 
     centres: dict[int, np.ndarray] = {}
     for r in classes.groupBy("label", F.size("v").alias("dim")).count().groupBy("dim").agg(F.max("count").alias("most")).collect():
-        k = math.ceil(math.sqrt(r.most))
-        size = max(MOST_CELLS, min(64 * k, SAMPLE_BYTES // (8 * r.dim)))
+        k = max(2, min(MOST_CELLS, math.ceil(r.most / CELL)))
+        size = max(k, min(64 * k, SAMPLE_BYTES // (8 * r.dim)))
         sample = classes.filter(F.size("v") == r.dim).select("v").orderBy(F.xxhash64("digest"), "digest").limit(size).collect()
-        centres[r.dim] = fit(_unit([x.v for x in sample]), min(MOST_CELLS, k))
+        centres[r.dim] = fit(_unit([x.v for x in sample]), k)
     placed = table(classes.select("node", "label", "n", "v").mapInArrow(_placed(centres, cosine), "label bigint, dim int, cell int, home boolean, node bigint, n bigint, vector binary"), "cells")
     keys = ["label", "dim", "cell"]
     blocks = lambda c: F.ceil(F.sum(F.when(c, 1).otherwise(0)) / BLOCK).cast("int")
