@@ -179,8 +179,12 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return cut.select("doc_id", "sum", F.posexplode("parts").alias("line_no", "line")).select("doc_id", "sum", "line_no", F.trim("line").alias("line"))
 
 
-def _pairs(limits: tuple[tuple[int, int], ...], by_words: bool) -> Column:
-    """From an array of lines (id, block, size, keys, n_words, planes, line, word_planes, code1, code2), sorted, and blocks i and j: for each line the places of the smaller lines that it links to (only between the blocks, or within one if i = j)."""
+def _links(limits: tuple[tuple[int, int], ...], by_words: bool) -> Column:
+    """From an array of lines (id, block, size, keys, n_words, planes, line, word_planes, code1, code2) and blocks i and j: links (a, b) that connect what the links between the blocks' lines (or within one if i = j) connect.
+
+    Lines are taken one by one.  A line is compared only with such earlier ones as are not yet in a group that it was linked
+    to, so a group of lines that are all alike takes one comparison for each line and not one for each pair.
+    """
     def linked(x: Column, y: Column) -> Column:
         by_characters, by_word = F.lit(False), F.lit(False)
         for least, edits in limits:
@@ -191,14 +195,31 @@ def _pairs(limits: tuple[tuple[int, int], ...], by_words: bool) -> Column:
             by_characters = (F.least(x["n_words"], y["n_words"]) < WORDS_ONLY) & by_characters
         return F.arrays_overlap(x["keys"], y["keys"]) & (by_characters | by_word)
 
-    return F.transform("lines", lambda x, n: F.filter(F.transform("lines", lambda y, m: F.when((m < n) & ((F.col("i") == F.col("j")) | (x["block"] != y["block"])) & (x["id"] != y["id"]), F.when(linked(x, y), m))), lambda m: m.isNotNull()))
+    line = lambda n: F.get(F.col("lines"), n)
+    empty = F.array().cast("array<struct<a:bigint,b:bigint>>")
+
+    def meets(groups: Column, n: Column) -> Column:
+        """Places of earlier lines that the n-th is linked to, one of each group."""
+        def one(found: Column, m: Column) -> Column:
+            apart = (F.col("i") == F.col("j")) | (line(n)["block"] != line(m)["block"])
+            new = ~F.exists(found, lambda z: F.get(groups, z) == F.get(groups, m))
+            return F.when(apart & new & (line(n)["id"] != line(m)["id"]), F.when(_let(F.struct(line(n).alias("x"), line(m).alias("y")), lambda p: linked(p["x"], p["y"])), F.concat(found, F.array(m))).otherwise(found)).otherwise(found)
+
+        before = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(before, F.array().cast("array<int>"), one)
+
+    def step(state: Column, n: Column) -> Column:
+        groups = state["groups"]
+
+        def joined(found: Column) -> Column:
+            merged = F.transform(groups, lambda g: F.when(F.exists(found, lambda z: F.get(groups, z) == g) | (g == n), n).otherwise(g))
+            more = F.transform(found, lambda m: F.struct(line(n)["id"].alias("a"), line(m)["id"].alias("b")))
+            return F.struct(F.when(F.size(found) > 0, merged).otherwise(groups).alias("groups"), F.concat(state["links"], more).alias("links"))
 
+        return _let(meets(groups, n), joined)
 
-def spanning(found: DataFrame) -> DataFrame:
-    """a, b of the links that lines, met (for each line the places of smaller partners) stand for, without those that others imply."""
-    kept = F.transform("met", lambda own: F.filter(own, lambda m: ~F.arrays_overlap(own, F.get(F.col("met"), m))))
-    links = F.flatten(F.transform(kept, lambda own, n: F.transform(own, lambda m: F.struct(F.get(F.col("ids"), n).alias("a"), F.get(F.col("ids"), m).alias("b")))))
-    return found.select("ids", "met").select(F.explode(links).alias("l")).select("l.a", "l.b")
+    places = F.sequence(F.lit(0), F.size("lines") - 1)
+    return F.aggregate(places, F.struct(places.alias("groups"), empty.alias("links")), step, lambda s: s["links"])
 
 
 def line_classes(docs: DataFrame, edits: int | None = None, min_chars: int = 1) -> DataFrame:
@@ -247,8 +268,8 @@ def line_classes(docs: DataFrame, edits: int | None = None, min_chars: int = 1)
     spread = told.select("component", "block", member.alias("member"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     grouped = spread.groupBy("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.array_sort(F.collect_list("member")).alias("lines"))
     held = grouped.filter(F.size("lines") > 1)
-    compared = table(held.select(_pairs(limits, by_words).alias("met"), F.transform("lines", lambda x: x["id"]).alias("ids")), "compared")
-    joined = table(components(spanning(compared)), "classes")
+    compared = table(held.select(F.explode_outer(_links(limits, by_words)).alias("l")).filter("l is not null").select("l.a", "l.b"), "compared")
+    joined = table(components(compared), "classes")
     drop(shared, found, members, banded, sizes, firsts, compared)
 
     # first occurrence of each class, then every other occurrence
