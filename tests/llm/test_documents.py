@@ -355,3 +355,23 @@ def test_classifier_on_held_out_labels(spark, fold):
     clean = [kept[r.doc_id] for r in held if r.quality == 1 and r.toxic == 0]
     junk = [kept[r.doc_id] for r in held if r.quality == 0]
     assert sum(clean) >= 0.97 * len(clean) and sum(junk) <= 0.1 * len(junk)
+
+
+def test_scorer_is_fitted_in_bounded_memory():
+    """Whole-sample arrays of every feature took some ten times the features' bytes in the driver."""
+    import tracemalloc
+
+    import numpy as np
+
+    from tidegraph.llm import quality_classifier as qc
+
+    r = np.random.default_rng(3)
+    rows = [np.unique(r.integers(0, 1 << 16, 250)).astype(np.int32) for _ in range(16000)]
+    target = (r.random(16000) < 0.3).astype(float)
+    rows = [np.append(x, 70000).astype(np.int32) if t else x for x, t in zip(rows, target, strict=True)]
+    tracemalloc.start()
+    weights, _ = qc.fit_scorer(rows, target, rounds=20)
+    lexicon = qc.lexicon_of(rows, target == 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(weights) == {70000} and 70000 in lexicon and peak < 100 << 20, peak

@@ -137,19 +137,39 @@ def fit_labels(patterns: np.ndarray, counts: np.ndarray, m: int, trust: float =
     return prior, accuracy
 
 
+def parts(rows: list[np.ndarray], size: int = 256):
+    """(first place, rows in one, which row each is of) of so many rows at a time, so that arrays as long as all rows together are never made."""
+    for i in range(0, len(rows), size):
+        part = rows[i : i + size]
+        yield i, np.concatenate(part), np.repeat(np.arange(i, i + len(part)), [len(r) for r in part])
+
+
+def totals(rows: list[np.ndarray], weight: np.ndarray) -> np.ndarray:
+    """For each bucket the weight of the rows that have it."""
+    out = np.zeros(BUCKETS + len(SHAPES))
+    for _, flat, owner in parts(rows):
+        out += np.bincount(flat, weights=weight[owner], minlength=len(out))
+    return out
+
+
 def fit_scorer(rows: list[np.ndarray], target: np.ndarray, weight_l1: float = 5e-5, rounds: int = 400) -> tuple[dict[int, float], float]:
     """L1 logistic regression on sets of buckets with targets in [0, 1], by accelerated proximal gradient: ({bucket: weight}, bias).  Words whose share of rows doesn't differ clearly between the classes (7 standard errors, 5 rows) are left out."""
-    flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    names, column, often = np.unique(flat, return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    bad, mass = np.bincount(column, weights=target[owner], minlength=len(names)), max(1e-9, float(target.sum()))
+    often, bad = totals(rows, np.ones(len(rows))), totals(rows, target)
+    names = np.flatnonzero(often)
+    often, bad, mass = often[names], bad[names], max(1e-9, float(target.sum()))
     rest = max(1e-9, len(rows) - mass)
     even = often / max(1, len(rows))
     z = (bad / mass - (often - bad) / rest) / np.sqrt(np.maximum(1e-12, even * (1 - even) * (1 / mass + 1 / rest)))
     told = (names >= BUCKETS) | (often >= 5) & (np.abs(z) >= 7)
-    use = told[column]
-    place = np.cumsum(told) - 1
-    names, column, owner = names[told], place[column[use]], owner[use]
+    names = names[told]
+    place = np.full(BUCKETS + len(SHAPES), -1, np.int32)
+    place[names] = np.arange(len(names))
+    columns, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for _, flat, of in parts(rows):
+        at = place[flat]
+        columns.append(at[at >= 0].astype(np.int64))
+        owners.append(of[at >= 0])
+    column, owner = np.concatenate(columns), np.concatenate(owners)
     value = np.where(names >= BUCKETS, SHAPE_VALUE, 1.0)
     n = max(1, len(rows))
     size = np.bincount(owner, weights=value[column], minlength=n)
@@ -263,11 +283,9 @@ def lexicon_of(rows: list[np.ndarray], toxic: np.ndarray) -> frozenset[int]:
     """Buckets in at least 5 toxic rows whose smoothed odds there are 20 times those elsewhere."""
     if not toxic.any() or toxic.all():
         return frozenset()
-    flat, flags = np.concatenate(rows), np.repeat(toxic, [len(r) for r in rows])
-    names, column = np.unique(flat, return_inverse=True)
-    bad, good = np.bincount(column[flags], minlength=len(names)), np.bincount(column[~flags], minlength=len(names))
+    bad, good = totals(rows, toxic.astype(float)), totals(rows, (~toxic).astype(float))
     odds = ((bad + 0.5) / (toxic.sum() + 1)) / ((good + 0.5) / ((~toxic).sum() + 1))
-    return frozenset(names[(bad >= 5) & (odds >= 20)].tolist())
+    return frozenset(np.flatnonzero((bad >= 5) & (odds >= 20)).tolist())
 
 
 def _sample(texts: DataFrame, known: DataFrame, rows: int) -> list:
@@ -299,7 +317,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     known = table(labels.select(F.col("doc_id").cast("bigint").alias("_doc"), F.col("quality").cast("int").alias("_quality"), F.col("toxic").cast("int").alias("_toxic")).filter("_doc is not null").groupBy("_doc").agg(F.min("_quality").alias("_quality"), F.max("_toxic").alias("_toxic")), "labels")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     kept = _sample(texts, known, sample_rows)
-    buckets = [np.frombuffer(r.buckets, np.int32).astype(np.int64) for r in kept]
+    buckets = [np.frombuffer(r.buckets, np.int32) for r in kept]
     judged = [i for i, r in enumerate(kept) if r._toxic is not None]
     lexicon = lexicon_of([buckets[i] for i in judged], np.array([kept[i]._toxic == 1 for i in judged], bool)) if judged else frozenset()
 
