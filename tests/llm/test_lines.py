@@ -212,3 +212,24 @@ def test_keys_are_shuffled_once_without_a_sieve(spark, monkeypatch):
     line_dedup.line_classes(df)
     after = written()
     assert made[0] >= 300 and sum(n for k, n in after.items() if k not in before) < 12 * len(rows)
+
+
+def test_lines_of_a_large_group_are_shuffled_by_parts(spark, monkeypatch):
+    """Unlike lines that share a segment: each used to be shuffled once for each block of its group, 12 800 rows here."""
+    monkeypatch.setattr(line_dedup, "BLOCK", 2)
+    r = random.Random(12)
+    shared = " ".join(f"s{i}" for i in range(10))
+    texts = [f"{shared} " + " ".join(f"w{r.randrange(10**6)}" for _ in range(14)) for _ in range(130)]
+    texts += [" ".join([*t.split(" ")[:-1], "other"]) for t in texts[::4][:30]]
+    df = spark.createDataFrame([(i, t, 0, "k", "x") for i, t in enumerate(texts)], DOCS)
+    hub = spark.sparkContext._gateway
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def written():
+        stages = store.stageList(None, False, False, hub.new_array(hub.jvm.double, 0), hub.jvm.java.util.ArrayList())
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+    before = written()
+    got = {x.doc_id for x in line_dedup.dedup_report(df).collect() if x.n_removed}
+    assert got == {i for i, t in enumerate(texts) if any(words_near(t, u) for u in texts[:i])} and len(got) == 30
+    assert max(n for k, n in written().items() if k not in before) < 4 * len(texts) * line_dedup.PARTS

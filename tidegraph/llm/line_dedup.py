@@ -3,8 +3,9 @@
 A line within ``edits`` edits of another keeps one of that line's ``edits + 1`` segments, near its place.  Lines of nearly
 one length have their segments at the same places, so each line is indexed by (length band, segment number, piece of the
 segment), see key().  This is done twice: with characters as the units that are edited, and with words.
-Keys that two lines share chain those lines; the lines of each chained group are compared in blocks of bounded size by
-banded bit-parallel edit distance, and linked lines form classes of which the first occurrence stays.
+Keys that two lines share chain those lines; the lines of each chained group are compared in blocks of bounded size, which
+are shuffled by larger parts, by banded bit-parallel edit distance, and linked lines form classes of which the first
+occurrence stays.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ WORD_LIMITS = ((10, 1), (20, 2), (100, 3), (200, 4))
 WORDS_ONLY = 20
 #: Lines to a block, and characters.
 BLOCK, BLOCK_CHARS = 64, 1 << 16
+#: Into how many parts the blocks of a group are put, and of how many blocks a part is at most: a line is shuffled once for each part and not for each block.
+PARTS, PART_BLOCKS = 8, 16
 #: Rows of the edit matrix that one word of a bit vector stands for; its other bits reach into the neighbours.
 ROWS = 57
 #: Bits of a unit that the vectors compare: all of an ASCII character's.
@@ -256,6 +259,26 @@ def _links(limits: tuple[tuple[int, int], ...], by_words: bool) -> Column:
     return F.aggregate(places, F.struct(places.alias("groups"), empty.alias("links")), step, lambda s: s["links"])
 
 
+def _part_size(blocks: Column) -> Column:
+    """Blocks to a part, of a group of so many blocks."""
+    return F.least(F.ceil(blocks / PARTS), F.lit(PART_BLOCKS)).cast("int")
+
+
+def _paired(told: DataFrame) -> DataFrame:
+    """i, j and lines (the members, in order) of each two blocks i <= j of a component (component, blocks, block, member) that have lines to compare.
+
+    Members meet by parts, one row for each two parts; the blocks of these are paired behind the shuffle, where copies need no disk.
+    """
+    part, parts = F.floor(F.col("block") / _part_size(F.col("blocks"))).cast("int"), F.ceil(F.col("blocks") / _part_size(F.col("blocks"))).cast("int")
+    spread = told.select("component", "blocks", part.alias("part"), "member", F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    met = spread.groupBy("component", "blocks", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q")).agg(F.array_sort(F.collect_list("member")).alias("members"))
+    held = lambda p: F.sequence(p * _part_size(F.col("blocks")), F.least((p + 1) * _part_size(F.col("blocks")), F.col("blocks")) - 1)
+    two = F.flatten(F.transform(held(F.col("p")), lambda i: F.transform(F.filter(held(F.col("q")), lambda j: i <= j), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+    each = met.filter(F.size("members") > 1).select("members", F.explode(two).alias("at")).select("members", "at.i", "at.j")
+    lines = F.filter("members", lambda x: (x["block"] == F.col("i")) | (x["block"] == F.col("j")))
+    return each.select("i", "j", lines.alias("lines")).filter(F.size("lines") > 1)
+
+
 def _frequent(distinct: DataFrame) -> int:
     """From how many copies on (2 at least, a power of two) lines are few enough to be broadcast."""
     bits = distinct.filter("n > 1").groupBy(F.floor(F.log2("n")).cast("int").alias("bits")).count().collect()
@@ -313,9 +336,7 @@ def line_classes(docs: DataFrame, edits: int | None = None, min_chars: int = 1)
     few = F.lit(not by_words) | (F.col("n_words") < WORDS_ONLY + limits[-1][1])
     told = told.withColumns({"planes": F.when(few, planes(F.col("line"))), "word_planes": F.when(F.col("code1").isNotNull(), planes(F.col("code1"))), "line": F.when(few, F.col("line"))})
     member = F.struct("id", "block", "own", "size", "keys", "n_words", "planes", "line", "word_planes", "code1", "code2")
-    spread = told.select("component", "block", member.alias("member"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    grouped = spread.groupBy("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.array_sort(F.collect_list("member")).alias("lines"))
-    held = grouped.filter(F.size("lines") > 1)
+    held = _paired(told.select("component", "blocks", "block", member.alias("member")))
     compared = table(held.select(F.explode_outer(_links(limits, by_words)).alias("l")).filter("l is not null").select("l.a", "l.b"), "compared")
     joined = table(components(compared), "classes")
     drop(often, found, members, banded, sizes, firsts, compared)
