@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tidegraph.llm import curve_packing, quality_classifier, quality_rules, sentencepiece_codec, sstable, token_counts, url_filter
+from tidegraph.llm import curve_packing, quality_classifier, quality_rules, sentencepiece_codec, sstable, token_counts, tokens, url_filter
 
 DOCS = "doc_id bigint, text string, source string, n_words string, ids string"
 WORDS, BYTES, PIECES = (public_tokenizers.path(x) for x in ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
@@ -52,6 +52,20 @@ def test_budgets_are_answered_from_stored_counts(spark):
             assert got[i] == max(fits) and own.truncate(t or "", budget) == (t or "")[: max(fits)]
 
 
+def test_encoder_remembers_each_piece_once(monkeypatch):
+    """Pieces inside chunks used to be held a second time, up to MEMORY of them beside MEMORY chunks, and all chunks but the last batch's were forgotten at once."""
+    monkeypatch.setattr(tokens, "MEMORY", 400)
+    own, r = tokens.WordEncoder(WORDS), random.Random(3)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randrange(3, 8)))
+    for n in range(40):
+        texts = [f"often {word()} ({word()}) {word()}-{word()}, Often." for _ in range(20)] + TEXTS[1:]
+        if n % 5 == 4:
+            texts = [word()]
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == library(WORDS, texts)
+        assert sum(len(v) for v in vars(own).values() if isinstance(v, dict)) <= 400
+        assert "often" in own.known
+
+
 def test_packing_covers_each_id_once(spark):
     rows = curve_packing.pack(docs(spark), WORDS).collect()
     ids = [x + [2] for x in library(WORDS, TEXTS)]

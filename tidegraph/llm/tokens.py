@@ -14,8 +14,8 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Pieces that a worker remembers; beyond it, those of the last batch stay.
-MEMORY = 800_000
+#: Pieces that a worker remembers; beyond it, those that were met again since the last time stay, or those of the last batch if these are over half as many.
+MEMORY = 400_000
 
 
 class PieceEncoder:
@@ -29,6 +29,7 @@ class PieceEncoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.known: dict[str, bytes] = {}
+        self.again: set[str] = set()
 
     def cut(self, text: str) -> list[str]:
         return [text]
@@ -43,6 +44,7 @@ class PieceEncoder:
         cuts = [self.cut(x) for x in texts]
         pieces = set().union(*cuts)
         missing = list(pieces.difference(self.known))
+        self.again.update(pieces.difference(missing))
         for i in range(0, len(missing), 8192):
             self.known.update(self.learn(missing[i : i + 8192]))
         out = [b"".join(map(self.known.__getitem__, cut)) for cut in cuts]
@@ -50,7 +52,9 @@ class PieceEncoder:
             if len(x) > 64:
                 del self.known[x]
         if len(self.known) > MEMORY:
-            self.known = {x: self.known[x] for x in pieces if x in self.known}
+            kept = self.again if 2 * len(self.again) <= MEMORY else pieces
+            self.known = {x: self.known[x] for x in kept if x in self.known}
+            self.again = set()
         return out
 
 
@@ -89,7 +93,6 @@ class WordEncoder(PieceEncoder):
         end = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(end.values()) + 1, bool)
         self.ends[[i for t, i in end.items() if t.endswith("</w>")]] = True
-        self.pieces: dict[str, bytes] = {}
 
     def cut(self, text: str) -> list[str]:
         return word_chunks(text)
@@ -97,23 +100,25 @@ class WordEncoder(PieceEncoder):
     def learn(self, pieces: list[str]) -> dict[str, bytes]:
         split = {c: word_pieces(c) for c in pieces}
         out = self.library([c for c, ws in split.items() if ws is None])
-        fresh = list({w for ws in split.values() if ws for w in ws}.difference(self.pieces))
+        fresh = list({w for ws in split.values() if ws for w in ws}.difference(self.known))
+        own: dict[str, bytes] = {}
         if fresh:  # one text of all new pieces; a token with a word end ends each
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(fresh)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == len(fresh):
                 raw, at = ids.tobytes(), 0
                 for w, e in zip(fresh, (4 * ends).tolist(), strict=True):
-                    self.pieces[w] = raw[at:e]
+                    own[w] = raw[at:e]
                     at = e
             else:
-                self.pieces |= self.library(fresh)
-        known = self.pieces
+                own = self.library(fresh)
+        ids_of = lambda w: own[w] if w in own else self.known[w]
         for c, ws in split.items():
             if ws is not None:
-                out[c] = known[ws[0]] if len(ws) == 1 else b"".join(map(known.__getitem__, ws))
-        if len(known) > MEMORY:
-            self.pieces = {w: x for w, x in known.items() if len(w) <= 6}
+                out[c] = ids_of(ws[0]) if len(ws) == 1 else b"".join(map(ids_of, ws))
+        for w, x in own.items():  # a piece is a chunk too, so one memory serves both
+            if len(w) <= 64:
+                out.setdefault(w, x)
         return out
 
 
