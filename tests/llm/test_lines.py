@@ -233,3 +233,11 @@ def test_lines_of_a_large_group_are_shuffled_by_parts(spark, monkeypatch):
     got = {x.doc_id for x in line_dedup.dedup_report(df).collect() if x.n_removed}
     assert got == {i for i, t in enumerate(texts) if any(words_near(t, u) for u in texts[:i])} and len(got) == 30
     assert max(n for k, n in written().items() if k not in before) < 4 * len(texts) * line_dedup.PARTS
+
+
+def test_keys_do_not_scan_a_line_for_each_place(spark, monkeypatch):
+    """Each place used to look for its words in the whole line, and blanks were counted in it once more."""
+    plans = []
+    monkeypatch.setattr(line_dedup, "components", lambda edges: plans.append(edges._jdf.queryExecution().optimizedPlan().toString()) or edges.select(F.col("a").alias("id"), F.col("b").alias("component")).limit(0))
+    line_dedup.line_classes(spark.createDataFrame([(1, "a b " * 20, 0, "k", "x")], DOCS))
+    assert "slice(" in plans[0] and not any(x in plans[0] for x in ("substring_index(", "replace(", "btrim("))

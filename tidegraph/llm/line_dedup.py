@@ -24,7 +24,7 @@ LIMITS = ((20, 1), (40, 2))
 WORD_LIMITS = ((10, 1), (20, 2), (100, 3), (200, 4))
 #: In lines from so many words on only words are edited, not characters.
 WORDS_ONLY = 20
-#: Lines to a block, and characters.
+#: Lines to a block, and bytes of their characters.
 BLOCK, BLOCK_CHARS = 64, 1 << 16
 #: Into how many parts the blocks of a group are put, and of how many blocks a part is at most: a line is shuffled once for each part and not for each block.
 PARTS, PART_BLOCKS = 8, 16
@@ -40,10 +40,8 @@ def characters(at: Column, size: Column, from_end: Column) -> Column:
 
 
 def words(at: Column, size: Column, from_end: Column) -> Column:
-    """So many words, split at each blank, that leave out ``at`` at the start, or at the end."""
-    cut = lambda text, n: F.call_function("substring_index", text, F.lit(" "), n)
-    many = F.when(from_end, -at - size).otherwise(at + size)
-    return cut(cut(F.col("line"), many), F.when(from_end, size).otherwise(-size))
+    """So many words of ``parts`` that leave out ``at`` at the start, or at the end."""
+    return F.slice("parts", F.when(from_end, F.col("n_words") - at - size).otherwise(at) + 1, size)
 
 
 def slacks(edits: int) -> list[int]:
@@ -83,7 +81,7 @@ def counts(p: Column) -> Column:
 
 
 def key(p: Column) -> Column:
-    """The key of column ``line``, of ``size`` characters and ``n_words`` words, at one of its places.  Two lines within so many edits share one.
+    """The key of column ``line``, of ``size`` characters and ``n_words`` words (``parts``, split at each blank), at one of its places.  Two lines within so many edits share one.
 
     All lines of a band have edits + 1 segments at the same places, the first ones counted from the start and the others from
     the end; what is longer than the band's shortest line lies between.  If two lines are within so many edits, some segment
@@ -95,8 +93,8 @@ def key(p: Column) -> Column:
     slack = F.floor(e * e / 4).cast("int")  # the sum of slacks()
     size = F.greatest(F.lit(0), F.floor((low - slack) / (e + 1)).cast("int"))
     at = p["many"] * size + p["more"]
-    gram = F.when(p["words"], words(at, size, p["from_end"])).otherwise(characters(at, size, p["from_end"]))
-    return F.xxhash64(low, p["i"], e, p["words"], gram)
+    of = lambda gram: F.xxhash64(low, p["i"], e, p["words"], gram(at, size, p["from_end"]))
+    return F.when(p["words"], of(words)).otherwise(of(characters))
 
 
 def _limits(edits: int | None, min_chars: int) -> tuple[tuple[int, int], ...]:
@@ -300,18 +298,24 @@ def line_classes(docs: DataFrame, edits: int | None = None, min_chars: int = 1)
     """
     limits = _limits(edits, min_chars)
     docs, by_words, spot = docs.filter("doc_id is not null"), edits is None, ["doc_id", "sum", "line_no"]
-    looked_at = (F.char_length("line") >= min_chars) & (F.btrim("line", F.lit(" \t\r")) != "")
+    # characters are counted only where it matters: that, and trimming at the right, takes as long as all else that is done with a line
+    looked_at = F.ltrim("line", F.lit(" \t\r")) != ""
+    if min_chars > 1:
+        looked_at = looked_at & (F.octet_length("line") >= min_chars) & (F.char_length("line") >= min_chars)
     lines = lines_of(docs).filter(looked_at)
-    n_words = F.char_length("line") - F.char_length(F.replace("line", F.lit(" "))) + 1
-    marked = table(lines.select(*spot, F.unhex(F.md5("line")).alias("digest"), F.xxhash64("line").alias("id"), F.char_length("line").alias("size"), n_words.alias("n_words")), "marked")
+    n_words = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "))) + 1
+    digest = F.unhex(F.md5("line"))
+    marked = table(lines.select(*spot, digest.alias("digest"), F.xxhash64("line").alias("id"), F.octet_length("line").alias("size"), n_words.alias("n_words")), "marked")
     distinct = table(marked.groupBy("digest").agg(F.min(F.struct(*spot, "id", "size", "n_words")).alias("first"), F.count("*").alias("n")).select("digest", "first.id", *(f"first.{c}" for c in spot), "first.size", "first.n_words", "n"), "lines")
 
     # candidates: ids chained by shared keys.  An id is a 64-bit hash; two lines that share one are compared all the same.  Of the most frequent lines the first occurrence only makes keys
-    often = table(distinct.filter(F.col("n") >= _frequent(distinct)).select(F.col("digest").alias("of"), F.struct(*spot).alias("first")), "often")
-    sized = lines.filter(F.char_length("line") >= limits[0][0]).withColumns({"size": F.char_length("line"), "n_words": n_words, "digest": F.unhex(F.md5("line"))})
-    once = sized.join(F.broadcast(often), F.col("digest") == F.col("of"), "left").filter(F.col("first").isNull() | (F.col("first") == F.struct(*spot)))
+    often = table(distinct.filter(F.col("n") >= _frequent(distinct)).select(F.col("id").alias("of"), F.col("digest").alias("same"), F.struct(*spot).alias("first")), "often")
+    long_enough = lines.filter(F.octet_length("line") >= limits[0][0]).withColumn("id", F.xxhash64("line"))
+    once = long_enough.join(F.broadcast(often), F.col("id") == F.col("of"), "left").filter(F.col("first").isNull() | (F.col("first") == F.struct(*spot)) | (F.col("same") != digest))
     # the keys go through one shuffle, whatever share of them is met again: places are walked by explode(), as functions of arrays are not compiled
-    walked = once.select(F.xxhash64("line").alias("id"), "line", "size", "n_words", F.explode(placed(limits, by_words)).alias("p")).filter(counts(F.col("p")))
+    split = {"size": F.char_length("line"), "parts": F.split("line", " ")}
+    at = F.when(F.col("size") >= limits[0][0], placed(limits, by_words))
+    walked = once.select("id", "line").withColumns(split).withColumn("n_words", F.size("parts")).select("id", "line", "size", "parts", "n_words", F.explode(at).alias("p")).filter(counts(F.col("p")))
     pairs = walked.select("id", key(F.col("p")).alias("key"))
     chained = pairs.withColumn("head", F.min("id").over(Window.partitionBy("key"))).filter("id != head").select(F.col("id").alias("a"), F.col("head").alias("b"))
     found = table(components(chained), "candidates")
@@ -321,15 +325,15 @@ def line_classes(docs: DataFrame, edits: int | None = None, min_chars: int = 1)
     span = F.floor(F.log(F.col("n_words") + 20) / math.log1p(slack / 21)).cast("int")
     banded = distinct.join(members.hint("merge"), distinct.id == members.member).select(*spot, "id", "size", F.explode(F.array(*(F.struct((span + n).alias("band"), F.lit(n == 0).alias("own")) for n in (0, 1)))).alias("b"), "component")
     banded = table(banded.select(*spot, "id", "size", F.xxhash64("component", "b.band").alias("component"), "b.own"), "banded")
-    blocks = F.greatest(F.ceil(F.col("many") / BLOCK), F.ceil(F.col("chars") / BLOCK_CHARS)).cast("int")
-    sizes = table(banded.groupBy(F.col("component").alias("of")).agg(F.count("*").alias("many"), F.sum("size").alias("chars"), F.max("own").alias("any")).filter("many > 1 and any").select("of", blocks.alias("blocks")), "sizes")
+    blocks = F.greatest(F.ceil(F.col("many") / BLOCK), F.ceil(F.col("bytes") / BLOCK_CHARS)).cast("int")
+    sizes = table(banded.groupBy(F.col("component").alias("of")).agg(F.count("*").alias("many"), F.sum("size").alias("bytes"), F.max("own").alias("any")).filter("many > 1 and any").select("of", blocks.alias("blocks")), "sizes")
 
     # the text of each distinct candidate line: where it first occurs
     firsts = table(banded.join(sizes.hint("merge"), F.col("component") == F.col("of")).select(F.col("doc_id").alias("d"), F.col("sum").alias("s"), F.col("line_no").alias("l"), "component", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "id", "own"), "firsts")
     holders = sift(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64(F.col("doc_id").cast("bigint"), F.xxhash64("text")).alias("key")), "key", sieve(firsts.select(F.xxhash64("d", "s").alias("key")), "key"))
     texts = sift(lines_of(holders).filter(looked_at).withColumn("at", F.xxhash64(*spot)), "at", sieve(firsts.select(F.xxhash64("d", "s", "l").alias("at")), "at"))
     texts = texts.join(firsts.hint("merge"), (F.col("doc_id") == F.col("d")) & (F.col("sum") == F.col("s")) & (F.col("line_no") == F.col("l")) & (F.xxhash64("line") == F.col("id"))).select("component", "blocks", "block", "id", "own", "line")
-    told = texts.withColumns({"size": F.char_length("line"), "n_words": n_words})
+    told = texts.withColumns(split).withColumn("n_words", F.size("parts"))
     told = told.withColumn("keys", F.transform(F.filter(placed(limits, by_words), counts), key))
     told = told.withColumns({f"code{seed}": F.when(F.lit(by_words) & (F.col("n_words") >= WORD_LIMITS[0][0]), coded(seed)) for seed in (1, 2)})
     # characters are compared in lines of few words only, so the others do without
@@ -363,7 +367,7 @@ def removed_lines(docs: DataFrame, edits: int | None = None, min_chars: int = 1)
 def dedup_report(docs: DataFrame, edits: int | None = None, min_chars: int = 1) -> DataFrame:
     """doc_id, n_lines, n_removed, removed_lines of each row (doc_id, text); a null text has no lines.  Rows equal in doc_id and text lose the same lines; rows that share only the doc_id are judged apart.  Other columns are not looked at."""
     removed = removed_lines(docs, edits, min_chars)
-    counted = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("sum"), F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1, F.lit(0)).cast("bigint").alias("n_lines"))
+    counted = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("sum"), F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"))) + 1, F.lit(0)).cast("bigint").alias("n_lines"))
     joined = counted.join(removed.hint("merge"), (F.col("doc_id") == F.col("doc")) & (F.col("sum") == F.col("of")), "left")
     return joined.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("bigint").alias("n_removed"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed_lines"))
 
