@@ -241,3 +241,13 @@ def test_keys_do_not_scan_a_line_for_each_place(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "components", lambda edges: plans.append(edges._jdf.queryExecution().optimizedPlan().toString()) or edges.select(F.col("a").alias("id"), F.col("b").alias("component")).limit(0))
     line_dedup.line_classes(spark.createDataFrame([(1, "a b " * 20, 0, "k", "x")], DOCS))
     assert "slice(" in plans[0] and not any(x in plans[0] for x in ("substring_index(", "replace(", "btrim("))
+
+
+def test_values_of_a_line_are_made_once(spark):
+    """Places that a line has no key of its own at used to be walked for each line, and codes were cut twice for its bit vectors."""
+    lines = spark.createDataFrame([(" ".join(["word"] * n),) for n in range(1, 260)], "line string").withColumns({"size": F.char_length("line"), "n_words": F.size(F.split("line", " "))})
+    found = lines.select(line_dedup.placed(line_dedup.LIMITS, True).alias("p"), "size", "n_words")
+    kept = found.select(F.size("p").alias("all"), F.size(F.filter("p", line_dedup.counts)).alias("own")).collect()
+    assert all(x["all"] == x["own"] for x in kept) and max(x["all"] for x in kept) > 8
+    plan = lines.select(line_dedup.planes(F.col("line")).alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 1

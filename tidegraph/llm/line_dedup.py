@@ -80,21 +80,23 @@ def counts(p: Column) -> Column:
     return (p["back"] == 0) | (band(p) != _band(n, p["least"], p["edits"]))
 
 
-def key(p: Column) -> Column:
+def key(p: Column, let=lambda value, body: body(value)) -> Column:
     """The key of column ``line``, of ``size`` characters and ``n_words`` words (``parts``, split at each blank), at one of its places.  Two lines within so many edits share one.
 
     All lines of a band have edits + 1 segments at the same places, the first ones counted from the start and the others from
     the end; what is longer than the band's shortest line lies between.  If two lines are within so many edits, some segment
     number i, from 0, is not edited, with i edits before it and at most edits - i behind: so it has moved by at most i from the start,
     or edits - i from the end.  A segment that can move by s has s units more than the others, and a key for each of the s + 1
-    pieces of it that are s units shorter: whichever way it moved, one piece of either line is the same text.
+    pieces of it that are s units shorter: whichever way it moved, one piece of either line is the same text.  ``let`` is _let() where functions of arrays are at work anyway, so the band is told once.
     """
-    low, e = band(p), p["edits"]
+    e = p["edits"]
     slack = F.floor(e * e / 4).cast("int")  # the sum of slacks()
-    size = F.greatest(F.lit(0), F.floor((low - slack) / (e + 1)).cast("int"))
-    at = p["many"] * size + p["more"]
-    of = lambda gram: F.xxhash64(low, p["i"], e, p["words"], gram(at, size, p["from_end"]))
-    return F.when(p["words"], of(words)).otherwise(of(characters))
+
+    def of(low: Column, size: Column) -> Column:
+        own = lambda gram: F.xxhash64(low, p["i"], e, p["words"], gram(p["many"] * size + p["more"], size, p["from_end"]))
+        return F.when(p["words"], own(words)).otherwise(own(characters))
+
+    return let(band(p), lambda low: let(F.greatest(F.lit(0), F.floor((low - slack) / (e + 1)).cast("int")), lambda size: of(low, size)))
 
 
 def _limits(edits: int | None, min_chars: int) -> tuple[tuple[int, int], ...]:
@@ -107,15 +109,17 @@ def _limits(edits: int | None, min_chars: int) -> tuple[tuple[int, int], ...]:
 
 
 def placed(limits: tuple[tuple[int, int], ...], by_words: bool) -> Column:
-    """The places of the keys of each limit that can link a line (line, size, n_words): those of its class, and of the class below if its edits reach it."""
+    """The places of the keys of each limit that can link a line (line, size, n_words): those of its class, and of the class below if its edits reach it.  Places whose keys the line has anyway (see counts()) are left out here, once for all of a limit's places."""
     found = []
     for unit, chosen in (("size", limits), ("n_words", WORD_LIMITS if by_words else ())):
         for n, (least, edits) in enumerate(chosen):
             fits = F.col(unit) >= least if n + 1 == len(chosen) else F.col(unit).between(least, chosen[n + 1][0] + edits - 1)
             if by_words and unit == "size":  # the other line has so many blanks more at most
                 fits = fits & (F.col("n_words") < WORDS_ONLY + edits)
-            own = F.array(*(F.struct(*map(F.lit, x)) for x in places(least, edits, unit == "n_words"))).cast(f"array<{PLACE}>")
-            found.append(F.when(fits, own).otherwise(F.array().cast(f"array<{PLACE}>")))
+            for back in (0, edits):
+                told = counts({"words": F.lit(unit == "n_words"), "edits": F.lit(edits), "least": F.lit(least), "back": F.lit(back)})
+                own = F.array(*(F.struct(*map(F.lit, x)) for x in places(least, edits, unit == "n_words") if x[3] == back)).cast(f"array<{PLACE}>")
+                found.append(F.when(fits & told, own).otherwise(F.array().cast(f"array<{PLACE}>")))
     return F.concat(*found)
 
 
@@ -127,17 +131,16 @@ def coded(seed: int) -> Column:
 def planes(line: Column) -> Column:
     """A line as bit vectors: for each ROWS characters PLANES + 1 longs, bit t of the j-th being bit j of the low bits of the character at ROWS * word + t - 2, and of the last whether there is such a character.
 
-    The bits are cut out of the hexadecimal form of the characters' codes, so no expression looks at single characters.
+    The bits are cut out of the last byte of each character's code, all at once, so no expression looks at single characters.
     """
-    digit = lambda place: lambda codes: F.regexp_replace(codes, "......(.)." if place else ".......(.)", "$1")
-    bit = lambda digits, j: F.translate(digits, "0123456789ABCDEF", "".join(str(x >> j & 1) for x in range(16)))
+    lows = F.regexp_replace(F.decode(F.encode(line, "UTF-32"), "ISO-8859-1"), "(?s)...(.)", "$1")
+    bit = lambda low, j: F.translate(low, "".join(map(chr, range(256))), "".join(str(x >> j & 1) for x in range(256)))
     size = F.char_length(line)
     word = lambda own, x: F.conv(F.reverse(F.substring(F.get(own, F.pmod(x, F.lit(PLANES + 1))), F.floor(x / (PLANES + 1)).cast("int") * ROWS + 1, F.lit(64))), 2, -10).cast("bigint")
     count = (F.floor(size / ROWS).cast("int") + 1) * (PLANES + 1)
     padded = lambda row: F.concat(F.lit("00"), row, F.repeat(F.lit("0"), F.lit(64)))
-    rows = lambda digits: F.array(*(padded(bit(F.get(digits, F.lit(j // 4)), j % 4)) for j in range(PLANES)), padded(F.repeat(F.lit("1"), size)))
-    digits = _let(F.hex(F.encode(line, "UTF-32")), lambda codes: F.array(digit(0)(codes), digit(1)(codes)))
-    return _let(digits, lambda two: _let(rows(two), lambda own: F.transform(F.sequence(F.lit(0), count - 1), lambda x: word(own, x))))
+    rows = lambda low: F.array(*(padded(bit(low, j)) for j in range(PLANES)), padded(F.repeat(F.lit("1"), size)))
+    return _let(lows, lambda low: _let(rows(low), lambda own: F.transform(F.sequence(F.lit(0), count - 1), lambda x: word(own, x))))
 
 
 def within(a: Column, b: Column, rows: Column, longer: Column, edits: int) -> Column:
@@ -228,7 +231,11 @@ def _links(limits: tuple[tuple[int, int], ...], by_words: bool) -> Column:
             by_word = F.when(F.least(x["n_words"], y["n_words"]) >= least, near(x, y, edits, "n_words", "word_planes", ("code1", "code2"))).otherwise(by_word)
         if by_words:
             by_characters = (F.least(x["n_words"], y["n_words"]) < WORDS_ONLY) & by_characters
-        return F.arrays_overlap(x["keys"], y["keys"]) & (by_characters | by_word)
+        # sizes tell most pairs apart at less cost than keys
+        alike = F.abs(x["size"] - y["size"]) <= max(e for _, e in limits)
+        if by_words:
+            alike = alike | (F.abs(x["n_words"] - y["n_words"]) <= max(e for _, e in WORD_LIMITS))
+        return alike & F.arrays_overlap(x["keys"], y["keys"]) & (by_characters | by_word)
 
     line = lambda n: F.get(F.col("lines"), n)
     empty = F.array().cast("array<struct<a:bigint,b:bigint>>")
@@ -315,7 +322,7 @@ def line_classes(docs: DataFrame, edits: int | None = None, min_chars: int = 1)
     # the keys go through one shuffle, whatever share of them is met again: places are walked by explode(), as functions of arrays are not compiled
     split = {"size": F.char_length("line"), "parts": F.split("line", " ")}
     at = F.when(F.col("size") >= limits[0][0], placed(limits, by_words))
-    walked = once.select("id", "line").withColumns(split).withColumn("n_words", F.size("parts")).select("id", "line", "size", "parts", "n_words", F.explode(at).alias("p")).filter(counts(F.col("p")))
+    walked = once.select("id", "line").withColumns(split).withColumn("n_words", F.size("parts")).select("id", "line", "size", "parts", "n_words", F.explode(at).alias("p"))
     pairs = walked.select("id", key(F.col("p")).alias("key"))
     chained = pairs.withColumn("head", F.min("id").over(Window.partitionBy("key"))).filter("id != head").select(F.col("id").alias("a"), F.col("head").alias("b"))
     found = table(components(chained), "candidates")
@@ -328,19 +335,21 @@ def line_classes(docs: DataFrame, edits: int | None = None, min_chars: int = 1)
     blocks = F.greatest(F.ceil(F.col("many") / BLOCK), F.ceil(F.col("bytes") / BLOCK_CHARS)).cast("int")
     sizes = table(banded.groupBy(F.col("component").alias("of")).agg(F.count("*").alias("many"), F.sum("size").alias("bytes"), F.max("own").alias("any")).filter("many > 1 and any").select("of", blocks.alias("blocks")), "sizes")
 
-    # the text of each distinct candidate line: where it first occurs
-    firsts = table(banded.join(sizes.hint("merge"), F.col("component") == F.col("of")).select(F.col("doc_id").alias("d"), F.col("sum").alias("s"), F.col("line_no").alias("l"), "component", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "id", "own"), "firsts")
+    # the text of each distinct candidate line: where it first occurs.  What it is compared by is made once, whatever number of groups it is in
+    firsts = banded.join(sizes.hint("merge"), F.col("component") == F.col("of")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    firsts = table(firsts.groupBy(F.col("doc_id").alias("d"), F.col("sum").alias("s"), F.col("line_no").alias("l"), "id").agg(F.collect_list(F.struct("component", "blocks", "block", "own")).alias("places")), "firsts")
     holders = sift(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64(F.col("doc_id").cast("bigint"), F.xxhash64("text")).alias("key")), "key", sieve(firsts.select(F.xxhash64("d", "s").alias("key")), "key"))
     texts = sift(lines_of(holders).filter(looked_at).withColumn("at", F.xxhash64(*spot)), "at", sieve(firsts.select(F.xxhash64("d", "s", "l").alias("at")), "at"))
-    texts = texts.join(firsts.hint("merge"), (F.col("doc_id") == F.col("d")) & (F.col("sum") == F.col("s")) & (F.col("line_no") == F.col("l")) & (F.xxhash64("line") == F.col("id"))).select("component", "blocks", "block", "id", "own", "line")
+    texts = texts.join(firsts.hint("merge"), (F.col("doc_id") == F.col("d")) & (F.col("sum") == F.col("s")) & (F.col("line_no") == F.col("l")) & (F.xxhash64("line") == F.col("id"))).select("places", "id", "line")
     told = texts.withColumns(split).withColumn("n_words", F.size("parts"))
-    told = told.withColumn("keys", F.transform(F.filter(placed(limits, by_words), counts), key))
+    told = told.withColumn("keys", F.transform(placed(limits, by_words), lambda p: key(p, _let)))
     told = told.withColumns({f"code{seed}": F.when(F.lit(by_words) & (F.col("n_words") >= WORD_LIMITS[0][0]), coded(seed)) for seed in (1, 2)})
     # characters are compared in lines of few words only, so the others do without
     few = F.lit(not by_words) | (F.col("n_words") < WORDS_ONLY + limits[-1][1])
     told = told.withColumns({"planes": F.when(few, planes(F.col("line"))), "word_planes": F.when(F.col("code1").isNotNull(), planes(F.col("code1"))), "line": F.when(few, F.col("line"))})
-    member = F.struct("id", "block", "own", "size", "keys", "n_words", "planes", "line", "word_planes", "code1", "code2")
-    held = _paired(told.select("component", "blocks", "block", member.alias("member")))
+    told = told.withColumn("place", F.explode("places"))
+    member = F.struct("id", "place.block", "place.own", "size", "keys", "n_words", "planes", "line", "word_planes", "code1", "code2")
+    held = _paired(told.select("place.component", "place.blocks", "place.block", member.alias("member")))
     compared = table(held.select(F.explode_outer(_links(limits, by_words)).alias("l")).filter("l is not null").select("l.a", "l.b"), "compared")
     joined = table(components(compared), "classes")
     drop(often, found, members, banded, sizes, firsts, compared)
