@@ -251,3 +251,16 @@ def test_values_of_a_line_are_made_once(spark):
     assert all(x["all"] == x["own"] for x in kept) and max(x["all"] for x in kept) > 8
     plan = lines.select(line_dedup.planes(F.col("line")).alias("v"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace(") == 1
+
+
+def test_lines_of_a_long_chain_meet_those_they_share_keys_with(spark, monkeypatch):
+    """Lines chained by segments of which each is shared by few: all used to meet each other, on disk too, in a group of 615 blocks here."""
+    monkeypatch.setattr(line_dedup, "BLOCK", 2)
+    half = lambda name, i: " ".join(f"{name}{i}x{j}" for j in range(12))
+    texts = [half("a", (i + 1) // 2) + " " + half("b", i // 2) for i in range(1200)]
+    texts += [t + " more" for t in texts[::40]]
+    df = spark.createDataFrame([(i, t, 0, "k", "x") for i, t in enumerate(texts)], DOCS)
+    seen, paired = [], line_dedup._paired
+    monkeypatch.setattr(line_dedup, "_paired", lambda told: seen.append(told.agg(F.max("blocks")).first()[0]) or paired(told))
+    got = {x.doc_id for x in line_dedup.dedup_report(df).collect() if x.n_removed}
+    assert got == set(range(1200, 1230)) and seen[0] <= line_dedup.LARGE

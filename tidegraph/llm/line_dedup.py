@@ -28,6 +28,8 @@ WORDS_ONLY = 20
 BLOCK, BLOCK_CHARS = 64, 1 << 16
 #: Into how many parts the blocks of a group are put, and of how many blocks a part is at most: a line is shuffled once for each part and not for each block.
 PARTS, PART_BLOCKS = 8, 16
+#: Groups of more blocks than this are told apart by their keys: see _by_keys().
+LARGE = 8
 #: Rows of the edit matrix that one word of a bit vector stands for; its other bits reach into the neighbours.
 ROWS = 57
 #: Bits of a unit that the vectors compare: all of an ASCII character's.
@@ -218,7 +220,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def _links(limits: tuple[tuple[int, int], ...], by_words: bool) -> Column:
-    """From an array of lines (id, block, own, size, keys, n_words, planes, line, word_planes, code1, code2) and blocks i and j: links (a, b) that connect what the links between the blocks' lines (or within one if i = j) connect, those between two lines without ``own`` aside.
+    """From an array of lines (id, block, own, by, size, keys, n_words, planes, line, word_planes, code1, code2) and blocks i and j: links (a, b) that connect what the links between the blocks' lines (or within one if i = j) connect, those between two lines without ``own`` aside.
 
     Lines are taken one by one.  A line is compared only with such earlier ones as are not yet in a group that it was linked
     to, so a group of lines that are all alike takes one comparison for each line and not one for each pair.
@@ -235,7 +237,9 @@ def _links(limits: tuple[tuple[int, int], ...], by_words: bool) -> Column:
         alike = F.abs(x["size"] - y["size"]) <= max(e for _, e in limits)
         if by_words:
             alike = alike | (F.abs(x["n_words"] - y["n_words"]) <= max(e for _, e in WORD_LIMITS))
-        return alike & F.arrays_overlap(x["keys"], y["keys"]) & (by_characters | by_word)
+        # two lines of a group that one key makes are compared there only if it is the least key that they share
+        shared = F.when(x["by"].isNull() | (x["by"] != y["by"]), F.arrays_overlap(x["keys"], y["keys"])).otherwise(F.array_min(F.array_intersect(x["keys"], y["keys"])) == x["by"])
+        return alike & shared & (by_characters | by_word)
 
     line = lambda n: F.get(F.col("lines"), n)
     empty = F.array().cast("array<struct<a:bigint,b:bigint>>")
@@ -284,6 +288,39 @@ def _paired(told: DataFrame) -> DataFrame:
     return each.select("i", "j", lines.alias("lines")).filter(F.size("lines") > 1)
 
 
+def _sizes(groups: DataFrame) -> DataFrame:
+    """of, blocks of the groups of lines (component, size, own) that have lines to compare."""
+    blocks = F.greatest(F.ceil(F.col("many") / BLOCK), F.ceil(F.col("bytes") / BLOCK_CHARS)).cast("int")
+    counted = groups.groupBy(F.col("component").alias("of")).agg(F.count("*").alias("many"), F.sum("size").alias("bytes"), F.max("own").alias("any"))
+    return table(counted.filter("many > 1 and any").select("of", blocks.alias("blocks")), "sizes")
+
+
+def _firsts(groups: DataFrame, sizes: DataFrame) -> DataFrame:
+    """d, s, l, id and places (component, blocks, block, own, by) of each line of groups that sizes names."""
+    found = groups.join(sizes.hint("merge"), F.col("component") == F.col("of")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    return table(found.groupBy(F.col("doc_id").alias("d"), F.col("sum").alias("s"), F.col("line_no").alias("l"), "id").agg(F.collect_list(F.struct("component", "blocks", "block", "own", "by")).alias("places")), "firsts")
+
+
+def _by_keys(groups: DataFrame, sizes: DataFrame, keyed) -> tuple[DataFrame, DataFrame]:
+    """groups and sizes with each large group replaced by those that its lines' keys make.
+
+    Chains of shared keys can run through very many lines of which each shares keys with few.  As one group such lines would
+    all meet each other, on disk too; as groups by key each has a copy for each of its keys, whatever number of lines are
+    chained.  keyed: from _firsts() to those lines' columns, their texts' ``keys`` and ``place``.
+    """
+    large = sizes.filter(F.col("blocks") > LARGE)
+    if large.isEmpty():
+        return groups, sizes
+    firsts = _firsts(groups, large)
+    lines = keyed(firsts).select("doc_id", "sum", "line_no", "id", "size", "place", F.explode(F.array_distinct("keys")).alias("by"))
+    split = table(lines.select("doc_id", "sum", "line_no", "id", "size", F.xxhash64("place.component", "by").alias("component"), "place.own", "by"), "keyed")
+    more = _sizes(split)
+    kept = table(sizes.filter(F.col("blocks") <= LARGE).unionByName(more), "sizes")
+    both = table(groups.unionByName(split), "banded")
+    drop(firsts, split, more, groups, sizes)
+    return both, kept
+
+
 def _frequent(distinct: DataFrame) -> int:
     """From how many copies on (2 at least, a power of two) lines are few enough to be broadcast."""
     bits = distinct.filter("n > 1").groupBy(F.floor(F.log2("n")).cast("int").alias("bits")).count().collect()
@@ -331,24 +368,26 @@ def line_classes(docs: DataFrame, edits: int | None = None, min_chars: int = 1)
     slack = max(e for _, e in (*limits, *WORD_LIMITS))
     span = F.floor(F.log(F.col("n_words") + 20) / math.log1p(slack / 21)).cast("int")
     banded = distinct.join(members.hint("merge"), distinct.id == members.member).select(*spot, "id", "size", F.explode(F.array(*(F.struct((span + n).alias("band"), F.lit(n == 0).alias("own")) for n in (0, 1)))).alias("b"), "component")
-    banded = table(banded.select(*spot, "id", "size", F.xxhash64("component", "b.band").alias("component"), "b.own"), "banded")
-    blocks = F.greatest(F.ceil(F.col("many") / BLOCK), F.ceil(F.col("bytes") / BLOCK_CHARS)).cast("int")
-    sizes = table(banded.groupBy(F.col("component").alias("of")).agg(F.count("*").alias("many"), F.sum("size").alias("bytes"), F.max("own").alias("any")).filter("many > 1 and any").select("of", blocks.alias("blocks")), "sizes")
-
-    # the text of each distinct candidate line: where it first occurs.  What it is compared by is made once, whatever number of groups it is in
-    firsts = banded.join(sizes.hint("merge"), F.col("component") == F.col("of")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    firsts = table(firsts.groupBy(F.col("doc_id").alias("d"), F.col("sum").alias("s"), F.col("line_no").alias("l"), "id").agg(F.collect_list(F.struct("component", "blocks", "block", "own")).alias("places")), "firsts")
-    holders = sift(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64(F.col("doc_id").cast("bigint"), F.xxhash64("text")).alias("key")), "key", sieve(firsts.select(F.xxhash64("d", "s").alias("key")), "key"))
-    texts = sift(lines_of(holders).filter(looked_at).withColumn("at", F.xxhash64(*spot)), "at", sieve(firsts.select(F.xxhash64("d", "s", "l").alias("at")), "at"))
-    texts = texts.join(firsts.hint("merge"), (F.col("doc_id") == F.col("d")) & (F.col("sum") == F.col("s")) & (F.col("line_no") == F.col("l")) & (F.xxhash64("line") == F.col("id"))).select("places", "id", "line")
-    told = texts.withColumns(split).withColumn("n_words", F.size("parts"))
-    told = told.withColumn("keys", F.transform(placed(limits, by_words), lambda p: key(p, _let)))
+    banded = table(banded.select(*spot, "id", "size", F.xxhash64("component", "b.band").alias("component"), "b.own", F.lit(None).cast("bigint").alias("by")), "banded")
+
+    # the text of each distinct candidate line: where it first occurs
+    def texts(firsts: DataFrame) -> DataFrame:
+        holders = sift(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64(F.col("doc_id").cast("bigint"), F.xxhash64("text")).alias("key")), "key", sieve(firsts.select(F.xxhash64("d", "s").alias("key")), "key"))
+        found = sift(lines_of(holders).filter(looked_at).withColumn("at", F.xxhash64(*spot)), "at", sieve(firsts.select(F.xxhash64("d", "s", "l").alias("at")), "at"))
+        found = found.join(firsts.hint("merge"), (F.col("doc_id") == F.col("d")) & (F.col("sum") == F.col("s")) & (F.col("line_no") == F.col("l")) & (F.xxhash64("line") == F.col("id")))
+        found = found.select(*spot, "places", "id", "line").withColumns(split).withColumn("n_words", F.size("parts"))
+        return found.withColumn("keys", F.transform(placed(limits, by_words), lambda p: key(p, _let)))
+
+    banded, sizes = _by_keys(banded, _sizes(banded), lambda firsts: texts(firsts).withColumn("size", F.octet_length("line")).withColumn("place", F.explode("places")))
+    # what a line is compared by is made once, whatever number of groups it is in
+    firsts = _firsts(banded, sizes)
+    told = texts(firsts)
     told = told.withColumns({f"code{seed}": F.when(F.lit(by_words) & (F.col("n_words") >= WORD_LIMITS[0][0]), coded(seed)) for seed in (1, 2)})
     # characters are compared in lines of few words only, so the others do without
     few = F.lit(not by_words) | (F.col("n_words") < WORDS_ONLY + limits[-1][1])
     told = told.withColumns({"planes": F.when(few, planes(F.col("line"))), "word_planes": F.when(F.col("code1").isNotNull(), planes(F.col("code1"))), "line": F.when(few, F.col("line"))})
     told = told.withColumn("place", F.explode("places"))
-    member = F.struct("id", "place.block", "place.own", "size", "keys", "n_words", "planes", "line", "word_planes", "code1", "code2")
+    member = F.struct("id", "place.block", "place.own", "place.by", "size", "keys", "n_words", "planes", "line", "word_planes", "code1", "code2")
     held = _paired(told.select("place.component", "place.blocks", "place.block", member.alias("member")))
     compared = table(held.select(F.explode_outer(_links(limits, by_words)).alias("l")).filter("l is not null").select("l.a", "l.b"), "compared")
     joined = table(components(compared), "classes")
