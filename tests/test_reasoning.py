@@ -143,3 +143,69 @@ def test_graph(spark):
     g.remove(facts(spark, "<u:b> <u:in> <u:c> ."))
     assert len(g) == 2 and not g.contains("<u:a>", "<u:in>", "<u:c>")
     assert sorted(r.value for r in g.dump().collect()) == ["<u:a> <u:in> <u:b> .", "<u:c> <u:in> <u:d> ."]
+
+
+def _walks(pairs):
+    """Pairs linked in two steps or more but not in one."""
+    after, out = {}, set()
+    for a, b in pairs:
+        after.setdefault(a, set()).add(b)
+    for a in after:
+        seen, todo = set(), [*after[a]]
+        while todo:
+            for n in after.get(todo.pop(), ()):
+                if n not in seen:
+                    seen.add(n)
+                    todo.append(n)
+        out |= {(a, n) for n in seen - after[a]}
+    return out
+
+
+def test_transitive_rules_are_closed_apart(spark):
+    """Rounds used to derive a pair once for each node between its ends; cycles, loops and several paths must still end and count once."""
+    from tidegraph.operators.fixpoint import closed_in_keys, doubled, infer, transitive
+
+    rules = parse_rules("{?y <p> ?z. ?x <p> ?y} => {?x <p> ?z}. {?a <p> ?b} => {?a <q> ?b}.")
+    assert [transitive(r) for r in rules] == ["<p>", None]
+    r = random.Random(5)
+    for n, m in ((12, 9), (12, 30), (40, 45)):
+        pairs = {(f"<{r.randrange(n)}>", f"<{r.randrange(n)}>") for _ in range(m)} | {(f"<c{i}>", f"<c{i + 1}>") for i in range(20)}
+        edges = spark.createDataFrame(sorted(pairs), "s string, o string")
+        more = _walks(pairs)
+        assert sorted(map(tuple, doubled(edges).collect())) == sorted(more)
+        keyed = spark.createDataFrame([(k, a, b) for k in (3, 4) for i, (a, b) in enumerate(sorted(pairs)) if k == 3 or i % 2], "fire bigint, s string, o string")
+        want = sorted([(3, *x) for x in more] + [(4, *x) for x in _walks(sorted(pairs)[1::2])])
+        assert sorted(map(tuple, closed_in_keys(keyed).collect())) == want
+        base = edges.selectExpr("s", "'<p>' p", "o")
+        assert {tuple(x) for x in infer(base, rules).collect()} == {(a, "<p>", b) for a, b in more} | {(a, "<q>", b) for a, b in more | pairs}
+
+
+def test_first_round_derives_once(spark):
+    """A body's solutions used to be made once for each of its atoms, then made distinct and sought among the facts."""
+    from tidegraph.operators.fixpoint import infer
+
+    rules = parse_rules('{?a <n> ?x. ?b <n> ?x. ?a <m> "B". ?b <m> "M"} => {?a <near> ?b}.')
+    rows = [(f"<{i}>", "<n>", f"<n{j}>") for i in range(8) for j in range(3) if (i + j) % 3 or i == 5] + [(f"<{i}>", "<m>", '"B"' if i % 2 else '"M"') for i in range(8)]
+    df = spark.createDataFrame(rows, "s string, p string, o string")
+    at = {i: {o for s, p, o in rows if s == f"<{i}>" and p == "<n>"} for i in range(8)}
+    want = sorted((f"<{a}>", "<near>", f"<{b}>") for a in range(1, 8, 2) for b in range(0, 8, 2) if at[a] & at[b])
+    assert sorted(map(tuple, infer(df, rules, write=False).collect())) == want
+    one = df.filter("p != '<n>' or o = '<n1>'")
+    found = infer(one, rules, write=False)
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString() and found.count() == len([0 for a in range(1, 8, 2) for b in range(0, 8, 2) if "<n1>" in at[a] & at[b]])
+
+
+def test_goal_on_a_transitive_rule_sends_little_to_the_driver(spark, monkeypatch):
+    """Tables with small files used to be broadcast whatever their number of rows."""
+    from tidegraph.operators import fixpoint, goal
+    from tidegraph.terms import Pattern, Var
+
+    monkeypatch.setattr(fixpoint, "WIDE_ROWS", 10)
+    rules = parse_rules("{?a <up> ?b. ?b <up> ?c} => {?a <up> ?c}.")
+    df = spark.createDataFrame([(f"<{i}>", "<up>", f"<{i // 2}>") for i in range(1, 200)], "s string, p string, o string")
+    monkeypatch.setattr(goal, "seeded", None)
+    got = {x.a for x in goal.answers(df, rules, Pattern(Var("a"), "<up>", "<3>")).collect()}
+    under = lambda i: i > 3 and (i // 2 == 3 or under(i // 2))
+    assert got == {f"<{i}>" for i in range(200) if under(i)}
+    plain = fixpoint.spread(df, 11).join(df.withColumnRenamed("o", "x"), "s")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plain
