@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegraph import scratch
-from tidegraph.operators.fixpoint import SPO, infer
+from tidegraph.operators.fixpoint import SPO, infer, spread, transitive
 from tidegraph.operators.patterns import scan
 from tidegraph.terms import Pattern, Rule, Var
 
@@ -113,6 +113,10 @@ def answers(facts: DataFrame, rules: list[Rule], goal: Pattern, flatten: bool =
     """The goal's variables for every fact, given or entailed, that fits it.  A constant subject or object of the goal is where the rules start, so what it doesn't lead to is never derived."""
     chosen = flattened(rules, goal) if flatten else relevant(rules, goal)
     base = facts.select(*SPO)
+    place = next((n for n in ("s", "o") if not isinstance(getattr(goal, n), Var)), None)
+    if len(chosen) == 1 and place and transitive(chosen[0]) == goal.p:
+        led = reach(base.filter(F.col("p") == goal.p).select("s", "o"), place, getattr(goal, place))
+        return scan(base.unionByName(led.select("s", F.lit(goal.p).alias("p"), "o")), goal).distinct()
     started = seeded(chosen, goal) if chosen else None
     if started is None:
         return scan(base.unionByName(infer(base, chosen)), goal).distinct()
@@ -132,12 +136,14 @@ def reach(pairs: DataFrame, place: str, term: str) -> DataFrame:
     """s, o of the pairs with term at place ('s' or 'o') that steps (s, o) link in one or more: each round goes on from the nodes found last."""
     other = "o" if place == "s" else "s"
     spark, folder = pairs.sparkSession, scratch.fresh(pairs.sparkSession, "reached")
-    steps = scratch.cut(pairs.select(F.col(place).alias("_from"), F.col(other).alias("node")), "steps")
+    steps, rows = scratch.counted(pairs.select(F.col(place).alias("_from"), F.col(other).alias("node")), scratch.fresh(spark, "steps"))
+    steps, rows = spread(steps, rows), 0
     new, found = scratch.counted(steps.filter(F.col("_from") == term).select("node").distinct(), f"{folder}/0")
     paths = [f"{folder}/0"]
     while found:
-        known = spark.read.schema("node string").parquet(*paths)
-        last = new.withColumnRenamed("node", "_last")
+        rows += found
+        known = spread(spark.read.schema("node string").parquet(*paths), rows)
+        last = spread(new.withColumnRenamed("node", "_last"), found)
         new, found = scratch.counted(steps.join(last, F.col("_from") == F.col("_last")).select("node").distinct().join(known, "node", "left_anti"), f"{folder}/{len(paths)}")
         paths.append(f"{folder}/{len(paths)}")
     return spark.read.schema("node string").parquet(*paths).select(F.lit(term).alias(place), F.col("node").alias(other)).select("s", "o")
