@@ -182,3 +182,17 @@ def test_micro_batches_give_what_replay_gives(spark, tmp_path, kind):
     for n, (lo, hi) in enumerate(((0, 3), (3, 7), (7, 9))):
         plan.step(whole.filter(f"cast(substring(s, 4, length(s) - 4) as int) >= {lo} and cast(substring(s, 4, length(s) - 4) as int) < {hi}"), n, str(tmp_path))
     assert sorted(out) == sorted(map(tuple, plan.run(whole).collect()))
+
+
+def test_content_that_shares_no_predicate_with_static_facts_is_not_sought_among_them(spark):
+    """All content used to be shuffled to find what is static, and solutions that can't repeat were made distinct."""
+    static = spark.createDataFrame([("<a>", "<is>", "<x>"), ("<b>", "<is>", "<x>")], "s string, p string, o string")
+    engine = RSPBuilder(spark, 10, 5).add_triples(static).add_query("SELECT ?c ?m WHERE {?c <did> ?m}").build()
+    held = spark.createDataFrame([(3, "<a>", "<did>", "<y>"), (4, "<c>", "<did>", "<y>")], "fire bigint, s string, p string, o string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan(engine.apart(held)) and engine.apart(held).count() == 2
+    both = held.unionByName(spark.createDataFrame([(3, "<a>", "<is>", "<x>"), (3, "<c>", "<is>", "<x>")], held.schema))
+    assert sorted(map(tuple, engine.apart(both).collect())) == [(3, "<a>", "<did>", "<y>"), (3, "<c>", "<is>", "<x>"), (4, "<c>", "<did>", "<y>")]
+    fired = spark.createDataFrame([(3,), (4,)], "fire bigint")
+    out = engine.evaluate(fired, held)
+    assert "Aggregate" not in plan(out) and sorted(map(tuple, out.collect())) == [(3, "<a>", "<y>"), (4, "<c>", "<y>")]

@@ -21,11 +21,15 @@ PLACES = ("s", "p", "o", "g")
 
 @dataclass
 class Source:
-    """Facts: static (s, p, o[, g]), keyed (KEY, s, p, o) and the keys there are; keyed and keys are None outside windows."""
+    """Facts: static (s, p, o[, g]), keyed (KEY, s, p, o) and the keys there are; keyed and keys are None outside windows.
+
+    apart: keyed facts are a set for each key and none of them is static, so solutions come once.
+    """
 
     static: DataFrame
     keyed: DataFrame | None = None
     keys: DataFrame | None = None
+    apart: bool = False
 
 
 def scan(facts: DataFrame, pattern: Pattern, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -115,4 +119,5 @@ def match(source: Source, patterns: list[Pattern]) -> DataFrame:
         now = out.unionByName(natural_join(still, keyed[i]).select(*out.columns))
         still = natural_join(still, plain[i])
     out = natural_join(source.keys, static)
-    return out.unionByName(now.select(*out.columns)).distinct()
+    out = out.unionByName(now.select(*out.columns))
+    return out if source.apart and set(source.static.columns) == {"s", "p", "o"} else out.distinct()

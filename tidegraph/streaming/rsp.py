@@ -25,6 +25,8 @@ from tidegraph.streaming import windows
 from tidegraph.terms import FACT, Rule, UnsupportedQuery
 
 R2S = ("rstream", "istream", "dstream")
+#: Predicates of static facts that are looked at one by one.
+STATIC_PREDICATES = 200
 TICKS, MODES = ("time", "tuple", "batch"), ("single_thread", "multi_thread")
 
 
@@ -133,6 +135,19 @@ class RSPEngine:
         if plan.rules:
             base = base.unionByName(infer(base, plan.rules))
         self.static = scratch.cut(base, "static")
+        #: Predicates of static facts, or None if they are very many.
+        found = self.static.select("p").distinct().limit(STATIC_PREDICATES + 1).collect()
+        self.static_predicates = sorted(r.p for r in found) if len(found) <= STATIC_PREDICATES else None
+
+    def apart(self, held: DataFrame) -> DataFrame:
+        """held without the static facts; what shares no predicate with them isn't looked for among them."""
+        if self.static_predicates is None:
+            return held.join(self.static, SPO, "left_anti")
+        if not self.static_predicates:
+            return held
+        may = F.col("p").isin(self.static_predicates)
+        among = held.filter(may)
+        return held if among.isEmpty() else held.filter(~may).unionByName(among.join(self.static, SPO, "left_anti"))
 
     def fired(self, events: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(firings, content) of a stream of s, p, o, ts."""
@@ -153,9 +168,10 @@ class RSPEngine:
             return self.plan.relation(fired, held, self.static)
         held = scratch.cut(held.select(KEY, *SPO), "content")
         if self.plan.rules:
-            held = held.unionByName(infer(held, self.plan.rules, static=self.static))
-        held = held.join(self.static, SPO, "left_anti")
-        return select(self.plan.spark, Source(self.static, held, fired.select(KEY)), self.query)
+            held = self.apart(held).unionByName(infer(held, self.plan.rules, static=self.static))
+        else:
+            held = self.apart(held)
+        return select(self.plan.spark, Source(self.static, held, fired.select(KEY), True), self.query)
 
     def run(self, events: DataFrame) -> DataFrame:
         """KEY and the query's columns for a whole stream (s, p, o, ts).  The last open windows don't report."""
